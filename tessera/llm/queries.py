@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import simhash, substrings
+from tessera.llm import langid, packing, simhash, substrings, toxicity
+from tessera.llm.shared import is_held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,13 +21,31 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), window=20, with_text=False)
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, closing_id=0)
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", is_held_out(F.col("doc_id")).alias("held_out"))
+    return langid.identify(docs, langid.train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
 def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_components(table(spark, folder, "documents"), shingle=4, radius=4)
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
+    labels = table(spark, folder, "labels").where(~is_held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.score(docs, toxicity.train(docs, labels), ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_packing": op6_packing,
+    "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
