@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, packing, simhash, substrings, toxicity
+from tessera.llm import chat, langid, media, packing, pieces, search, simhash, substrings, toxicity, urlfilter
 from tessera.llm.shared import is_held_out
 
 
@@ -21,10 +21,49 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), window=20, with_text=False)
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_pieces, n_unspelled (characters spelled by byte pieces), score, ids_crc32, decoded_sha256."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_texts(table(spark, folder, "documents"), model, ["doc_id"])
+    keep = ["doc_id", "score", "n_unspelled"]
+    return pieces.decode_ids(encoded, model, keep).select("doc_id", "n_pieces", "n_unspelled", "score", "ids_crc32", "decoded_sha256")
+
+
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled table is the urls that a rule judges, 2,000 of them."""
+    pages = table(spark, folder, "pages")
+    judged = urlfilter.judge(pages, URL_RULES, urlfilter.labelled_by_rules(pages, URL_RULES), ["page_id"], max_rows=2000)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_media(spark: SparkSession, folder: str) -> DataFrame:
+    stored = media.to_media(table(spark, folder, "documents"), ["doc_id"])
+    found = media.describe_media(stored, ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature_text().alias("feature"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, closing_id=0)
 
 
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation is a reply tree of one path: the parent of a turn is the turn before it."""
+    said = table(spark, folder, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    said = said.union(spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], said.schema))
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    messages = said.select(F.col("conv_id").alias("tree_id"), number.alias("message_id"), "role", "text", F.lit(0.0).alias("score"))
+    messages = messages.withColumn("parent_id", F.col("message_id") - 1)
+    return chat.read_back(chat.format_trees(messages), ["tree_id"]).withColumnRenamed("tree_id", "conv_id")
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", is_held_out(F.col("doc_id")).alias("held_out"))
     return langid.identify(docs, langid.train(docs.where("not held_out")), ["doc_id", "held_out"])
@@ -42,13 +81,30 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_url_filter": op4_url_filter,
+    "op5_media": op5_media,
     "op6_packing": op6_packing,
+    "op7_chat": op7_chat,
     "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+""",
     "op1_substring_dedup": r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents

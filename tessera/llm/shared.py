@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,22 +40,17 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
 
+def bounded_sample(labelled: DataFrame, key: str, max_rows: int, seed: int = 10) -> DataFrame:
+    """About `max_rows` rows, chosen by a hash of the key; all, if there are fewer."""
+    n = labelled.count()
+    if n <= max_rows:
+        return labelled
+    return labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
-
-
-def batch_slices(table: pa.Table | pa.RecordBatch, text: str, most: int) -> Iterator[pa.Table | pa.RecordBatch]:
-    """Cut a batch so that each part holds about `most` bytes of text, one row at least."""
-    sizes = [len(x) if x is not None else 0 for x in byte_texts(table.column(text))]
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if held and held + size > most:
-            yield table.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield table.slice(start)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
+from tessera.llm.shared import bounded_sample
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -39,14 +40,6 @@ class Model:
         return out
 
 
-def bounded_sample(labelled: DataFrame, key: str, max_rows: int, seed: int = 10) -> DataFrame:
-    """About `max_rows` rows, chosen by a hash of the key; all, if there are fewer."""
-    n = labelled.count()
-    if n <= max_rows:
-        return labelled
-    return labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-
-
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
