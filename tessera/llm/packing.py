@@ -11,10 +11,11 @@ into powers of two. No sequence holds padding.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,19 +28,33 @@ from tessera.llm.shared import written
 #: Before a single space between two visible characters the tokenizer always starts a new word.
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
 CACHED_WORDS = 300_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
+
+
+def word_encoder(path: str, pattern: str | None) -> tuple[Callable[[list[str]], list[list[int]]], int]:
+    """Words -> their ids, and the number of ids. A rank file (.tiktoken, with the pattern that splits words) gives the
+    ids of its vocabulary's .json file, some three times faster; special tokens' strings are ordinary text in both."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda words: [coder.encode_ordinary(w) for w in words], coder.n_vocab
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)], tokenizer.get_vocab_size()
 
 
 class WordIds(dict):
     """Word -> its ids as little-endian 32-bit numbers; forgets all when full."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str | None = None) -> None:
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.encode, self.n_ids = word_encoder(path, pattern)
 
     def of(self, text: str) -> bytes:
         words = WORD_START.split(text)
@@ -47,17 +62,17 @@ class WordIds(dict):
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
             new = list(set(words))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        for word, ids in zip(new, self.encode(new), strict=True):
+            self[word] = np.array(ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, words))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int, doc_id: str, text: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, pattern: str | None, capacity: int, closing_id: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, doc_tokens, crcs (of each piece), tail (the ids of a last piece that is shorter, two bytes each where they fit)."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
-        kind = np.uint16 if max(words.tokenizer.get_vocab_size(), closing_id + 1) <= 1 << 16 else np.uint32
+        words = WordIds(tokenizer, pattern)
+        kind = np.uint16 if max(words.n_ids, closing_id + 1) <= 1 << 16 else np.uint32
         closing = np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             sizes, crcs, tails = [], [], []
@@ -101,18 +116,20 @@ def _pattern(lengths: np.ndarray, best: np.ndarray, last: np.ndarray, size: int,
     return out
 
 
-def first_basis(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Columns of a feasible basis: two lengths that make up a sequence share one pattern; the more frequent of the
-    two, and any length without such a partner, has a pattern of its own."""
-    basis = np.diag(np.floor(capacity / lengths))
+def first_basis(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of a feasible basis, and its inverse: two lengths that make up a sequence share one pattern; the more
+    frequent of the two, and any length without such a partner, has a pattern of its own."""
+    most = np.floor(capacity / lengths)
+    basis, inverse = np.diag(most), np.diag(1 / most)
     place = {n: i for i, n in enumerate(lengths.tolist())}
     for length, i in place.items():
         k = place.get(capacity - length)
         if k is not None and i < k:
-            few = i if counts[i] <= counts[k] else k
+            few, many = (i, k) if counts[i] <= counts[k] else (k, i)
             basis[:, few] = 0
             basis[[i, k], few] = 1
-    return basis
+            inverse[few, few], inverse[many, few] = 1, -1 / most[many]
+    return basis, inverse
 
 
 def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 0.002, most_rounds: int = 120, at_once: int = 24) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +138,8 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap:
     Revised simplex. It ends when Farley's bound proves the number of sequences to be within `gap` of the optimum, or
     after `most_rounds` pricings.
     """
-    basis = first_basis(lengths, counts, capacity)
-    inverse = np.linalg.inv(basis)
-    used = inverse @ counts
+    basis, inverse = first_basis(lengths, counts, capacity)
+    used = (inverse * counts).sum(axis=1)
     dual = inverse.sum(axis=0)
     for _ in range(most_rounds):
         best, last = best_fills(lengths, dual, capacity)
@@ -135,7 +151,8 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap:
             column = _pattern(lengths, best, last, capacity, int(first))
             if (gain := dual @ column - 1) <= gap / 2:
                 continue
-            direction = inverse[:, held := np.flatnonzero(column)] @ column[held]
+            held = np.flatnonzero(column)
+            direction = (inverse[:, held] * column[held]).sum(axis=1)
             rising = np.flatnonzero(direction > 1e-9)
             if not len(rising):
                 continue
@@ -205,17 +222,17 @@ def stream_ends(tokens: int, capacity: int) -> list[int]:
     return ends
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, capacity: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 4096) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of each document.
 
-    A document's ids are those of its text (null: empty) and closing_id. Each id lies in exactly one piece; the
+    A document's ids are those of its text (null: empty) and closing_id. tokenizer: see word_encoder. Each id lies in exactly one piece; the
     pieces of a sequence follow each other from offset 0; a sequence is full or a power of two long. Repeated rows
     are documents of their own; a null doc_id stays null. An empty table gives no rows. capacity: a power of two.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     spark = docs.sparkSession
-    found = tokenized(docs, tokenizer, capacity, closing_id, doc_id, text)
+    found = tokenized(docs, tokenizer, pattern, capacity, closing_id, doc_id, text)
     documents = written(found.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
     length = F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("piece") * capacity)
     pieces = documents.select("row_id", "doc_id", "doc_tokens", F.posexplode("crcs").alias("piece", "ids_crc32")).withColumn("length", length)
