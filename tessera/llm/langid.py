@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
+from tessera.llm.shared import rows_where
 
 ORDERS = (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
@@ -121,3 +122,13 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str], text: str = "te
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("read_text")).mapInArrow(of_batches, schema)
+
+
+def in_known_language(docs: DataFrame, filters: Filters, text: str = "text", min_share: float = 0.2) -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and at least min_share of whose n-grams its language
+    contains. Filters that know no language keep all rows."""
+
+    def keeps(texts: list[str | None]) -> list[bool]:
+        return [not filters.languages or (lang != UNKNOWN and share >= min_share) for lang, share in map(filters.decide, texts)]
+
+    return rows_where(docs, text, keeps)

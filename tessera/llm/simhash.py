@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import byte_texts, written
@@ -198,3 +198,17 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return marks.join(named, "fp").select("doc_id", hexed, "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **search: int) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component (see near_components).
+
+    Of rows that repeat a doc_id the one with the smallest text stays. Rows without an id all stay: nothing names them.
+    """
+    named = written(near_components(docs, doc_id, text, **search), "components")
+    goes = named.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(goes, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    if not named.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        order = Window.partitionBy(doc_id).orderBy(text)
+        kept = kept.withColumn("row_of_id", F.row_number().over(order)).where(F.col(doc_id).isNull() | (F.col("row_of_id") == 1)).drop("row_of_id")
+    return kept

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -127,7 +128,7 @@ def keep_mask(repeated: np.ndarray, n_words: int, size: int) -> np.ndarray:
 
 
 def with_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with the number of their block; how many blocks of `block_bytes` the text fills."""
+    """docs (doc_id, text, others) with the number of their block; how many blocks of `block_bytes` the text fills."""
     total = total_bytes(docs, "text")
     n = max(1, -(-total // block_bytes))
     weight = 1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4096).cast("int")
@@ -140,25 +141,28 @@ def with_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
         for batch in batches:
             ids = batch.column(0)
             block = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(block)], names=["doc_id", "text", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=[*batch.schema.names, "block"])
 
-    return docs.mapInArrow(block_of, "doc_id long, text string, block int"), n
+    return docs.mapInArrow(block_of, docs.withColumn("block", F.lit(0)).schema), n
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = 8 << 20, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text): each document without the words that a repeated
-    window covers.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = 8 << 20, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text), the columns `keep`: each document without the words
+    that a repeated window covers. kept_text: the text as it was if nothing is removed, else the kept words joined by
+    one space; kept_sha256 always is of the words so joined.
 
     A window is `window` consecutive words; it is repeated if its words also start earlier: in a document with a
     smaller doc_id, or earlier in the same document. Rows with one doc_id are ordered by text and count as
     documents one after the other; rows without an id come before all others. Null, empty and blank texts have no
-    words; shorter texts have no window and stay whole. One row for each row of docs; other columns are not read.
+    words (kept_text of a null is null); shorter texts have no window and stay whole. One row for each row of docs;
+    other columns are not read.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    extra = [f"keep_{i}" for i in range(len(keep))]
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)])
     blocked, n = with_blocks(plain, block_bytes)
     buckets = n
 
@@ -207,11 +211,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             removed.append(n_words - len(words))
             joined = b" ".join(words)
             digests.append(hashlib.sha256(joined).hexdigest())
-            kept.append(joined)
+            kept.append(joined if len(words) < n_words else text)
         columns = {"doc_id": own["doc_id"], "n_words": pa.array(block.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests)}
-        return pa.table(columns | ({"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}))
+        columns |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}
+        return pa.table(columns | {e: own[e] for e in extra})
 
     sent = blocked.groupBy("block").applyInArrow(send, "block int, bucket int, packed binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, mask binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in plain.schema[2:])
+    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    return found.select(*found.columns[: len(found.columns) - len(keep)], *[F.col(e).alias(c) for c, e in zip(keep, extra, strict=True)])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import bounded_sample
+from tessera.llm.shared import bounded_sample, rows_where
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -39,6 +39,14 @@ class Model:
         out[self.bucket] = self.weight
         return out
 
+    def scores(self, texts: list[str | None], dense: np.ndarray) -> np.ndarray:
+        """The probability of label 1 of each text."""
+        margins = np.full(len(texts), self.intercept)
+        for i, text in enumerate(texts):
+            found = buckets(text)
+            margins[i] += dense[np.unique(found[dense[found] != 0])].sum(dtype=np.float64)
+        return 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
+
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -113,12 +121,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()
         for batch in batches:
-            margins = np.full(batch.num_rows, model.intercept)
-            for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                found = buckets(x)
-                margins[i] += dense[np.unique(found[dense[found] != 0])].sum(dtype=np.float64)
-            scores = 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
+            scores = model.scores(batch.column(batch.num_columns - 1).to_pylist(), dense)
             columns = [*batch.columns[:-1], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("scored_text")).mapInArrow(of_batches, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    return rows_where(docs, text, lambda texts: (model.scores(texts, model.dense()) < threshold).tolist())
