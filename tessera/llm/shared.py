@@ -5,30 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import settled as written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session has none (local tests) a folder of this machine is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: this cuts lineage,
-    and the rows survive the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["bounded_sample", "byte_texts", "is_held_out", "rows_where", "total_bytes", "written"]
 
 
 def is_held_out(doc_id: Column) -> Column:

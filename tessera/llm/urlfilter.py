@@ -43,8 +43,12 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 def features(host: Column, path: Column, buckets: int) -> Column:
     """The distinct buckets of the n-grams of both; every url has at least one."""
     text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(buckets)).cast("int")) for n in ORDERS]
-    return F.array_distinct(F.concat(*grams))
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(buckets)).cast("int"))
+
+    return F.array_distinct(F.concat(*map(grams, ORDERS)))
 
 
 @dataclass(frozen=True)
