@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,16 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     return cut.select(doc_id, "start", F.col(text).substr(F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
+def equal_to(term: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(t == F.lit(term), t)
+
+
 def lexical_score(found: Column, terms: list[str], prefix: str | None = None) -> Column:
     """Mean over the query terms of their count in the tokens, 3 at most; an unfinished last word adds one half if a
     token begins with it."""
     total = F.lit(0)
     for term in terms:
-        total = total + F.least(F.lit(3), F.size(F.filter(found, lambda t, term=term: t == term)))
+        total = total + F.least(F.lit(3), F.size(F.array_compact(F.transform(found, equal_to(term)))))
     score = total.cast("double") / max(len(terms), 1)
     return score + F.when(F.exists(found, lambda t: t.startswith(prefix)), 0.5).otherwise(0.0) if prefix else score
 

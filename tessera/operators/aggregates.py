@@ -65,10 +65,13 @@ def dense_calendar(observed: DataFrame, bucket: str, keys: list[str], start: str
     """One row for each observed key combination and each bucket from start until before end; counts of missing rows
     are 0, other measures null."""
     spine = observed.sparkSession.range(1).select(F.explode(F.expr(f"sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{end}' - INTERVAL 1 SECOND, {STEPS[interval]})")).alias("spine"))
-    wanted = observed.select(*keys).distinct().crossJoin(F.broadcast(spine))  # the calendar is bounded by the request
-    same = reduce(Column.__and__, [wanted[k].eqNullSafe(observed[k]) for k in keys], wanted["spine"] == observed[bucket])
+    own = [f"wanted_{k}" for k in keys]
+    combinations = observed.select(*[F.col(k).alias(w) for k, w in zip(keys, own, strict=True)]).distinct()
+    wanted = combinations.crossJoin(F.broadcast(spine))  # the calendar is bounded by the request
+    same = reduce(Column.__and__, [F.col(w).eqNullSafe(F.col(k)) for k, w in zip(keys, own, strict=True)], F.col("spine") == F.col(bucket))
     rest = [c for c in observed.columns if c not in (bucket, *keys)]
-    return wanted.join(observed, same, "left").select(*[wanted[k] for k in keys], wanted["spine"].alias(bucket), *[F.coalesce(observed[c], F.lit(0)).alias(c) if c in counts else observed[c] for c in rest])
+    filled = [F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in rest]
+    return wanted.join(observed, same, "left").select(*[F.col(w).alias(k) for k, w in zip(keys, own, strict=True)], F.col("spine").alias(bucket), *filled)
 
 
 def compare_periods(df: DataFrame, keys: list[str], column: str, baseline: tuple[str, str], current: tuple[str, str], days: tuple[int, int], min_count: int = 0) -> DataFrame:

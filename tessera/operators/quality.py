@@ -81,4 +81,4 @@ def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> D
 def conflicts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n_values, vals (sorted, joined by |) of the keys with more than one value."""
     found = F.array_sort(F.collect_set(F.col(value).cast("string")))
-    return rows.groupBy(*keys).agg(F.size(found).alias("n_values"), F.array_join(found, "|").alias("vals")).where("n_values > 1")
+    return rows.groupBy(*keys).agg(F.size(found).cast("long").alias("n_values"), F.array_join(found, "|").alias("vals")).where("n_values > 1")

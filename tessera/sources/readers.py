@@ -24,10 +24,9 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, max_rows: i
 def json_lines_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Sound rows, and the broken lines as text."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    line = spark.read.text(path)
-    parsed = line.select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.where(F.col(f"r.{CORRUPT}").isNotNull()).select("value")
+    parsed = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    sound = F.col(f"r.{CORRUPT}").isNull()
+    return parsed.where(sound).select("r.*").drop(CORRUPT), parsed.where(~sound).select("value")
 
 
 def header_key(name: str) -> str:

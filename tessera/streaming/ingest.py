@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.session import shared_folder
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json", files_per_batch: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_batch).load(path)
@@ -38,3 +42,20 @@ def tumbling_counts(stream: DataFrame, time: str, keys: list[str], size: str = "
 
 def first_versions(stream: DataFrame, key: str, time: str, late: str = "2 days") -> DataFrame:
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def final_state(aggregated: DataFrame) -> DataFrame:
+    """Run a stream's aggregate over all that is there now and give its last complete state."""
+    spark = aggregated.sparkSession
+    place = f"{shared_folder(spark).rstrip('/')}/tessera/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/state-{number:06d}")
+        last.append(number)
+
+    last: list[int] = []
+    run = aggregated.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], aggregated.schema)
+    return spark.read.schema(aggregated.schema).parquet(f"{place}/state-{last[-1]:06d}")
