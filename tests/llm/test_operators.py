@@ -400,6 +400,23 @@ def test_near_pairs_lose_no_link(spark, chunk):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_wide_fingerprints_find_copies_of_similarity_over_point_eight(spark):
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for i in range(0, 600, 2):
+        words = [f"v{rng.randrange(20000)}" for _ in range(rng.randrange(80, 300))]
+        changed = list(words)
+        for k in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            changed[k] = f"z{rng.randrange(20000)}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+        a, b = (set(simhash.word_shingles(" ".join(w).encode().split(), 5)) for w in (words, changed))
+        pairs.append((i, len(a & b) / len(a | b)))
+    got = {r.doc_id: r.component_id for r in simhash.wide_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [i for i, similarity in pairs if similarity >= 0.8]
+    assert len(close) > 150 and np.mean([got[i + 1] == i for i in close]) > 0.97
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
 def test_representatives_keep_all_columns(docs):
     left = simhash.representatives(docs, shingle=5)
     assert left.columns == docs.columns
