@@ -109,6 +109,15 @@ def subtree_sizes(tree: DataFrame, child: str, parent: str) -> DataFrame:
     return joined.select("node", (F.coalesce("below", F.lit(0)) + 1).alias("subtree"), F.coalesce("deepest", F.lit(0)).alias("depth"))
 
 
+def unit_members(units: DataFrame, unit: str, above: str, members: DataFrame, member: str) -> DataFrame:
+    """unit, members: distinct members of each unit and all units below it."""
+    up = ancestors(units, unit, above).select(F.col("node").alias("low_unit"), F.col("ancestor").alias("high_unit"))
+    own = members.select(F.col(unit).alias("low_unit"), member)
+    rolled = own.join(up, "low_unit").select(F.col("high_unit").alias(unit), member).union(own)
+    every = units.select(unit).union(units.where(F.col(above).isNotNull()).select(above)).distinct()
+    return every.join(rolled, unit, "left").groupBy(unit).agg(F.countDistinct(member).alias("members"))
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of an undirected graph: each round every node takes the smallest label of
     its neighbours and then that label's own label, so labels travel twice as far each time."""

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import comms as C
+from tessera.operators import evidence as E
 from tessera.operators import graph as R
 from tessera.operators import intervals as I
+from tessera.operators import reviews as W
 from tessera.operators import temporal as T
 from tessera.plans.requests import ORACLES, QUERIES, query, stamp, table
 
@@ -434,4 +436,125 @@ def evidence_search(spark, folder):
     return table(spark, folder, "documents").select("doc_id", reduce(lambda a, b: a & b, tests).alias("found"))
 
 
+# Reviews: events are decisions on users; an event of a given kind undoes the one before it of its user.
+
+
+def review_events(spark, folder) -> DataFrame:
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    events = table(spark, folder, "events").withColumn("prior", F.lag("event_id").over(own))
+    return events.withColumn("undoes", F.when(F.col("event_id") % 5 == 0, F.col("prior")))
+
+
+REVIEW_EVENTS = "(SELECT *, CASE WHEN event_id % 5 = 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS undoes FROM events)"
+
+
+@query(f"""
+WITH v AS MATERIALIZED {REVIEW_EVENTS}, s AS (SELECT * FROM v WHERE undoes IS NULL AND event_id NOT IN (SELECT undoes FROM v WHERE undoes IS NOT NULL))
+SELECT user_id, arg_max(event_type, event_id) AS decision, max(event_id) AS event_id FROM s GROUP BY 1
+""")
+def standing_decisions(spark, folder):
+    alive = W.standing(review_events(spark, folder), "event_id", "undoes")
+    return W.latest_decisions(alive.withColumn("decision", F.col("event_type")), "user_id", "event_id", ["decision", "event_id"])
+
+
+@query("""
+WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'accept' ELSE 'reject' END AS decision, c_custkey % 7 = 0 AS changed FROM customer WHERE c_custkey % 3 > 0)
+SELECT CASE WHEN d.c_custkey IS NULL THEN 'unreviewed' WHEN d.changed THEN 'stale' ELSE d.decision END AS review_state, count(*) AS n, round(sum(CASE WHEN d.decision = 'accept' THEN 0.0 ELSE c.c_acctbal END), 2) AS balance
+FROM customer c LEFT JOIN d USING (c_custkey) GROUP BY 1
+""")
+def review_states(spark, folder):
+    customer = table(spark, folder, "customer").withColumn("print", X.text_hash(F.col("c_name")))
+    decided = customer.where("c_custkey % 3 > 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "accept").otherwise("reject").alias("decision"), F.when(F.col("c_custkey") % 7 != 0, F.col("print")).alias("reviewed_print"))
+    states = W.review_states(customer, decided, "c_custkey", "print")
+    cleared = W.corrected(states, decided.where("decision = 'accept'").select("c_custkey", F.lit(0.0).alias("c_acctbal")), "c_custkey", ["c_acctbal"])
+    return cleared.groupBy("review_state").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""
+SELECT l_orderkey, count(*) FILTER (s_acctbal < 0) AS lost, count(*) FILTER (s_acctbal < 0) > 0 AS stale, count(*) FILTER (s_acctbal < 0) = count(*) AS baseless
+FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1
+""")
+def stale_evidence(spark, folder):
+    cited = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("evidence"))
+    return W.stale_by_withdrawal(cited, "l_orderkey", "evidence", table(spark, folder, "supplier").where("s_acctbal < 0"), "s_suppkey")
+
+
+@query("""
+WITH k AS (SELECT CAST(c_custkey AS VARCHAR) AS k, 0 AS r, c_custkey AS e FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT lower(c_mktsegment) || ' ' || c_nationkey, 1, c_custkey FROM customer WHERE c_custkey % 10 = 0),
+g AS (SELECT k, r, min(e) AS e, count(DISTINCT e) AS n FROM k GROUP BY ALL), b AS (SELECT k, arg_min(e, r) AS e, arg_min(n, r) AS n FROM g GROUP BY 1),
+q AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE lower(c_mktsegment) || ' ' || c_nationkey END AS asked FROM customer)
+SELECT c_custkey, CASE WHEN b.k IS NULL THEN 'unknown' WHEN b.n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, CASE WHEN b.n = 1 THEN b.e END AS entity_id FROM q LEFT JOIN b ON b.k = q.asked
+""")
+def entity_resolution(spark, folder):
+    customer = table(spark, folder, "customer")
+    named = customer.where("c_custkey % 10 = 0").withColumn("names", F.array(F.concat_ws("  ", "c_mktsegment", "c_nationkey")))
+    asked = customer.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string")).otherwise(F.concat_ws(" ", F.upper("c_mktsegment"), F.col("c_nationkey"))).alias("asked"))
+    return E.resolved(asked, "asked", named.withColumnRenamed("c_custkey", "entity"), "entity", "names").select("c_custkey", "outcome", "entity_id")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = 'united' OR (NOT EXISTS (SELECT 1 FROM nation WHERE lower(n_name) = '1') AND contains(lower(n_name), '1'))")
+def exact_before_substring(spark, folder):
+    return E.exact_before_substring(table(spark, folder, "nation"), "n_name", "1").select("n_nationkey", "n_name")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version 3') UNION SELECT doc_id FROM documents WHERE doc_id % 10 = 3")
+def cited_evidence(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    edges = docs.where("doc_id % 10 = 3").select(F.array("doc_id", F.lit(-1)).alias("evidence_ids"))
+    return E.cited_evidence(docs.where(E.all_terms(F.col("text"), ["License", "version 3"])), edges, "evidence_ids", docs, "doc_id").select("doc_id")
+
+
+@query(f"""
+WITH v AS {VERSIONS} SELECT o_orderkey FROM v WHERE o_custkey % 10 = 1 OR before IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 150000)
+""")
+def baseline_scope(spark, folder):
+    versions = order_versions(spark, folder).withColumn("supersedes", F.array_compact(F.array("before")))
+    orders = table(spark, folder, "orders")
+    return E.baseline_scope(versions, "o_orderkey", "o_custkey", orders.where("o_custkey % 10 = 1"), orders.where("o_totalprice > 150000"), "supersedes").select("o_orderkey")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 AND text <> text || 'x' THEN 'stale' ELSE 'present' END AS state FROM documents
+""")
+def vectors_in_step(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", X.text_hash(F.col("text")).alias("mark"))
+    embedded = docs.where("doc_id % 5 <> 0").withColumn("mark", F.when(F.col("doc_id") % 7 == 0, F.concat("mark", F.lit("x"))).otherwise(F.col("mark")))
+    return E.vectors_in_step(docs, embedded, "doc_id", "mark")
+
+
+@query("""
+SELECT coalesce(e.c_custkey, f.c_custkey) AS c_custkey, CASE WHEN f.c_custkey IS NULL THEN 'missed' WHEN e.c_custkey IS NULL THEN 'extra' ELSE 'hit' END AS verdict
+FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) e FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) f ON e.c_custkey = f.c_custkey
+""")
+def evaluation_report(spark, folder):
+    customer = table(spark, folder, "customer")
+    return E.set_report(customer.where("c_custkey % 2 = 0"), customer.where("c_custkey % 3 = 0"), "c_custkey")
+
+
+@query("""
+WITH p AS (SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 40 OFFSET 10) SELECT * FROM (SELECT doc_id, n_chars, CAST(sum(n_chars) OVER (ORDER BY doc_id) AS BIGINT) AS page_bytes FROM p) WHERE page_bytes <= 60000
+""")
+def inventory_page(spark, folder):
+    return E.bounded_page(table(spark, folder, "documents").select("doc_id", "n_chars"), [F.col("doc_id")], F.col("n_chars"), 40, 60_000, after=10)
+
+
+@query("""
+SELECT count(DISTINCT coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE ' ' END, ' '), CASE WHEN c_custkey % 3 = 1 THEN c_nationkey || '@x.org' END, c_name)) AS people FROM customer
+""")
+def roster_identities(spark, folder):
+    rows = table(spark, folder, "customer").select("c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).otherwise(" ").alias("own_id"), F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), F.col("c_nationkey"), F.lit("@X.org "))).otherwise("").alias("mail"))
+    return E.roster(rows, "own_id", "mail", ["c_name"]).agg(F.countDistinct("identity").alias("people"))
+
+
+@query("""
+WITH t AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT 'n' || n_nationkey AS unit, n AS members FROM t UNION ALL SELECT 'r' || n_regionkey, CAST(sum(n) AS BIGINT) FROM t GROUP BY 1 UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM t
+""")
+def unit_members(spark, folder):
+    """Members of nested units: each member counts once in every unit above its own."""
+    units = table(spark, folder, "nation").selectExpr("concat('n', n_nationkey) as unit", "concat('r', n_regionkey) as above").union(table(spark, folder, "region").selectExpr("concat('r', r_regionkey)", "'all'"))
+    members = table(spark, folder, "customer").selectExpr("c_custkey as member", "concat('n', c_nationkey) as unit")
+    return R.unit_members(units, "unit", "above", members, "member")
+
+
 __all__ = ["ORACLES", "QUERIES"]
