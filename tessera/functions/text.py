@@ -57,11 +57,11 @@ def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str =
     """doc_id, score of each document that holds a query term."""
     words = tokens(F.col(text), TERM)
     sized = docs.select(doc_id, F.size(words).alias("size"), F.filter(words, lambda t: t.isin(query)).alias("hits"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size"))
+    whole = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size")).first()
     counts = sized.select(doc_id, "size", F.explode("hits").alias("term")).groupBy(doc_id, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    joined = counts.join(F.broadcast(document_frequencies(counts)), "term").crossJoin(F.broadcast(whole))  # query terms and one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
+    joined = counts.join(F.broadcast(document_frequencies(counts)), "term")  # the query's terms at most
+    idf = F.log(1 + (whole["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (whole["avg_size"] or 1.0)))
     return joined.groupBy(doc_id).agg(F.sum(part).alias("score"))
 
 
@@ -69,17 +69,16 @@ def tfidf_cosine(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text
     """doc_id, score: cosine of the query and each document that shares a term, weights (1 + ln tf) (1 + ln((N + 1) /
     (df + 1)))."""
     counts = term_counts(docs, doc_id, text)
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    weighted = counts.join(document_frequencies(counts), "term").crossJoin(F.broadcast(n))
-    idf = 1 + F.log((F.col("n_docs") + 1) / (F.col("df") + 1))
+    weighted = counts.join(document_frequencies(counts), "term")
+    idf = 1 + F.log((F.lit(docs.count()) + 1) / (F.col("df") + 1))
     asked = {t: query.count(t) for t in query}
     own = F.lit(0.0)
     for term, tf in asked.items():
         own = own + F.when(F.col("term") == term, (1 + F.log(F.lit(float(tf)))) * idf).otherwise(0.0)
     rows = weighted.select(doc_id, "term", ((1 + F.log("tf")) * idf).alias("w"), own.alias("q"))
-    query_norm = rows.where("q > 0").groupBy("term").agg(F.first("q").alias("q")).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
+    norm = rows.where("q > 0").groupBy("term").agg(F.first("q").alias("q")).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")).first()["qn"]
     sums = rows.groupBy(doc_id).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn")).where("dot > 0")
-    return sums.crossJoin(F.broadcast(query_norm)).select(doc_id, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+    return sums.select(doc_id, (F.col("dot") / (F.col("dn") * F.lit(norm))).alias("score"))
 
 
 def fuse(channels: list[DataFrame], item: str, score: str = "score", constant: int = 60) -> DataFrame:

@@ -28,6 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_top(vectors: DataFrame, query_id: int, k: int, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """item, score: the k vectors most like the one with query_id, itself left out; ties by item."""
     unit = vectors.select(item, normalized(F.col(vector)).alias("unit")).where("unit is not null")
-    query = unit.where(F.col(item) == query_id).select(F.col("unit").alias("asked")).limit(1)
-    scored = unit.where(F.col(item) != query_id).crossJoin(F.broadcast(query))  # one row
-    return scored.select(item, cosine(F.col("unit"), F.col("asked")).alias("score")).orderBy(F.desc("score"), item).limit(k)
+    query = unit.where(F.col(item) == query_id).first()
+    asked = F.lit(query["unit"] if query else None).cast("array<double>")
+    scored = unit.where(F.col(item) != query_id).select(item, cosine(F.col("unit"), asked).alias("score"))
+    return scored.where("score is not null").orderBy(F.desc("score"), item).limit(k)

@@ -64,10 +64,10 @@ def ranked(df: DataFrame, by: str, keys: list[str], descending: bool = True, top
 def dense_calendar(observed: DataFrame, bucket: str, keys: list[str], start: str, end: str, interval: str, counts: list[str]) -> DataFrame:
     """One row for each observed key combination and each bucket from start until before end; counts of missing rows
     are 0, other measures null."""
-    spine = observed.sparkSession.range(1).select(F.explode(F.expr(f"sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{end}' - INTERVAL 1 SECOND, {STEPS[interval]})")).alias("spine"))
     own = [f"wanted_{k}" for k in keys]
     combinations = observed.select(*[F.col(k).alias(w) for k, w in zip(keys, own, strict=True)]).distinct()
-    wanted = combinations.crossJoin(F.broadcast(spine))  # the calendar is bounded by the request
+    buckets = F.expr(f"sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{end}' - INTERVAL 1 SECOND, {STEPS[interval]})")
+    wanted = combinations.withColumn("spine", F.explode(buckets))
     same = reduce(Column.__and__, [F.col(w).eqNullSafe(F.col(k)) for k, w in zip(keys, own, strict=True)], F.col("spine") == F.col(bucket))
     rest = [c for c in observed.columns if c not in (bucket, *keys)]
     filled = [F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in rest]

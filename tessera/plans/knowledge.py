@@ -243,8 +243,7 @@ def hop_budget(spark, folder):
 def manager_candidates(spark, folder) -> DataFrame:
     """Two candidates for each customer, by arithmetic on the key; the second has the higher priority for some."""
     customer = table(spark, folder, "customer")
-    n = customer.agg(F.max("c_custkey").alias("n"))
-    both = customer.crossJoin(F.broadcast(n))  # one row
+    both = customer.withColumn("n", F.lit(customer.agg(F.max("c_custkey").alias("n")).first()["n"]))
     first = both.selectExpr("c_custkey as child", "c_custkey * 7 % n + 1 as parent", "2 as priority", "c_acctbal as score")
     second = both.where("c_custkey % 3 = 0").selectExpr("c_custkey as child", "cast(floor(c_custkey / 3) as bigint) + 1 as parent", "1 as priority", "c_acctbal as score")
     return first.union(second)
@@ -310,9 +309,8 @@ SELECT low, high, total, round(least(0.52, 0.08 + 0.20 * total / (SELECT max(tot
 """)
 def reciprocity_score(spark, folder):
     pairs = C.undirected_pairs(C.directed_pairs(messages(spark, folder), "sender", "recipient"))
-    most = pairs.agg(F.max("total").alias("most"))
-    scored = pairs.crossJoin(F.broadcast(most))  # one row
-    return scored.select("low", "high", "total", F.round(C.contact_score(F.col("total") / F.col("most"), F.col("reciprocity"), F.col("total")), 8).alias("score"))
+    most = F.lit(pairs.agg(F.max("total").alias("most")).first()["most"])
+    return pairs.select("low", "high", "total", F.round(C.contact_score(F.col("total") / most, F.col("reciprocity"), F.col("total")), 8).alias("score"))
 
 
 @query(f"""
