@@ -106,7 +106,7 @@ def encoder():
 
 
 def test_sentencepiece_equals_brute_force(encoder):
-    brute = BruteUnigram(encoder, {p: (i, s) for p, (i, _, s) in encoder.automaton.items()})
+    brute = BruteUnigram(encoder, {p: (i, s) for p, (i, _, s) in encoder.pieces.items()})
     rng = random.Random(5)
     alphabet = "abcdeeilnorstuñéß .,▁\n日😀"
     for text in ["Hello  world", " lead", "trail ", "\x00\x01", "e" * 70, *["".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(60)]]:
