@@ -129,5 +129,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
+    """The rows of docs, all columns, that score below the threshold; all, if the model has learned nothing."""
+    if not len(model.bucket):
+        return docs
     return rows_where(docs, text, lambda texts: (model.scores(texts, model.dense()) < threshold).tolist())

@@ -352,6 +352,7 @@ def test_toxicity(spark):
     assert left.columns == docs.columns and left.count() == sum(1 for r in got.values() if r.score < 0.5)
     blank = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, blank, ["doc_id"]).collect()} == {0.5}
+    assert toxicity.without_toxic(docs, blank).count() == docs.count()
 
 
 # SimHash
