@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import rows_where
+from tessera.llm.shared import parts, rows_where
 
 ORDERS = (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
@@ -64,11 +64,11 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     size = 0
 
     def given() -> Iterator[pa.RecordBatch]:
-        for lang, parts in sorted(held.items()):
-            gram, n = np.unique(np.concatenate(parts), return_counts=True)
+        for lang, found in sorted(held.items()):
+            gram, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "documents"])
 
-    for batch in batches:
+    for batch in parts(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             grams = np.unique(text_hashes(text or "", ORDERS))
             held.setdefault(lang, []).append(grams)
@@ -116,7 +116,7 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str], text: str = "te
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [filters.decide(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import parts, written
 
 #: Before a single space between two visible characters the tokenizer always starts a new word.
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
@@ -74,7 +74,7 @@ def tokenized(docs: DataFrame, tokenizer: str, pattern: str | None, capacity: in
         words = WordIds(tokenizer, pattern)
         kind = np.uint16 if max(words.n_ids, closing_id + 1) <= 1 << 16 else np.uint32
         closing = np.array([closing_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             sizes, crcs, tails = [], [], []
             for value in batch.column(1).to_pylist():
                 ids = (words.of(value) if value else b"") + closing

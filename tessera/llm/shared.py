@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import settled as written
 
-__all__ = ["bounded_sample", "byte_texts", "is_held_out", "rows_where", "total_bytes", "written"]
+__all__ = ["bounded_sample", "byte_texts", "is_held_out", "parts", "rows_where", "total_bytes", "written"]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -38,12 +38,19 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def rows_where(docs: DataFrame, text: str, keeps: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of docs, all columns, whose text the function keeps; it is given the texts of one Arrow batch."""
     at = docs.columns.index(text)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(of_batches, docs.schema)

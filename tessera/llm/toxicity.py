@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import bounded_sample, rows_where
+from tessera.llm.shared import bounded_sample, parts, rows_where
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -50,7 +50,7 @@ class Model:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for batch in batches:
+    for batch in parts(batches):
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[label, np.unique(buckets(text))] += 1
     found = np.flatnonzero(counts.any(axis=0))
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
         place[bucket] = np.arange(len(bucket))
-        for batch in batches:
+        for batch in parts(batches):
             found = [np.unique(x[x >= 0]) for x in (place[buckets(t)] for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["label", "doc_id", "features"])
 
@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()
-        for batch in batches:
+        for batch in parts(batches):
             scores = model.scores(batch.column(batch.num_columns - 1).to_pylist(), dense)
             columns = [*batch.columns[:-1], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
