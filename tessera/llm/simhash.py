@@ -26,9 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_texts, written
+from tessera.llm.shared import byte_texts, parts, written
 
 ODD = 0x5555555555555555
+BROADCAST_IDS = 1_000_000
 
 
 def word_shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     names = lane_names(lanes)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [fingerprint(word_shingles(x.lower().split(), shingle) if x else [], lanes) for x in byte_texts(batch.column(1))]
             prints = np.array(found, np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(prints[:, i]) for i in range(lanes)]], names=["doc_id", *names])
@@ -120,9 +121,9 @@ def spread_hot_cells(cells: DataFrame, chunk: int) -> DataFrame:
     hot = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), "hot-cells")
     if hot.isEmpty():
         return cells
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), parts)
-    other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), parts - F.lit(1).cast("long"))))
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), chunks)
+    other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - F.lit(1).cast("long"))))
     names = [c for c in cells.columns if c != "cell"]
     dealt = cells.join(hot, "cell", "left").select("cell", *names, own.alias("own"), other.alias("other"))
     key = F.when(F.col("other") < 0, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
@@ -265,6 +266,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     named = written(wide_components(docs, doc_id, text, **search), "components")
     goes = named.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    if goes.count() <= BROADCAST_IDS:  # few megabytes; beyond that the texts are shuffled
+        goes = F.broadcast(goes)
     kept = docs.join(goes, F.col(doc_id) == F.col("gone_id"), "left_anti")
     if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         order = Window.partitionBy(doc_id).orderBy(text)
