@@ -9,14 +9,12 @@ Rows that share a cell are compared: first by the Manhattan bound, then by the e
 A cell gives its spanning links, not all its pairs. Cells of more than `chunk` rows are cut into pairs of
 chunks, so no task ever holds a whole hot cell.
 
-A wide fingerprint has several lanes of 64 bits. Its radius is too large for all choices of groups, so its grids are a
-stated number of random choices of single-bit segments, and the distance is summed lane by lane until it exceeds the
-radius. Links are exact, the search for them is not: see wide_components.
+Near copies of a stated Jaccard similarity are too far apart for this: near_copies finds them by shared shingles and
+compares whole sets of shingles.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -26,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_texts, parts, written
+from tessera.llm.shared import bounded_sample, byte_texts, parts, written
 
 ODD = 0x5555555555555555
 BROADCAST_IDS = 1_000_000
@@ -104,17 +102,6 @@ def grid_cells(fps: DataFrame, radius: int, groups: int) -> DataFrame:
     return fps.select(F.explode(F.array(*cells)).alias("cell"), *fps.columns)
 
 
-def random_grid_cells(fps: DataFrame, names: list[str], grids: int, grid_bits: int) -> DataFrame:
-    """cell and all columns of fps: each grid is spanned by grid_bits single-bit segments, chosen with a fixed seed."""
-    cells = []
-    for number in range(grids):
-        masks = [0] * len(names)
-        for bit in random.Random(number).sample(range(64 * len(names)), grid_bits):
-            masks[bit // 64] |= 1 << bit % 64
-        cells.append(F.xxhash64(F.lit(number), *[F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, masks, strict=True) if m]))
-    return fps.select(F.explode(F.array(*cells)).alias("cell"), *fps.columns)
-
-
 def spread_hot_cells(cells: DataFrame, chunk: int) -> DataFrame:
     """Cells of over `chunk` rows become one cell for each pair of chunks, so that each pair of rows still
     meets and no cell holds more than about two chunks."""
@@ -242,21 +229,137 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marks.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def wide_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 46, grids: int = 48, grid_bits: int = 14, chunk: int = 4096) -> DataFrame:
-    """doc_id, component_id by fingerprints of several lanes, for near copies that are farther apart.
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of the shingles of a text, in ascending order."""
+    shingles = word_shingles(text.lower().split(), size) if text else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)))
+
+
+def common_shingles(docs: DataFrame, doc_id: str, text: str, size: int, sample: int = 10_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the most frequent shingles of about `sample` rows, and their counts."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            found = [shingle_hashes(x, size) for x in byte_texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], names=["shingle"])
+
+    rows = bounded_sample(docs.where(F.col(doc_id).isNotNull()), doc_id, sample).select(text).mapInArrow(of_batches, "shingle long")
+    found = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    keys, counts = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """doc_id, text_key, node (a hash of the set of shingles), size (their number), prefix: the shingles of which two sets
+    share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are left out.
 
-    Of 256 bits, texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 on average (standard
-    deviation 6), and texts that share nothing in 128 (8). Two texts `radius` bits apart or less link if they share a
-    cell of one of the grids: with the defaults 99 of 100 pairs at a similarity of 0.8, and all but one in a million
-    at 0.9. Rows without an id are left out.
+    Sets of n shingles in one order for all, of which ceil(percent * n / 100) must be shared, share one of the first
+    n - ceil(percent * n / 100) + 1. Any order will do; the shingles frequent in a sample come last, so that few
+    sets share a prefix by chance.
     """
-    names = lane_names(lanes)
-    marks = written(fingerprints(docs.where(F.col(doc_id).isNotNull()), doc_id, text, shingle, lanes), "fingerprints")
-    nodes = written(marks.groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names), "nodes")
-    roots = connected(cell_links(random_grid_cells(nodes, names, grids, grid_bits), radius, chunk))
-    placed = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    named = placed.select(*names, F.coalesce("root", "node").alias("component_id"))
-    return marks.join(named, names).select("doc_id", "component_id")
+    common, counts = common_shingles(docs, doc_id, text, shingle)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            nodes, sizes, prefixes = [], [], []
+            for x in byte_texts(batch.column(2)):
+                found = shingle_hashes(x, shingle)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
+                sizes.append(len(found))
+                if len(common) and len(found):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
+                prefixes.append(found[: len(found) + percent * -len(found) // 100 + 1])
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.empty(0, np.uint64)]).view(np.int64)))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "prefix"])
+
+    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, prefix array<long>")
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_key (a hash of the text), text of the rows with an id."""
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """node, shingles: the set of each wanted node (node, doc_id, text_key)."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            found = [shingle_hashes(x, size) for x in byte_texts(batch.column(1))]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
+
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    rows = keyed(docs, doc_id, text).join(wanted, ["doc_id", "text_key"]).select("node", "text")
+    return rows.mapInArrow(of_batches, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of `percent` / 100 or more."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(left, "a").join(right, "b").where(both * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
+
+
+def similar_roots(cells: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """node, root of all nodes of cells (cell, node, size) that are connected by pairs of similar sets in a cell.
+
+    Neighbours in a cell, in two orders, come first; so most sets of a large group are connected before all pairs that
+    are in one cell and not yet connected are compared.
+    """
+    links = roots = None
+    for order in ([F.col("size"), F.col("node")], [F.xxhash64("node")], None):
+        open_cells = cells.withColumn("root", F.col("node"))
+        if roots is not None:
+            known = roots.withColumnRenamed("node", "linked")
+            open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
+            several = open_cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+            open_cells = open_cells.join(several, "cell", "left_semi")
+        if order:
+            row = Window.partitionBy("cell").orderBy(*order)
+            met = open_cells.select(*[F.col(c).alias(f"{c}_a") for c in ("node", "size", "root")], *[F.lead(c).over(row).alias(f"{c}_b") for c in ("node", "size", "root")])
+        else:
+            spread = written(spread_hot_cells(written(open_cells, "open-cells"), chunk), "spread-cells")
+            a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")]) for x in "ab")
+            met = a.join(b, "cell")
+        alike = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+        met = met.where((F.col("root_a") < F.col("root_b") if not order else F.col("root_a") != F.col("root_b")) & alike)
+        pairs = written(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
+        found = written(similar_pairs(pairs, sets, percent), "links")
+        links = found if links is None else links.union(found)
+        roots = written(connected(links), "roots")
+    return roots
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 4096) -> DataFrame:
+    """doc_id, text_key, root: one row for each row of docs with an id. Rows have the same root if they are connected
+    by pairs of texts whose sets of shingles (runs of `shingle` words, compared by XXH64) have a Jaccard similarity of
+    `percent` / 100 or more, and only then. Texts without words are alike.
+    """
+    marks = written(shingle_prefixes(docs, doc_id, text, shingle, percent), "prefixes")
+    least = F.min(F.struct("doc_id", "text_key")).alias("row")
+    nodes = marks.groupBy("node").agg(least, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = written(nodes.select("node", "row.doc_id", "row.text_key", "size", "prefix"), "nodes")
+    cells = nodes.select(F.explode("prefix").alias("cell"), "node", "size")
+    own = Window.partitionBy("cell").orderBy("node")
+    neighbours = cells.withColumns({"before": F.lag("node").over(own), "after": F.lead("node").over(own)})
+    cells = written(neighbours.where("before is not null or after is not null").select("cell", "node", "size"), "cells")
+    wanted = written(nodes.join(cells.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
+    sets = written(shingle_sets(docs, wanted, doc_id, text, shingle), "sets")
+    roots = similar_roots(cells, sets, percent, chunk).withColumnRenamed("node", "linked")
+    return marks.join(roots, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def wide_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **search: int) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id of the near copies (see near_copies). Rows without an id are left out."""
+    rows = written(near_copies(docs, doc_id, text, **search), "near-copies")
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **search: int) -> DataFrame:

@@ -418,6 +418,40 @@ def test_wide_fingerprints_find_copies_of_similarity_over_point_eight(spark):
     assert all(c in (i, i - i % 2) for i, c in got.items())
 
 
+def jaccard(a: str, b: str) -> float:
+    x, y = (set(simhash.word_shingles(t.encode().lower().split(), 5)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_near_copies_are_exactly_those_of_similarity_point_eight(spark, chunk):
+    rng = random.Random(16)
+    rows = []
+    for i in range(0, 800, 2):
+        words = [f"v{rng.randrange(20000)}" for _ in range(rng.randrange(60, 300))]
+        changed = list(words)
+        at = rng.randrange(len(words))
+        changed[at : at + round(rng.uniform(0.08, 0.22) * len(words))] = [f"z{rng.randrange(20000)}"] * 7
+        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+    base = [f"h{k}" for k in range(200)]
+    for i in range(1000, 1030):  # one group whose links differ, all with the same frequent shingles
+        words = list(base)
+        for k in range(rng.randrange(12)):
+            words[rng.randrange(200)] = f"y{rng.randrange(20000)}"
+        rows.append((i, " ".join(words)))
+    texts = dict(rows)
+    pairs = [(i, i + 1) for i in range(0, 800, 2)] + [(i, k) for i in range(1000, 1030) for k in range(i + 1, 1030)]
+    similarity = {(i, k): jaccard(texts[i], texts[k]) for i, k in pairs}
+    least = {i: i for i in texts}
+    for (i, k), s in similarity.items():
+        if s >= 0.8:
+            low, high = sorted((least[i], least[k]))
+            least = {n: low if m == high else m for n, m in least.items()}
+    assert sum(0.8 <= s < 0.82 for s in similarity.values()) > 20 and sum(0.65 <= s < 0.8 for s in similarity.values()) > 100
+    got = simhash.wide_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+    assert {r.doc_id: r.component_id for r in got} == least
+
+
 def test_representatives_keep_all_columns(docs):
     left = simhash.representatives(docs, shingle=5)
     assert left.columns == docs.columns
