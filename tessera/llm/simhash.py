@@ -15,7 +15,8 @@ compares whole sets of shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -251,9 +252,12 @@ def common_shingles(docs: DataFrame, doc_id: str, text: str, size: int, sample:
 
 
 def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set of shingles), size (their number), prefix: the shingles of which two sets
+    """doc_id, text_key, node (a hash of the set of shingles), size (their number), sketch, prefix: the shingles of which two sets
     share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are left out.
 
+    sketch: for each of 512 buckets of hashes whether it holds an odd number. Sketches never differ in more bits than
+    their sets differ in shingles.
+
     Sets of n shingles in one order for all, of which ceil(percent * n / 100) must be shared, share one of the first
     n - ceil(percent * n / 100) + 1. Any order will do; the shingles frequent in a sample come last, so that few
     sets share a prefix by chance.
@@ -262,21 +266,23 @@ def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, sketches, prefixes = [], [], [], []
             for x in byte_texts(batch.column(2)):
                 found = shingle_hashes(x, shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
                 sizes.append(len(found))
+                sketches.append(np.packbits(np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64))
                 if len(common) and len(found):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
                 prefixes.append(found[: len(found) + percent * -len(found) // 100 + 1])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.empty(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "prefix"])
+            eights = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(nodes) + 1, 8, np.int32)), pa.array(np.concatenate(sketches or [np.empty(0, np.int64)])))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), eights, lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "sketch", "prefix"])
 
-    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, prefix array<long>")
+    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, sketch array<long>, prefix array<long>")
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -300,15 +306,23 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, siz
     return rows.mapInArrow(of_batches, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of `percent` / 100 or more."""
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of `percent` / 100 or more. Pairs whose sketches
+    differ in more bits than the sets of such a pair can in shingles go first; of the others the whole sets are compared."""
+    left, right = (nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "sketch")]) for x in "ab")
+    apart = reduce(Column.__add__, [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(8)])
+    both = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
+    maybe = written(both.where(apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b"), "maybe")
+    named = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(nodes.join(named, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
+    sets = written(shingle_sets(docs, wanted, doc_id, text, shingle), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").where(both * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return maybe.join(left, "a").join(right, "b").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
 
 
-def similar_roots(cells: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """node, root of all nodes of cells (cell, node, size) that are connected by pairs of similar sets in a cell.
+def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
+    """node, root of all nodes of cells (cell, node, size) that are connected by similar pairs in a cell.
 
     Neighbours in a cell, in two orders, come first; so most sets of a large group are connected before all pairs that
     are in one cell and not yet connected are compared.
@@ -331,7 +345,7 @@ def similar_roots(cells: DataFrame, sets: DataFrame, percent: int, chunk: int) -
         alike = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
         met = met.where((F.col("root_a") < F.col("root_b") if not order else F.col("root_a") != F.col("root_b")) & alike)
         pairs = written(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
-        found = written(similar_pairs(pairs, sets, percent), "links")
+        found = written(similar(pairs), "links")
         links = found if links is None else links.union(found)
         roots = written(connected(links), "roots")
     return roots
@@ -344,15 +358,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """
     marks = written(shingle_prefixes(docs, doc_id, text, shingle, percent), "prefixes")
     least = F.min(F.struct("doc_id", "text_key")).alias("row")
-    nodes = marks.groupBy("node").agg(least, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = written(nodes.select("node", "row.doc_id", "row.text_key", "size", "prefix"), "nodes")
-    cells = nodes.select(F.explode("prefix").alias("cell"), "node", "size")
+    nodes = marks.groupBy("node").agg(least, F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select("node", "row.doc_id", "row.text_key", "size", "sketch"), "nodes")
+    prefixes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    cells = prefixes.select(F.explode("prefix").alias("cell"), "node", "size")
     own = Window.partitionBy("cell").orderBy("node")
     neighbours = cells.withColumns({"before": F.lag("node").over(own), "after": F.lead("node").over(own)})
     cells = written(neighbours.where("before is not null or after is not null").select("cell", "node", "size"), "cells")
-    wanted = written(nodes.join(cells.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
-    sets = written(shingle_sets(docs, wanted, doc_id, text, shingle), "sets")
-    roots = similar_roots(cells, sets, percent, chunk).withColumnRenamed("node", "linked")
+    similar = partial(similar_pairs, nodes=nodes, docs=docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
+    roots = similar_roots(cells, similar, percent, chunk).withColumnRenamed("node", "linked")
     return marks.join(roots, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
