@@ -102,11 +102,25 @@ def ancestors(tree: DataFrame, child: str, parent: str, most: int = 40) -> DataF
 
 
 def subtree_sizes(tree: DataFrame, child: str, parent: str) -> DataFrame:
-    """node, subtree (nodes below and itself), depth (of the deepest below) for every node of a forest."""
-    below = ancestors(tree, child, parent).groupBy(F.col("ancestor").alias("up")).agg(F.count(F.lit(1)).alias("below"), F.max("steps").alias("deepest"))
+    """node, subtree (nodes below and itself), depth (of the deepest below) for every node of a forest, however deep.
+
+    Pointers double each round: a node knows the nodes fewer than `reach` steps below it and gives their number and
+    depth to the node `reach` steps up, until no pointer is left. A cycle is an error.
+    """
     nodes = tree.select(F.col(child).alias("node")).union(tree.where(F.col(parent).isNotNull()).select(parent)).distinct()
-    joined = nodes.join(below, F.col("node") == F.col("up"), "left")
-    return joined.select("node", (F.coalesce("below", F.lit(0)) + 1).alias("subtree"), F.coalesce("deepest", F.lit(0)).alias("depth"))
+    known = settled(nodes.select("node", F.lit(1).cast("long").alias("subtree"), F.lit(0).alias("depth")), "subtrees")
+    jump = settled(tree.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("up")), "jump")
+    n, reach = known.count(), 1
+    while not jump.isEmpty():
+        if reach >= n:
+            raise ValueError("the tree has a cycle")
+        given = jump.join(known, "node").groupBy("up").agg(F.sum("subtree").alias("more"), (F.max("depth") + reach).alias("deeper"))
+        grown = known.join(given, F.col("node") == F.col("up"), "left")
+        known = settled(grown.select("node", (F.col("subtree") + F.coalesce("more", F.lit(0))).alias("subtree"), F.greatest("depth", F.coalesce("deeper", "depth")).cast("int").alias("depth")), "subtrees")
+        step = jump.select(F.col("node").alias("mid"), F.col("up").alias("next_up"))
+        jump = settled(jump.join(step, F.col("up") == F.col("mid")).select("node", F.col("next_up").alias("up")), "jump")
+        reach *= 2
+    return known
 
 
 def unit_members(units: DataFrame, unit: str, above: str, members: DataFrame, member: str) -> DataFrame:

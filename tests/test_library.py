@@ -130,6 +130,12 @@ def test_bfs_and_components(spark):
     assert {(r.node, r.component) for r in R.components(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
 
 
+def test_subtrees_of_a_deep_chain(spark):
+    links = [(0, None)] + [(i, i - 1) for i in range(1, 120)] + [(200, 50), (300, None)]
+    got = {r.node: (r.subtree, r.depth) for r in R.subtree_sizes(spark.createDataFrame(links, "c int, p int"), "c", "p").collect()}
+    assert got == {i: (120 - i + (i <= 50), 119 - i) for i in range(120)} | {200: (1, 0), 300: (1, 0)}
+
+
 def test_day_eligibility(spark):
     df = spark.sql("select * from values (1, null, null), (2, date'2020-01-01', null), (3, null, date'2020-01-05'), (4, date'2020-01-01', date'2020-01-05') as t(i, b, e)")
     day = datetime(2020, 1, 5).date()
