@@ -377,16 +377,20 @@ def wide_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **search: int) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component (see wide_components).
+    """The rows of docs, all columns, that are the smallest by doc_id of their near copies (see near_copies).
 
-    Of rows that repeat a doc_id the one with the smallest text stays. Rows without an id all stay: nothing names them.
+    Rows go one by one: of rows that share a doc_id those whose texts are no near copies all stay, and of rows that
+    share a doc_id and the text one stays. Rows without an id all stay: nothing names them.
     """
-    named = written(wide_components(docs, doc_id, text, **search), "components")
-    goes = named.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = written(near_copies(docs, doc_id, text, **search), "near-copies")
+    own = F.struct("doc_id", "text_key")
+    best = rows.groupBy("root").agg(F.min(own).alias("best"))
+    goes = rows.join(best, "root").where(own != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    goes = written(goes, "gone")
     if goes.count() <= BROADCAST_IDS:  # few megabytes; beyond that the texts are shuffled
         goes = F.broadcast(goes)
-    kept = docs.join(goes, F.col(doc_id) == F.col("gone_id"), "left_anti")
-    if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        order = Window.partitionBy(doc_id).orderBy(text)
+    kept = docs.join(goes, (F.col(doc_id).cast("long") == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_key")), "left_anti")
+    if not rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        order = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(text)
         kept = kept.withColumn("row_of_id", F.row_number().over(order)).where(F.col(doc_id).isNull() | (F.col("row_of_id") == 1)).drop("row_of_id")
     return kept

@@ -457,3 +457,11 @@ def test_representatives_keep_all_columns(docs):
     assert left.columns == docs.columns
     ids = [r.doc_id for r in left.collect()]
     assert 0 in ids and 12 not in ids and ids.count(2) == 1 and ids.count(None) == 1
+
+
+def test_representatives_remove_rows_not_ids(spark):
+    rng = random.Random(17)
+    first, second, third = (prose(rng, 80, 5000) for _ in range(3))
+    rows = [(1, first), (2, first), (2, second), (2, second), (3, third), (None, first), (None, first)]
+    left = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, first), (2, second), (3, third), (None, first), (None, first)], key=str)
