@@ -11,15 +11,17 @@ into powers of two. No sequence holds padding.
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,51 +29,102 @@ from tessera.llm.shared import parts, written
 
 #: Before a single space between two visible characters the tokenizer always starts a new word.
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
-CACHED_WORDS = 300_000
+#: It does so before any space, but for one between white space or at the end after white space.
+NO_START = re.compile(r"\s (?!\S)")
+#: Words on whose parts the pattern's and the tokenizer's own Unicode tables can't differ.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]{1,64}")
+#: A word of letters and one of these has two parts.
+MARKS = ".,;:!?"
+#: Words kept in each of two generations.
+CACHED_WORDS = 250_000
 BROADCAST_ROWS = 50_000
 
 
-def word_encoder(path: str, pattern: str | None) -> tuple[Callable[[list[str]], list[list[int]]], int]:
-    """Words -> their ids, and the number of ids. A rank file (.tiktoken, with the pattern that splits words) gives the
-    ids of its vocabulary's .json file, some three times faster; special tokens' strings are ordinary text in both."""
-    if path.endswith(".tiktoken"):
-        import tiktoken
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the tokenizer's words: itself if it is visible, else one beyond."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda words: [coder.encode_ordinary(w) for w in words], coder.n_vocab
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)], tokenizer.get_vocab_size()
+class WordIds:
+    """Texts -> the ids of the tokenizer file's plain encoding, as little-endian 32-bit numbers.
 
+    Texts are cut into words, words into the pattern's parts, and the tokenizer's model gives the ids of a part; words
+    are remembered. Long words and those with characters beyond the Latin ones are left to the whole
+    tokenizer, and so are texts that hold one of its added tokens.
+    """
 
-class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit numbers; forgets all when full."""
-
-    def __init__(self, path: str, pattern: str | None = None) -> None:
-        super().__init__()
-        self.encode, self.n_ids = word_encoder(path, pattern)
+    def __init__(self, path: str, pattern: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.n_ids = self.tokenizer.get_vocab_size()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts_of, self.characters = regex.compile(pattern).findall, byte_characters()
+        self.marks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def solve(self, word: str) -> bytes:
+        """The ids of a word and the space before it."""
+        if not (word.isascii() and len(word) <= 64) and not PLAIN.fullmatch(word):
+            return self.whole(" " + word)
+        if word.isalpha():
+            return self.part(" " + word)
+        if word[:-1].isalpha() and word[-1] in MARKS:
+            return self.remembered(word[:-1]) + self.remembered_mark(word[-1])
+        first, *others = self.parts_of(" " + word)
+        start = self.remembered(first[1:]) if first[1:].isalpha() else self.part(first)
+        return start + b"".join(map(self.remembered_mark, others))
+
+    def remembered_mark(self, part: str) -> bytes:
+        """The ids of a part without a space before it."""
+        if part not in self.marks:
+            if len(self.marks) >= CACHED_WORDS:
+                self.marks.clear()
+            self.marks[part] = self.part(part)
+        return self.marks[part]
+
+    def remembered(self, word: str) -> bytes:
+        """The same, kept while the word is in use: the older of two generations goes when the newer is full."""
+        ids = self.known.get(word) or self.known_before.get(word) or self.solve(word)
+        if len(word) <= 64:
+            if len(self.known) >= CACHED_WORDS:
+                self.known_before, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        words = WORD_START.split(text)
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(set(words))
-        for word, ids in zip(new, self.encode(new), strict=True):
-            self[word] = np.array(ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        if any(token in text for token in self.added):
+            return self.whole(text)
+        words = text.split(" ") if not NO_START.search(text) else [w[k > 0 :] for k, w in enumerate(WORD_START.split(text))]
+        first = self.whole(words.pop(0))
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [one or self.remembered(word) for one, word in zip(found, words, strict=True)]
+        return first + b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str, pattern: str) -> WordIds:
+    """One for each tokenizer and Python worker, with the words that it has encoded."""
+    return WordIds(path, pattern)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, pattern: str | None, capacity: int, closing_id: int, doc_id: str, text: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, closing_id: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, doc_tokens, crcs (of each piece), tail (the ids of a last piece that is shorter, two bytes each where they fit)."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer, pattern)
+        words = word_ids(tokenizer, pattern)
         kind = np.uint16 if max(words.n_ids, closing_id + 1) <= 1 << 16 else np.uint32
         closing = np.array([closing_id], "<u4").tobytes()
         for batch in parts(batches):
@@ -222,10 +275,11 @@ def stream_ends(tokens: int, capacity: int) -> list[int]:
     return ends
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, capacity: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 4096) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of each document.
 
-    A document's ids are those of its text (null: empty) and closing_id. tokenizer: see word_encoder. Each id lies in exactly one piece; the
+    A document's ids are those of its text (null: empty) and closing_id. tokenizer, pattern: a tokenizer
+    file and the expression that splits its words, see WordIds. Each id lies in exactly one piece; the
     pieces of a sequence follow each other from offset 0; a sequence is full or a power of two long. Repeated rows
     are documents of their own; a null doc_id stays null. An empty table gives no rows. capacity: a power of two.
     """

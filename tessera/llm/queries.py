@@ -50,9 +50,8 @@ def op5_media(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """The rank file spells the vocabulary of byte_bpe_50k.json: the ids are the same."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, capacity=1024, closing_id=0)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, folder, "documents"), tokenizer, public_tokenizers.PATTERN, capacity=1024, closing_id=0)
 
 
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:

@@ -220,41 +220,42 @@ def test_keyframe_ranges_point_into_the_file():
 # Packing
 
 
-def test_packing_invariants(docs, nothing):
+@pytest.fixture(scope="module")
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    expected = sorted(tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for _, t, *_ in odd_documents() if _[0:1])
-    for path in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
-        rows = packing.pack(docs, public_tokenizers.path(path), public_tokenizers.PATTERN, slice_rows=7).collect()
-        by_sequence: dict = {}
-        for r in rows:
-            by_sequence.setdefault(r.sequence_id, []).append(r)
-        for own in by_sequence.values():
-            own.sort(key=lambda r: r.offset)
-            assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own]])[:-1].tolist()
-            total = sum(r.length for r in own)
-            assert total <= 1024 and total & (total - 1) == 0
-        sizes = sorted(len(x) for x in expected)
-        assert sum(r.length for r in rows) == sum(sizes)
-        known = {}
-        for ids in expected:
-            known.setdefault(len(ids), []).append(np.array(ids, "<u4"))
-        for r in rows:
-            assert any(zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in known[r.doc_tokens])
-    assert packing.pack(nothing, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab é,'s1 \n\t\u00a0\x1c日<|endoftext|>"), max_size=60))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_equals_the_plain_tokenizer(spark, docs, nothing, plain_tokenizer):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    special = spark.createDataFrame([(50, "a <|endoftext|> b", None, None, None, None), (51, "<|endoftext|>" * 700, None, None, None, None)], docs.schema)
+    rows = packing.pack(docs.union(special), path, public_tokenizers.PATTERN, slice_rows=7).collect()
+    texts = [(r[0], r[1]) for r in odd_documents()] + [(50, "a <|endoftext|> b"), (51, "<|endoftext|>" * 700)]
+    wanted: dict = {}
+    for doc_id, text in texts:
+        wanted.setdefault(doc_id, []).append(np.array([*plain_tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4"))
+    by_sequence: dict = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+        assert any(len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in wanted[r.doc_id])
+    for own in by_sequence.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own]])[:-1].tolist()
+        total = sum(r.length for r in own)
+        assert total <= 1024 and total & (total - 1) == 0
+    for doc_id, ids in wanted.items():  # each id of each document in one piece, repeated rows being documents of their own
+        ends = sorted((r.start, r.start + r.length) for r in rows if r.doc_id == doc_id)
+        assert sum(b - a for a, b in ends) == sum(map(len, ids))
+        assert len(ids) > 1 or [a for a, _ in ends] == [0, *[b for _, b in ends][:-1]]
+    assert packing.pack(nothing, path, public_tokenizers.PATTERN).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab é,'s1.!\n\t\r\u00a0\x1c\x85\u2003日я\u0345\u180e", "  ", " ab.", "can't", " <|endoftext|>", "\n\n", "ab\ncd ", "12", "x" * 70]), max_size=25).map("".join))
 def test_words_give_the_ids_of_the_whole_text(text):
-    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    assert np.frombuffer(words.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    words = packing.word_ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert np.frombuffer(words.of(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_knapsack_and_plan():
