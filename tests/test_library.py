@@ -19,6 +19,7 @@ from tessera.operators import intervals as I
 from tessera.operators import predicates as P
 from tessera.operators import quality as Q
 from tessera.operators import temporal as TT
+from tessera import session
 from tessera.sources import readers, sinks
 from tessera.streaming import ingest
 
@@ -200,6 +201,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.generated_requests(spark, 500).where("closure_hours < 0").count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: settings.get(key, default))
+            set = staticmethod(lambda key, value: settings.__setitem__(key, value))
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: given)
+
+    settings, given = {}, None
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+    given = "hdfs://shared/own"
+    assert session.shared_folder(Session) == given
+    settings["spark.checkpoint.dir"] = "hdfs://shared/set"
+    assert session.shared_folder(Session) == "hdfs://shared/set"
+    settings.clear()
+    given, Session.sparkContext.master = None, "local[2]"
+    assert session.shared_folder(Session) == settings["spark.checkpoint.dir"]
+
+
 def test_replayed_ingest_changes_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
