@@ -16,7 +16,7 @@ compares whole sets of shingles.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -251,13 +251,25 @@ def common_shingles(docs: DataFrame, doc_id: str, text: str, size: int, sample:
     return keys[order], counts[order]
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """For each of n to 2n buckets of hashes, a power of two and 512 at least, whether it holds an odd number."""
+    bits = max(512, 1 << len(shingles).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the other: never more than their
+    sets differ in shingles."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set of shingles), size (their number), sketch, prefix: the shingles of which two sets
+    """doc_id, text_key, node (a hash of the set of shingles), size (their number), sketch (see parity_sketch), prefix: the shingles of which two sets
     share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are left out.
 
-    sketch: for each of 512 buckets of hashes whether it holds an odd number. Sketches never differ in more bits than
-    their sets differ in shingles.
-
     Sets of n shingles in one order for all, of which ceil(percent * n / 100) must be shared, share one of the first
     n - ceil(percent * n / 100) + 1. Any order will do; the shingles frequent in a sample come last, so that few
     sets share a prefix by chance.
@@ -271,18 +283,17 @@ def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
                 found = shingle_hashes(x, shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
                 sizes.append(len(found))
-                sketches.append(np.packbits(np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64))
+                sketches.append(parity_sketch(found))
                 if len(common) and len(found):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
                 prefixes.append(found[: len(found) + percent * -len(found) // 100 + 1])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.empty(0, np.uint64)]).view(np.int64)))
-            eights = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(nodes) + 1, 8, np.int32)), pa.array(np.concatenate(sketches or [np.empty(0, np.int64)])))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), eights, lists]
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "sketch", "prefix"])
 
-    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, sketch array<long>, prefix array<long>")
+    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, sketch binary, prefix array<long>")
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -291,34 +302,46 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """node, shingles: the set of each wanted node (node, doc_id, text_key)."""
+    """node, shingles: the set of each wanted node (node, doc_id, text_key), once for each row of its text."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            found = [shingle_hashes(x, size) for x in byte_texts(batch.column(1))]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
+            found = [shingle_hashes(x, size).tobytes() for x in byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = keyed(docs, doc_id, text).join(wanted, ["doc_id", "text_key"]).select("node", "text")
-    return rows.mapInArrow(of_batches, "node long, shingles array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(of_batches, "node long, shingles binary")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a Jaccard similarity of `percent` / 100 or more. Pairs whose sketches
     differ in more bits than the sets of such a pair can in shingles go first; of the others the whole sets are compared."""
+
+    def near_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield batch.filter(pa.array(apart * (100 + percent) <= sizes * (100 - percent))).select(["a", "b"])
+
+    def near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * (100 + percent) >= (len(x) + len(y)) * percent)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
     left, right = (nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "sketch")]) for x in "ab")
-    apart = reduce(Column.__add__, [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(8)])
     both = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
-    maybe = written(both.where(apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b"), "maybe")
+    maybe = written(both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near_sketches, "a long, b long"), "maybe")
     named = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(nodes.join(named, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
     sets = written(shingle_sets(docs, wanted, doc_id, text, shingle), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return maybe.join(left, "a").join(right, "b").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
+    return maybe.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(near_sets, "a long, b long")
 
 
 def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
@@ -358,10 +381,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """
     marks = written(shingle_prefixes(docs, doc_id, text, shingle, percent), "prefixes")
     least = F.min(F.struct("doc_id", "text_key")).alias("row")
-    nodes = marks.groupBy("node").agg(least, F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.select("node", "row.doc_id", "row.text_key", "size", "sketch"), "nodes")
-    prefixes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    cells = prefixes.select(F.explode("prefix").alias("cell"), "node", "size")
+    rows = written(marks.groupBy("node").agg(least).select("node", "row.*"), "rows")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    own = marks.join(rows, ["node", "doc_id", "text_key"], "left_semi")
+    nodes = written(own.select("node", "doc_id", "text_key", "size", "sketch").dropDuplicates(["node"]), "nodes")
+    cells = own.select(F.explode("prefix").alias("cell"), "node", "size")
     own = Window.partitionBy("cell").orderBy("node")
     neighbours = cells.withColumns({"before": F.lag("node").over(own), "after": F.lead("node").over(own)})
     cells = written(neighbours.where("before is not null or after is not null").select("cell", "node", "size"), "cells")
