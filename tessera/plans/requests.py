@@ -327,11 +327,11 @@ def foreign_key_check(spark, folder):
 
 @query("""
 SELECT doc_id, CASE WHEN regexp_matches(ltrim(v), '^[=+@-]') OR regexp_matches(v, '^[\\t\\r\\n]') THEN concat('''', v) ELSE v END AS safe
-FROM (SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN ' @' WHEN 2 THEN chr(9) WHEN 3 THEN '-' ELSE '' END, substring(text, 1, 10)) AS v FROM documents)
+FROM (SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN ' @' WHEN 2 THEN chr(9) WHEN 3 THEN '-' ELSE '' END, text) AS v FROM documents)
 """)
 def spreadsheet_escape(spark, folder):
     lead = F.element_at(F.array(*map(F.lit, ["=", " @", "\t", "-", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, folder, "documents").select("doc_id", X.spreadsheet_safe(F.concat(lead, F.substring("text", 1, 10))).alias("safe"))
+    return table(spark, folder, "documents").select("doc_id", X.spreadsheet_safe(F.concat(lead, F.col("text"))).alias("safe"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
