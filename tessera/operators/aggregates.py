@@ -133,3 +133,56 @@ def calibration_bins(df: DataFrame, probability: str, label: str, bins: int = 10
     low, high = wilson(F.col("hits"), F.col("n"))
     observed = F.col("hits") / F.col("n")
     return out.select("bin", "n", "mean_probability", observed.alias("observed"), low.alias("low"), high.alias("high"), F.abs(F.col("mean_probability") - observed).alias("gap"))
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def calibrator(df: DataFrame, score: str, label: str, penalty: float = 1.0) -> tuple[float, float]:
+    """Coefficient and intercept of a logistic fit of label (0, 1) on score with an L2 penalty on the coefficient of
+    1 / (2 penalty) beside the summed loss: Newton steps, each one aggregation over the rows."""
+    slope = intercept = 0.0
+    x, y = F.col(score), F.col(label).cast("double")
+    for _ in range(50):
+        p = sigmoid(F.lit(slope) * x + F.lit(intercept))
+        w = p * (1 - p)
+        s = df.agg(F.sum((p - y) * x).alias("gx"), F.sum(p - y).alias("g1"), F.sum(w * x * x).alias("hxx"), F.sum(w * x).alias("hx"), F.sum(w).alias("h1")).first()
+        gx, hxx = s["gx"] + slope / penalty, s["hxx"] + 1 / penalty
+        det = hxx * s["h1"] - s["hx"] ** 2
+        step = ((gx * s["h1"] - s["g1"] * s["hx"]) / det, (s["g1"] * hxx - gx * s["hx"]) / det)
+        slope, intercept = slope - step[0], intercept - step[1]
+        if max(map(abs, step)) < 1e-10:
+            break
+    return slope, intercept
+
+
+def calibration_scores(df: DataFrame, probability: str, label: str, bins: int = 10) -> DataFrame:
+    """One row: n, positives, brier, log_loss (probabilities held 1e-15 off 0 and 1), calibration_error (the bins' gaps
+    weighted by their rows)."""
+    p, y = F.col(probability), F.col(label).cast("double")
+    safe = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    each = df.groupBy(F.least(F.lit(bins - 1), F.floor(p * bins)).cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(p).alias("p_sum"), F.sum(y).alias("y_sum"), F.sum((p - y) * (p - y)).alias("squares"), F.sum(y * F.log(safe) + (1 - y) * F.log(1 - safe)).alias("logs")
+    )
+    n = F.sum("rows")
+    return each.agg(n.alias("n"), F.sum("y_sum").cast("long").alias("positives"), (F.sum("squares") / n).alias("brier"), (-F.sum("logs") / n).alias("log_loss"), (F.sum(F.abs(F.col("p_sum") - F.col("y_sum"))) / n).alias("calibration_error"))
+
+
+def retrieval_metrics(ranked: DataFrame, keys: list[str], place: str, relevant: Column, k: int = 10) -> DataFrame:
+    """keys, recall (relevant rows among the first k of all relevant ones; null without any) and reciprocal_rank (of the
+    first relevant row among the first k, else 0)."""
+    hit = F.when((F.col(place) <= k) & relevant, F.col(place))
+    sums = ranked.groupBy(*keys).agg(F.count(hit).alias("hits"), F.count(F.when(relevant, 1)).alias("good"), F.min(hit).alias("first_hit"))
+    return sums.select(*keys, (F.col("hits") / F.nullif(F.col("good"), F.lit(0))).alias("recall"), F.coalesce(1 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def facets(df: DataFrame, keys: list[str], options: list[str]) -> DataFrame:
+    """keys, n and, for each option column, its sorted distinct values joined by |."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.array_join(F.array_sort(F.collect_set(F.col(o).cast("string"))), "|").alias(o) for o in options])
+
+
+def located(df: DataFrame, keys: list[str], *place: str) -> DataFrame:
+    """keys, n, located, unlocated: rows with and without a place."""
+    here = F.count(F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in place]), 1))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), here.alias("located"), (F.count(F.lit(1)) - here).alias("unlocated"))

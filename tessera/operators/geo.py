@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_008.7714
@@ -56,36 +56,79 @@ def in_polygon(lat: Column, lon: Column, ring: list[Point]) -> Column:
     return F.coalesce(on_edge | (crossings % 2 == 1), F.lit(False))
 
 
-def _crosses(a: Point, b: Point, c: Point, d: Point) -> bool:
+def _meet(a: Point, b: Point, c: Point, d: Point) -> bool:
+    """Whether two closed edges share a point: crossing, touching or lying on each other."""
+
     def side(p: Point, q: Point, r: Point) -> float:
         return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
 
-    return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+    apart = any(max(a[i], b[i]) < min(c[i], d[i]) or max(c[i], d[i]) < min(a[i], b[i]) for i in (0, 1))
+    return not apart and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
 
 
 def polygon_problem(ring: list[Point]) -> str | None:
-    """Why a ring is no usable polygon, or None."""
+    """Why a ring is no usable polygon, or None: too_few_points, repeated_points, too_wide, self_intersection (edges that
+    are no neighbours cross or touch), no_area."""
     v = unwrapped(ring)
     n = len(v)
     if len(set(v)) < 3:
         return "too_few_points"
+    if len(set(v)) < n:
+        return "repeated_points"
     if max(x for x, _ in v) - min(x for x, _ in v) > 180:
         return "too_wide"
-    if any(_crosses(v[i], v[(i + 1) % n], v[k], v[(k + 1) % n]) for i in range(n) for k in range(i + 2, n) if (k + 1) % n != i):
+    if any(_meet(v[i], v[(i + 1) % n], v[k], v[(k + 1) % n]) for i in range(n) for k in range(i + 2, n) if (k + 1) % n != i):
         return "self_intersection"
     area = sum(v[i][0] * v[(i + 1) % n][1] - v[(i + 1) % n][0] * v[i][1] for i in range(n))
     return None if abs(area) > 1e-12 else "no_area"
 
 
-def spatial_join(points: DataFrame, key: str, lat: str, lon: str, areas: dict[str, list[Point]]) -> DataFrame:
+def in_ring(lat: Column, lon: Column, edges: Column) -> Column:
+    """in_polygon for a column of edges (structs of x1, y1, x2, y2)."""
+
+    def on(e: Column) -> Column:
+        cross = (lon - e["x1"]) * (e["y2"] - e["y1"]) - (lat - e["y1"]) * (e["x2"] - e["x1"])
+        near = lon.between(F.least(e["x1"], e["x2"]) - EDGE_TOLERANCE, F.greatest(e["x1"], e["x2"]) + EDGE_TOLERANCE) & lat.between(F.least(e["y1"], e["y2"]) - EDGE_TOLERANCE, F.greatest(e["y1"], e["y2"]) + EDGE_TOLERANCE)
+        return near & (F.abs(cross) <= EDGE_TOLERANCE)
+
+    def crossed(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return F.when((lat > F.least(e["y1"], e["y2"])) & (lat <= F.greatest(e["y1"], e["y2"])) & (lon < at), 1).otherwise(0)
+
+    return F.exists(edges, on) | (F.aggregate(edges, F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1)
+
+
+def area_table(spark: SparkSession, areas: dict[str, list[Point]]) -> DataFrame:
+    """area, edges of named rings."""
+    rows = []
+    for name, ring in areas.items():
+        v = unwrapped(ring)
+        rows.append((name, [(float(a[0]), float(a[1]), float(b[0]), float(b[1])) for a, b in zip(v, v[1:] + v[:1], strict=True)]))
+    return spark.createDataFrame(rows, "area string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+
+
+def spatial_join(points: DataFrame, key: str, lat: str, lon: str, areas: DataFrame, cell: float = 0.25) -> DataFrame:
     """key, area, status for each point: matched, unmatched, ambiguous (several areas, as on a shared edge; area is
-    null), missing_geometry or invalid_geometry. areas: a stated, small set of polygons."""
-    y, x = F.col(lat), F.col(lon)
-    found = F.array_compact(F.array(*[F.when(in_polygon(y, x, ring), F.lit(name)) for name, ring in sorted(areas.items())]))
-    sound = reduce(Column.__and__, [y.between(-90, 90), x.between(-180, 180)])
+    null), missing_geometry or invalid_geometry. areas: area, edges (see area_table), as many as there are.
+
+    Points meet the areas whose box touches their grid cell of `cell` degrees; the exact test follows. Longitudes are
+    compared as they are: areas across the date line are given in both writings.
+    """
+
+    def bound(pick: Callable[[Column], Column], of: Callable[[Column], Column], step: int) -> Column:
+        return (F.floor(of(F.transform("edges", pick)) / cell) + step).cast("long")  # a cell more on either side, for edges on a border
+
+    columns = F.explode(F.sequence(bound(lambda e: e["x1"], F.array_min, -1), bound(lambda e: e["x1"], F.array_max, 1)))
+    rows = F.explode(F.sequence(bound(lambda e: e["y1"], F.array_min, -1), bound(lambda e: e["y1"], F.array_max, 1)))
+    boxes = areas.select("area", "edges", columns.alias("cx")).select("area", "edges", "cx", rows.alias("cy"))
+    own = points.select(key, F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"))
+    sound = own.where(F.col("y").between(-90, 90) & F.col("x").between(-180, 180))
+    placed = sound.withColumns({"px": F.floor(F.col("x") / cell), "py": F.floor(F.col("y") / cell)})
+    hits = placed.join(boxes, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy"))).where(in_ring(F.col("y"), F.col("x"), F.col("edges")))
+    found = hits.groupBy(F.col(key).alias("hit_key")).agg(F.min("area").alias("area"), F.countDistinct("area").alias("n_areas"))
     status = (
-        F.when(y.isNull() | x.isNull(), "missing_geometry").when(~sound, "invalid_geometry")
-        .when(F.size("found") == 0, "unmatched").when(F.size("found") == 1, "matched").otherwise("ambiguous")
+        F.when(F.col("y").isNull() | F.col("x").isNull(), "missing_geometry").when(~(F.col("y").between(-90, 90) & F.col("x").between(-180, 180)), "invalid_geometry")
+        .when(F.col("n_areas").isNull(), "unmatched").when(F.col("n_areas") == 1, "matched").otherwise("ambiguous")
     )
-    out = points.withColumn("found", found).withColumn("status", status)
-    return out.select(key, F.when(F.col("status") == "matched", F.get("found", F.lit(0))).alias("area"), "status")
+    out = own.join(found, F.col(key) == F.col("hit_key"), "left").withColumn("status", status)
+    return out.select(key, F.when(F.col("status") == "matched", F.col("area")).alias("area"), "status")

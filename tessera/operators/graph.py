@@ -38,9 +38,14 @@ def endpoints(assertions: DataFrame, item: str, a: str, b: str) -> DataFrame:
     return assertions.select(item, F.explode(F.array_distinct(F.array(a, b))).alias("node"))
 
 
-def hubs(assertions: DataFrame, item: str, a: str, b: str, top: int) -> DataFrame:
-    """node, degree of the best connected nodes; ties by node."""
-    return endpoints(assertions, item, a, b).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(top)
+def hubs(assertions: DataFrame, item: str, a: str, b: str, top: int, labels: DataFrame | None = None) -> DataFrame:
+    """node, degree of the best connected nodes; ties by label without case, where labels (node, label) are given, then
+    by node."""
+    found = endpoints(assertions, item, a, b).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    if labels is None:
+        return found.orderBy(F.desc("degree"), "node").limit(top)
+    named = found.join(labels.groupBy("node").agg(F.min("label").alias("label")), "node", "left")
+    return named.orderBy(F.desc("degree"), F.asc_nulls_last(F.lower("label")), "node").limit(top)
 
 
 def per_node(edges: DataFrame, node: str, order: list[Column], most: int) -> DataFrame:
@@ -84,47 +89,91 @@ def forest(candidates: DataFrame, child: str, parent: str, priority: str, score:
     return out.select(child, F.when(~dropped, F.col(parent)).alias(parent), F.when(dropped, "cycle_conflict").otherwise("selected").alias("status"))
 
 
-def ancestors(tree: DataFrame, child: str, parent: str, most: int = 40) -> DataFrame:
-    """node, ancestor, steps for all ancestors at most `most` steps up; pointers double each round."""
+def ancestors(tree: DataFrame, child: str, parent: str, most: int | None = None) -> DataFrame:
+    """node, ancestor, steps for all ancestors, or those at most `most` steps up; pointers double each round, so there
+    are as many rounds as the logarithm of the depth. A cycle is an error unless `most` bounds the walk."""
     link = tree.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
     closure = jump = settled(link, "closure")
+    limit = closure.count() + 1 if most is None else most
     reach = 1
-    while reach < most:
+    while reach < limit:
         step = jump.select(F.col("node").alias("mid"), F.col("ancestor").alias("up"), F.col("steps").alias("more"))
         farther = closure.join(step, F.col("ancestor") == F.col("mid")).select("node", F.col("up").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
         grown = settled(farther, "farther")
         if grown.isEmpty():
-            break
+            return closure if most is None else closure.where(F.col("steps") <= most)
         closure = settled(closure.union(grown), "closure")
         jump = settled(jump.join(step, F.col("ancestor") == F.col("mid")).select("node", F.col("up").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")), "jump")
         reach *= 2
-    return closure.where(F.col("steps") <= most)
+    if most is None and not jump.isEmpty():
+        raise ValueError("the tree has a cycle")
+    return closure if most is None else closure.where(F.col("steps") <= most)
 
 
-def subtree_sizes(tree: DataFrame, child: str, parent: str) -> DataFrame:
-    """node, subtree (nodes below and itself), depth (of the deepest below) for every node of a forest, however deep.
+def subtree_sizes(tree: DataFrame, child: str, parent: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """node, subtree (nodes below and itself), depth (of the deepest below) and the sums of the numeric columns `sums`
+    of tree over the subtree, for every node of a forest, however deep.
 
     Pointers double each round: a node knows the nodes fewer than `reach` steps below it and gives their number and
     depth to the node `reach` steps up, until no pointer is left. A cycle is an error.
     """
-    nodes = tree.select(F.col(child).alias("node")).union(tree.where(F.col(parent).isNotNull()).select(parent)).distinct()
-    known = settled(nodes.select("node", F.lit(1).cast("long").alias("subtree"), F.lit(0).alias("depth")), "subtrees")
+    own = [f"sum_{i}" for i in range(len(sums))]
+    rows = tree.select(F.col(child).alias("node"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(o) for c, o in zip(sums, own, strict=True)])
+    above = tree.where(F.col(parent).isNotNull()).select(F.col(parent).alias("node"), *[F.lit(0).cast("long").alias(o) for o in own])
+    nodes = rows.union(above).groupBy("node").agg(F.lit(1).cast("long").alias("subtree"), F.lit(0).alias("depth"), *[F.sum(o).alias(o) for o in own])
+    known = settled(nodes, "subtrees")
     jump = settled(tree.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("up")), "jump")
     n, reach = known.count(), 1
     while not jump.isEmpty():
         if reach >= n:
             raise ValueError("the tree has a cycle")
-        given = jump.join(known, "node").groupBy("up").agg(F.sum("subtree").alias("more"), (F.max("depth") + reach).alias("deeper"))
+        added = {c: f"more_{c}" for c in ("subtree", *own)}
+        given = jump.join(known, "node").groupBy("up").agg((F.max("depth") + reach).alias("deeper"), *[F.sum(c).alias(m) for c, m in added.items()])
         grown = known.join(given, F.col("node") == F.col("up"), "left")
-        known = settled(grown.select("node", (F.col("subtree") + F.coalesce("more", F.lit(0))).alias("subtree"), F.greatest("depth", F.coalesce("deeper", "depth")).cast("int").alias("depth")), "subtrees")
+        total = [(F.col(c) + F.coalesce(m, F.lit(0))).alias(c) for c, m in added.items()]
+        known = settled(grown.select("node", F.greatest("depth", F.coalesce("deeper", "depth")).cast("int").alias("depth"), *total), "subtrees")
         step = jump.select(F.col("node").alias("mid"), F.col("up").alias("next_up"))
         jump = settled(jump.join(step, F.col("up") == F.col("mid")).select("node", F.col("next_up").alias("up")), "jump")
         reach *= 2
-    return known
+    return known.select("node", "subtree", "depth", *[F.col(o).alias(c) for c, o in zip(sums, own, strict=True)])
+
+
+def roots(tree: DataFrame, child: str, parent: str) -> DataFrame:
+    """node, root of every node of a forest, however deep; a cycle is an error."""
+    nodes = tree.select(F.col(child).alias("node"), F.coalesce(F.col(parent), F.col(child)).alias("root")).union(tree.where(F.col(parent).isNotNull()).select(parent, parent))
+    inner = tree.where(F.col(parent).isNotNull()).select(F.col(child).alias("inner_node"))
+    tops = nodes.select(F.col("root").alias("node")).distinct().join(inner, F.col("node") == F.col("inner_node"), "left_anti").select("node", F.col("node").alias("root"))
+    links = tree.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("root"))
+    reach = settled(links.union(tops), "roots")
+    n, steps = reach.count(), 1
+    while True:
+        up = reach.select(F.col("node").alias("mid"), F.col("root").alias("up"))
+        moved = settled(reach.join(up, F.col("root") == F.col("mid")).select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
+        reach = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return reach
+        if (steps := steps * 2) > 2 * n:
+            raise ValueError("the tree has a cycle")
+
+
+def without_unit_cycles(units: DataFrame, unit: str, above: str) -> DataFrame:
+    """unit, above with one link of each cycle cut, so that no unit is unreachable: the walk upwards from the smallest
+    unit that leads into a cycle enters it at the unit whose link is cut. Links to themselves or to unknown units go."""
+    known = units.select(F.col(unit).alias("known_unit"))
+    sound = units.join(known, F.col(above) == F.col("known_unit"), "left").select(unit, F.when(F.col("known_unit") != F.col(unit), F.col("known_unit")).alias(above))
+    sound = settled(sound, "units")
+    ring = settled(cycles(sound.where(F.col(above).isNotNull()).select(F.col(unit).alias("node"), F.col(above).alias("parent"))), "ring")
+    if ring.isEmpty():
+        return sound
+    opened = sound.join(ring, F.col(unit) == F.col("node"), "left").select(unit, F.when(F.col("node").isNull(), F.col(above)).alias(above))
+    entry = roots(opened, unit, above)
+    first = entry.join(ring.select(F.col("node").alias("root"), "cycle"), "root").groupBy("cycle").agg(F.min_by("root", F.col("node")).alias("cut_unit"))
+    out = sound.join(first.select("cut_unit"), F.col(unit) == F.col("cut_unit"), "left")
+    return out.select(unit, F.when(F.col("cut_unit").isNull(), F.col(above)).alias(above))
 
 
 def unit_members(units: DataFrame, unit: str, above: str, members: DataFrame, member: str) -> DataFrame:
-    """unit, members: distinct members of each unit and all units below it."""
+    """unit, members: distinct members of each unit and all units below it, however deep."""
     up = ancestors(units, unit, above).select(F.col("node").alias("low_unit"), F.col("ancestor").alias("high_unit"))
     own = members.select(F.col(unit).alias("low_unit"), member)
     rolled = own.join(up, "low_unit").select(F.col("high_unit").alias(unit), member).union(own)
@@ -132,6 +181,91 @@ def unit_members(units: DataFrame, unit: str, above: str, members: DataFrame, me
     return every.join(rolled, unit, "left").groupBy(unit).agg(F.countDistinct(member).alias("members"))
 
 
+def branch_chart(tree: DataFrame, child: str, parent: str, name: str, unresolved: str, detail: int = 60) -> DataFrame:
+    """node, name, kind (branch or person), person_count, unresolved_count, position: the top level of a chart.
+
+    A forest of at most `detail` people shows everyone; a larger one shows its roots, those with people below them as
+    collapsed branches. Branches come before people, both by name without case, then by node.
+    """
+    sizes = subtree_sizes(tree, child, parent, (unresolved,))
+    rows = tree.select(F.col(child).alias("of"), F.col(name).alias("name"), F.col(parent).alias("above")).join(sizes, F.col("of") == F.col("node"))
+    whole = tree.count() <= detail
+    shown = rows if whole else rows.where("above is null")
+    kind = F.lit("person") if whole else F.when(F.col("subtree") > 1, "branch").otherwise("person")
+    counted = F.col("kind") == "branch"
+    nodes = shown.withColumn("kind", kind).select("node", "name", "kind", F.when(counted, F.col("subtree")).alias("person_count"), F.when(counted, F.col(unresolved)).alias("unresolved_count"))
+    return nodes.orderBy(F.col("kind") == "person", F.lower("name"), "node")
+
+
+def bounded_view(tree: DataFrame, child: str, parent: str, name: str, focus: object, limit: int = 80, most_ancestors: int = 40) -> DataFrame:
+    """node, position of at most `limit` nodes around a focus: the focus, its nearest ancestors, then children level by
+    level, in the order of their parents and by name without case. Each level takes what the limit still allows."""
+    link = tree.select(F.col(child).alias("node"), F.col(parent).alias("above"), F.lower(name).alias("sort_name"))
+    spark = tree.sparkSession
+    kind = link.schema["node"].dataType.simpleString()
+    chosen, at = [focus], focus
+    while len(chosen) < min(most_ancestors, limit):  # one row each, forty at most
+        row = link.where(F.col("node") == F.lit(at)).select("above").first()
+        if row is None or row["above"] is None or row["above"] in chosen:
+            break
+        chosen.append(at := row["above"])
+    placed = [(n, i) for i, n in enumerate(chosen)]
+    level = list(placed)
+    while level and len(placed) < limit:
+        parents = spark.createDataFrame(level, f"parent_node {kind}, parent_position int")
+        seen = spark.createDataFrame([(n,) for n, _ in placed], f"seen_node {kind}")
+        below = link.join(F.broadcast(parents), F.col("above") == F.col("parent_node")).join(F.broadcast(seen), F.col("node") == F.col("seen_node"), "left_anti")
+        found = [r["node"] for r in below.orderBy("parent_position", "sort_name", "node").limit(limit - len(placed)).select("node").collect()]
+        level = [(n, len(placed) + i) for i, n in enumerate(found)]
+        placed += level
+    return spark.createDataFrame(placed, f"node {kind}, position int")
+
+
+def expanded(edges: DataFrame, edge: str, a: str, b: str, seeds: DataFrame, hops: int = 2, per_node: int = 50, most_edges: int = 500) -> tuple[DataFrame, set[str]]:
+    """edge, hop (0: a seed) of a bounded undirected expansion from seed edges (columns edge, score), and why it stopped
+    short: edge_budget, per_node_budget, visit_budget.
+
+    The best seeds come first, by score and edge. Each hop visits the nodes of the edges that the hop before added, in
+    order, and of each its first `per_node` edges; visits and edges are at most `most_edges` in all, so every frame
+    beyond the join with the edges is of bounded size.
+    """
+    ends = edges.select(F.col(edge).alias("e"), F.explode(F.array_distinct(F.array(a, b))).alias("node"))
+    best = seeds.select(F.col(edge).alias("e"), "score").orderBy(F.desc("score"), "e")
+    reasons = {"edge_budget"} if best.limit(most_edges + 1).count() > most_edges else set()
+    selected = settled(best.limit(most_edges).select("e", F.lit(0).alias("hop")), "expansion")
+    new, visited, visits = selected, None, 0
+    for hop in range(1, hops + 1):
+        frontier = ends.join(F.broadcast(new.select(F.col("e").alias("e0"))), F.col("e") == F.col("e0")).select("node").distinct()
+        frontier = frontier if visited is None else frontier.join(visited, "node", "left_anti")
+        frontier = settled(frontier, "expansion")
+        visited = frontier if visited is None else visited.union(frontier)
+        near = ends.join(F.broadcast(frontier.withColumnRenamed("node", "n0")), F.col("node") == F.col("n0")).select("node", "e")
+        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("e"))).where(F.col("place") <= per_node + 1)
+        ranked = settled(ranked, "expansion")
+        if not ranked.where(F.col("place") > per_node).isEmpty():
+            reasons.add("per_node_budget")
+        step = ranked.where(F.col("place") <= per_node).orderBy("node", "e").limit(most_edges - visits + 1)
+        step = settled(step.withColumn("visit", F.row_number().over(Window.orderBy("node", "e"))), "expansion")  # bounded by the visits left
+        if step.count() > most_edges - visits:
+            reasons.add("visit_budget")
+        step = step.where(F.col("visit") <= most_edges - visits)
+        visits += step.count()
+        fresh = step.groupBy("e").agg(F.min("visit").alias("visit")).join(selected.select(F.col("e").alias("e0")), F.col("e") == F.col("e0"), "left_anti")
+        new = settled(fresh.orderBy("visit").limit(max(0, most_edges - selected.count())).select("e", F.lit(hop).alias("hop")), "expansion")
+        selected = settled(selected.union(new), "expansion")
+        if new.isEmpty():
+            break
+    return selected.select(F.col("e").alias(edge), "hop"), reasons
+
+
+def overview(assertions: DataFrame, item: str, a: str, b: str, document: str, modality: str, disputed: str) -> DataFrame:
+    """One row: assertions, documents, entities, reported, planned, negated, disputed."""
+    entities = endpoints(assertions, item, a, b).select("node").distinct().agg(F.count(F.lit(1)).alias("entities"))
+    modal = [F.count(F.when(F.col(modality) == m, 1)).alias(m) for m in ("reported", "planned", "negated")]
+    counts = assertions.agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct(document).alias("documents"), *modal, F.count(F.when(F.col(disputed), 1)).alias("disputed"))
+    return counts.join(F.broadcast(entities))  # one row each
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of an undirected graph: each round every node takes the smallest label of
     its neighbours and then that label's own label, so labels travel twice as far each time."""

@@ -119,3 +119,39 @@ def change_categories(before: DataFrame, after: DataFrame, item: str, status: st
     }
     names = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in sorted(found.items())])), ",")
     return both.select(F.coalesce(item, "b_item").alias(item), names.alias("categories")).where("categories <> ''")
+
+
+def knowledge_changes(before: DataFrame, after: DataFrame, item: str, supersedes: str, disputed: str, version: str, document: str, late: str, source_status: DataFrame, source_mode: bool = False) -> DataFrame:
+    """item and categories (joined by commas, the leading one first) of what differs between two knowledge states.
+
+    A new item is a correction of earlier ones that it supersedes (a processing_discovery, if all are of its own source
+    version), else new_support; in source mode it is a source_revision if its document had items before. late_evidence
+    and unresolved_conflict are added. The same item with other conflicts is unresolved_conflict or assessment_change. An
+    item that is gone and not superseded is a retraction or a source_revision by the status of its source (document,
+    status), else a coverage_change.
+    """
+    old = before.select(F.col(item).alias("old_item"), F.col(disputed).alias("old_disputed"), F.col(version).alias("old_version"), F.col(document).alias("old_document"))
+    new = after.join(old.select("old_item"), F.col(item) == F.col("old_item"), "left_anti")
+    if source_mode:
+        prior = new.select(item, F.col(version).alias("own_version"), document).join(old, F.col(document) == F.col("old_document"))
+    else:
+        prior = new.select(item, F.col(version).alias("own_version"), F.explode(supersedes).alias("named")).join(old, F.col("named") == F.col("old_item"))
+    lineage = prior.groupBy(F.col(item).alias("child")).agg(F.bool_and(F.col("old_version") == F.col("own_version")).alias("same_version"))
+    kind = F.when(F.col("child").isNull(), "new_support").when(F.lit(source_mode), "source_revision").when(F.col("same_version"), "processing_discovery").otherwise("correction")
+    extra = [F.when(F.col(late), "late_evidence"), F.when(F.col(disputed), "unresolved_conflict")]
+    arrived = new.join(lineage, F.col(item) == F.col("child"), "left").select(item, F.array_join(F.array_compact(F.array(kind, *extra)), ",").alias("categories"))
+    changed = after.join(old, F.col(item) == F.col("old_item")).where(~F.col(disputed).eqNullSafe(F.col("old_disputed"))).select(item, F.when(F.col(disputed), "unresolved_conflict").otherwise("assessment_change").alias("categories"))
+    kept = after.select(F.col(item).alias("kept_item")).union(prior.select("old_item")).distinct()
+    gone = before.join(kept, F.col(item) == F.col("kept_item"), "left_anti").join(source_status.select(F.col(document).alias("s_document"), F.col("status").alias("s_status")), F.col(document) == F.col("s_document"), "left")
+    why = F.when(F.col("s_status") == "withdrawn", "retraction").when(F.col("s_status") == "superseded", "source_revision").otherwise("coverage_change")
+    return arrived.union(changed).union(gone.select(item, why.alias("categories")))
+
+
+def world_changes(before: DataFrame, after: DataFrame, item: str, group: str, modality: str, disputed: str) -> DataFrame:
+    """group and categories of the groups that hold other items at the second instant than at the first:
+    planned_transition if any item is planned, else world_state_change; unresolved_conflict is added if any is disputed."""
+    sides = [df.select(F.col(group).alias("g"), F.col(item).alias("i"), (F.col(modality) == "planned").alias("planned"), F.col(disputed).alias("disputed"), F.lit(n).alias("side")) for n, df in ((1, before), (2, after))]
+    each = sides[0].union(sides[1]).groupBy("g", "i").agg(F.countDistinct("side").alias("sides"), F.bool_or("planned").alias("planned"), F.bool_or("disputed").alias("disputed"))
+    groups = each.groupBy("g").agg(F.min("sides").alias("sides"), F.bool_or("planned").alias("planned"), F.bool_or("disputed").alias("disputed")).where("sides = 1")
+    kind = F.when(F.col("planned"), "planned_transition").otherwise("world_state_change")
+    return groups.select(F.col("g").alias(group), F.array_join(F.array_compact(F.array(kind, F.when(F.col("disputed"), "unresolved_conflict"))), ",").alias("categories"))

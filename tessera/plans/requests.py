@@ -237,7 +237,7 @@ SELECT c_custkey, CASE WHEN lat BETWEEN -90 AND 90 AND len(found) = 1 THEN found
 """)
 def spatial_join_status(spark, folder):
     points = places(spark, folder).withColumn("lat", F.when(F.col("c_custkey") % 17 != 0, F.when(F.col("c_custkey") % 19 == 0, 95.0).otherwise(F.col("lat"))))
-    return G.spatial_join(points, "c_custkey", "lat", "lon", {"kite": KITE, "square": SQUARE, "wedge": WEDGE})
+    return G.spatial_join(points, "c_custkey", "lat", "lon", G.area_table(spark, {"kite": KITE, "square": SQUARE, "wedge": WEDGE}))
 
 
 @query("""

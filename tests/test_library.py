@@ -80,6 +80,8 @@ def test_polygon(spark):
     assert [r[0] for r in df.select(G.in_polygon(F.col("lat"), F.col("lon"), date_line)).collect()] == [True, True, False]
     assert G.polygon_problem(square) is None
     assert G.polygon_problem([(0, 0), (2, 2), (2, 0), (0, 2)]) == "self_intersection"
+    assert G.polygon_problem([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)]) == "self_intersection"  # touches
+    assert G.polygon_problem([(0, 0), (4, 0), (4, 2), (4, 0), (0, 4)]) == "repeated_points"
     assert G.polygon_problem([(0, 0), (1, 1)]) == "too_few_points"
     assert G.polygon_problem([(0, 0), (1, 1), (2, 2)]) == "no_area"
 
@@ -132,10 +134,58 @@ def test_bfs_and_components(spark):
 
 
 def test_subtrees_of_a_deep_chain(spark):
-    links = [(0, None)] + [(i, i - 1) for i in range(1, 120)] + [(200, 50), (300, None)]
-    got = {r.node: (r.subtree, r.depth) for r in R.subtree_sizes(spark.createDataFrame(links, "c int, p int"), "c", "p").collect()}
-    assert got == {i: (120 - i + (i <= 50), 119 - i) for i in range(120)} | {200: (1, 0), 300: (1, 0)}
-
+    links = [(0, None, 1)] + [(i, i - 1, i % 2) for i in range(1, 1000)] + [(2000, 50, 1), (3000, None, 0)]
+    tree = spark.createDataFrame(links, "c int, p int, u int")
+    got = {r.node: (r.subtree, r.depth, r.u) for r in R.subtree_sizes(tree, "c", "p", ("u",)).collect()}
+    assert got == {i: (1000 - i + (i <= 50), 999 - i, sum(k % 2 for k in range(i, 1000)) + (i == 0) + (i <= 50)) for i in range(1000)} | {2000: (1, 0, 1), 3000: (1, 0, 0)}
+    with pytest.raises(ValueError, match="cycle"):
+        R.subtree_sizes(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "c int, p int"), "c", "p")
+
+
+def test_units_of_any_depth_and_without_cycles(spark):
+    units = spark.createDataFrame([(i, i + 1 if i < 99 else None) for i in range(100)], "unit int, above int")
+    members = spark.createDataFrame([("a", 0), ("b", 60), ("a", 60)], "member string, unit int")
+    got = {r.unit: r.members for r in R.unit_members(units, "unit", "above", members, "member").collect()}
+    assert got == {i: 0 if i < 0 else 1 if i < 60 else 2 for i in range(100)}
+    assert R.ancestors(units, "unit", "above", most=3).where("node = 0").count() == 3
+    links = [(1, 4), (2, 3), (3, 4), (4, 2), (5, 5), (6, 99), (7, 6), (8, 9), (9, 8)]
+    got = {r.unit: r.above for r in R.without_unit_cycles(spark.createDataFrame(links, "unit int, above int"), "unit", "above").collect()}
+    assert got == {1: 4, 2: 3, 3: 4, 4: None, 5: None, 6: None, 7: 6, 8: None, 9: 8}
+
+
+def test_bounded_view_and_chart(spark):
+    people = [(1, None, "Ann", 0), (2, 1, "bob", 1), (3, 1, "Cid", 0), (4, 2, "dan", 1), (5, 3, "Eve", 0), (6, None, "fay", 0)]
+    tree = spark.createDataFrame(people, "c int, p int, name string, open int")
+    assert [r.node for r in R.bounded_view(tree, "c", "p", "name", 2, limit=4).orderBy("position").collect()] == [2, 1, 4, 3]
+    top = R.branch_chart(tree, "c", "p", "name", "open", detail=3).collect()
+    assert [(r.node, r.kind, r.person_count, r.unresolved_count) for r in top] == [(1, "branch", 5, 2), (6, "person", None, None)]
+    assert [r.node for r in R.branch_chart(tree, "c", "p", "name", "open").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_expansion_reports_what_it_leaves_out(spark):
+    edges = spark.createDataFrame([(i, "hub", f"n{i}") for i in range(6)] + [(10, "n0", "far"), (11, "far", "farther")], "e int, a string, b string")
+    seed = spark.createDataFrame([(0, 1.0)], "e int, score double")
+
+    def run(**most):
+        found, reasons = R.expanded(edges, "e", "a", "b", seed, **most)
+        return {(r.e, r.hop) for r in found.collect()}, reasons
+
+    assert run() == ({(0, 0), *((i, 1) for i in range(1, 6)), (10, 1), (11, 2)}, set())
+    assert run(hops=1, per_node=2) == ({(0, 0), (1, 1), (10, 1)}, {"per_node_budget"})
+    assert run(most_edges=3) == ({(0, 0), (1, 1), (2, 1)}, {"visit_budget"})
+    assert run(most_edges=0) == (set(), {"edge_budget"})
+
+
+def test_calibration_fit_equals_a_plain_one(spark):
+    rng = random.Random(3)
+    rows = [(x := rng.random(), int(rng.random() < 1 / (1 + 2.718281828 ** (2 - 5 * x)))) for _ in range(300)]
+    slope, intercept = A.calibrator(spark.createDataFrame(rows, "s double, y int"), "s", "y")
+
+    def gradient(a, b):
+        errors = [(1 / (1 + 2.718281828459045 ** -(a * x + b)) - y, x) for x, y in rows]
+        return sum(e * x for e, x in errors) + a, sum(e for e, _ in errors)
+
+    assert max(map(abs, gradient(slope, intercept))) < 1e-6 and 1 < slope < 6
 
 def test_day_eligibility(spark):
     df = spark.sql("select * from values (1, null, null), (2, date'2020-01-01', null), (3, null, date'2020-01-05'), (4, date'2020-01-01', date'2020-01-05') as t(i, b, e)")
