@@ -39,6 +39,19 @@ def exact_before_substring(entities: DataFrame, name: str, asked: str) -> DataFr
     return hits.join(F.broadcast(best), F.col("match_class") == F.col("best_class")).drop("best_class", "match_class")
 
 
+def named_ends(edges: DataFrame, a: str, b: str, names: DataFrame, node: str, name: str) -> DataFrame:
+    """edges with a_name and b_name, null for ends that nothing names."""
+    for end in (a, b):
+        own = names.select(F.col(node).alias("named_node"), F.col(name).alias(f"{end}_name"))
+        edges = edges.join(own, F.col(end) == F.col("named_node"), "left").drop("named_node")
+    return edges
+
+
+def of_documents(assertions: DataFrame, docs: DataFrame, document: str) -> DataFrame:
+    """Assertions of the given documents, each once however often a document is given."""
+    return assertions.join(docs.select(F.col(document).alias("of_document")), F.col(document) == F.col("of_document"), "left_semi")
+
+
 def cited_evidence(in_scope: DataFrame, edges: DataFrame, cited: str, evidence: DataFrame, item: str) -> DataFrame:
     """Evidence in scope and evidence that traversed edges cite, each once."""
     proof = edges.select(F.explode(cited).alias("proof_id")).distinct()

@@ -34,9 +34,17 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Rows of an Arrow batch, unless the session sets its own number: texts are kilobytes long, and a task holds a batch
+#: both in Spark and in Python.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that Python functions find it wherever the driver runs; once a context."""
+    """Give executors this package, so that Python functions find it wherever the driver runs; once a context. Arrow
+    batches get a size that suits texts."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own number
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(context, "_tessera_shipped", False):
         return
     package = Path(__file__).resolve().parent

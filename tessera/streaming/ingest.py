@@ -23,17 +23,26 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, key: str, order
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        try:
-            known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < number).select(key).distinct()
+        if number:  # a first batch, and its replay, has none before it
+            known = read_log(spark, target, batch.schema, number).select(key).distinct()
             new = new.join(known, key, "left_anti")
-        except Exception as error:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_log(spark: SparkSession, target: str, schema: T.StructType | str, before: int | None = None) -> DataFrame:
+    """The rows of the log's batches, or of those before one; a batch without rows is a folder without files."""
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())]) if isinstance(schema, T.StructType) else f"{schema}, batch long"
+    log = spark.read.schema(numbered).option("basePath", target).option("ignoreMissingFiles", True).parquet(f"{target}/batch=*")
+    return log if before is None else log.where(F.col("batch") < before)
+
+
+def new_place(folder: str) -> str:
+    """A new folder in the shared one for a stream's log and checkpoint."""
+    return f"{folder.rstrip('/')}/tessera/stream-{uuid.uuid4().hex}"
+
+
 def tumbling_counts(stream: DataFrame, time: str, keys: list[str], size: str = "1 day", late: str = "2 days") -> DataFrame:
     """window start, keys, n; rows later than `late` behind the newest are dropped by the watermark."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
@@ -47,7 +56,7 @@ def first_versions(stream: DataFrame, key: str, time: str, late: str = "2 days")
 def final_state(aggregated: DataFrame) -> DataFrame:
     """Run a stream's aggregate over all that is there now and give its last complete state."""
     spark = aggregated.sparkSession
-    place = f"{shared_folder(spark).rstrip('/')}/tessera/stream-{uuid.uuid4().hex}"
+    place = new_place(shared_folder(spark))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/state-{number:06d}")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import relations
+from tessera.plans import delivery
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,10 +32,10 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(map(shown, r)) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(relations.ORACLES))
+@pytest.mark.parametrize("name", sorted(delivery.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
-    want = duck.execute(relations.ORACLES[name]).df()
+    want = duck.execute(delivery.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
