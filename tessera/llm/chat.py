@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import kept, kept_schema, written
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<<TEXT>>", "<</ROLE>>")
 CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
@@ -105,14 +105,15 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     content = F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     once = written(messages.where("message_id is not null").groupBy("tree_id", "message_id").agg(F.min(content).alias("c")).select("tree_id", "message_id", "c.*"), "messages")
     paths = branch_paths(once)
-    said = once.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "role", "text", F.col("score").alias("s"))
-    lines = paths.join(said, paths["tree_id"].eqNullSafe(said["t"]) & (paths["message_id"] == said["m"]))
-    scored = lines.groupBy("tree_id", "leaf_id").agg(F.sum("s").alias("score"))
+    own = once.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("score").alias("s"))
+    scored = paths.join(own, paths["tree_id"].eqNullSafe(own["t"]) & (paths["message_id"] == own["m"])).groupBy("tree_id", "leaf_id").agg(F.sum("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id"))
     chosen = scored.withColumn("branch", rank).where(F.col("branch") <= branches).select(F.col("tree_id").alias("t0"), F.col("leaf_id").alias("l0"), "branch", "score")
-    kept = lines.join(chosen, lines["tree_id"].eqNullSafe(chosen["t0"]) & (lines["leaf_id"] == chosen["l0"]))
+    places = paths.join(chosen, paths["tree_id"].eqNullSafe(chosen["t0"]) & (paths["leaf_id"] == chosen["l0"])).select("tree_id", "leaf_id", "message_id", "up", "branch", "score")
+    said = once.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "role", "text")  # texts come last, for chosen paths alone
+    lines = places.join(said, places["tree_id"].eqNullSafe(said["t"]) & (places["message_id"] == said["m"]))
     turns = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    gathered = kept.groupBy("tree_id", "leaf_id", "branch", "score").agg(turns.alias("turns"))
+    gathered = lines.groupBy("tree_id", "leaf_id", "branch", "score").agg(turns.alias("turns"))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     ids = {f.name: f.dataType.simpleString() for f in gathered.schema}
 
@@ -127,9 +128,10 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def read_back(formatted: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep`, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the formatted
-    strings and their loss masks alone."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in formatted.select(*keep).schema)
-    names = [*keep, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    strings and their loss masks alone. One row for each row, repeated ones too; an empty table gives no rows. A kept
+    column with the name of a result is called kept_<name>."""
+    results = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = [*formatted.select(*kept(keep, results)).columns, *results]
 
     def digests(text: str, mask: list[dict]) -> tuple:
         turns = parse_turns(text)
@@ -144,4 +146,4 @@ def read_back(formatted: DataFrame, keep: list[str]) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=names)
 
-    return formatted.select(*keep, F.col("formatted").alias("read_text"), F.col("loss_spans").alias("read_mask")).mapInArrow(of_batches, f"{kept}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select(*keep, F.col("formatted").alias("read_text"), F.col("loss_spans").alias("read_mask")).mapInArrow(of_batches, kept_schema(formatted, keep, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import parts, rows_where
+from tessera.llm.shared import kept, kept_schema, parts, rows_where
 
 ORDERS = (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
@@ -111,17 +111,19 @@ def train(labelled: DataFrame, rows_per_language: int = 2000, min_share: float =
 def identify(docs: DataFrame, filters: Filters, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs, lang_pred and score (0 to 1).
 
-    lang_pred is a learned language, or `und` if the text is null or has no letter. One row for each row of docs.
+    lang_pred is a learned language, or `und` if the text is null or has no letter. One row for each row of docs,
+    repeated ones too; very long texts are read whole; an empty table gives no rows. A kept column with the name of a
+    result is called kept_<name>.
     """
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    names = [*docs.select(*kept(keep, ["lang_pred", "score"])).columns, "lang_pred", "score"]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             found = [filters.decide(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col(text).alias("read_text")).mapInArrow(of_batches, schema)
+    return docs.select(*keep, F.col(text).alias("read_text")).mapInArrow(of_batches, kept_schema(docs, keep, "lang_pred string, score double"))
 
 
 def in_known_language(docs: DataFrame, filters: Filters, text: str = "text", min_share: float = 0.2) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import kept, kept_schema
+
 SAMPLE_BYTES = 192
 TIMESCALE = 8000
 KEYFRAME_EVERY = 16
@@ -175,8 +177,12 @@ def payload(media: bytes, track: Track) -> bytes:
 
 
 def to_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep`, n_bytes and media: each whole text (null: empty) as a media file."""
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema
+    """The columns `keep`, n_bytes and media: each whole text (null: empty) as a media file.
+
+    One row for each row of docs, repeated ones too; an empty table gives no rows. A kept column with the name of a
+    result is called kept_<name>.
+    """
+    names = [*docs.select(*kept(keep, ["n_bytes", "media"])).columns, "n_bytes", "media"]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,24 +190,29 @@ def to_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 own = batch.slice(i, 1)
                 data = data or b""
                 columns = [*own.columns[:-1], pa.array([len(data)], pa.int64()), pa.array([build_media(padded(data))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("stored_text")).mapInArrow(of_batches, schema)
+    return docs.select(*keep, F.col(text).cast("binary").alias("stored_text")).mapInArrow(of_batches, kept_schema(docs, keep, "n_bytes long, media binary"))
 
 
 def describe_media(table: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """The columns `keep`, codec, duration (seconds), keyframes (structs of offset and bytes), payload_bytes,
     payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes, media_sha256.
 
-    Of a file with several tracks the first counts. A null medium gives nulls; a broken one is an error.
+    Of a file with several tracks the first counts; one without a track gives null for what a track tells. A null medium
+    gives nulls; a broken one is an error. One row for each row of table; an empty table gives no rows. A kept column
+    with the name of a result is called kept_<name>.
     """
     added = "codec string, duration double, keyframes array<struct<offset:long,bytes:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*keep).schema)
     kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-    names = [*keep, "codec", "duration", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    results = ["codec", "duration", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    names = [*table.select(*kept(keep, results)).columns, *results]
 
     def described(data: bytes) -> list:
-        track = read_tracks(data)[0]
+        tracks = read_tracks(data)
+        if not tracks:
+            return [None] * 6 + [len(data), hashlib.sha256(data).hexdigest()]
+        track = tracks[0]
         stored = payload(data, track)
         ranges = [{"offset": a, "bytes": b} for a, b in track.keyframe_ranges()]
         return [track.codec, track.duration / track.timescale, ranges, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(data), hashlib.sha256(data).hexdigest()]
@@ -212,7 +223,7 @@ def describe_media(table: DataFrame, keep: list[str], media: str = "media") -> D
             added_columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added_columns], names=names)
 
-    return table.select(*keep, F.col(media).alias("read_media")).mapInArrow(of_batches, f"{kept}, {added}")
+    return table.select(*keep, F.col(media).alias("read_media")).mapInArrow(of_batches, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*kept(keep, results)).schema], added]))
 
 
 def feature_text() -> Column:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import kept, kept_schema, parts
+
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words kept in each of two generations.
@@ -170,30 +172,39 @@ def encoder(model_file: str) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, model_file: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep`, ids (array of int), score, n_unspelled: each whole text as pieces (null: none)."""
-    schema = docs.select(*keep, F.array(F.lit(0)).alias("ids"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_unspelled")).schema
+    """The columns `keep`, ids (array of int), score, n_unspelled: each whole text as pieces (null and empty: none).
+
+    One row for each row of docs, repeated ones too; an empty table gives no rows. A kept column with the name of a
+    result is called kept_<name>; texts of any length are encoded whole.
+    """
+    schema = kept_schema(docs, keep, "ids array<int>, score double, n_unspelled long")
+    names = [*docs.select(*kept(keep, ["ids", "score", "n_unspelled"])).columns, "ids", "score", "n_unspelled"]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_file)
-        for batch in batches:
+        for batch in parts(batches):
             found = [coder.encode(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
             sizes = np.cumsum([0, *[len(ids) for ids, _, _ in found]]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint32), *[ids for ids, _, _ in found]]).astype(np.int32)
             added = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array([s for _, s, _ in found], pa.float64()), pa.array([u for _, _, u in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=names)
 
     return docs.select(*keep, F.col(text).alias("encoded_text")).mapInArrow(of_batches, schema)
 
 
 def decode_ids(encoded: DataFrame, model_file: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns `keep`, decoded (text), n_pieces, ids_crc32 (little-endian 32-bit), decoded_sha256; null ids count
-    as none."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
-    names = [*keep, "decoded", "n_pieces", "ids_crc32", "decoded_sha256"]
+    as none.
+
+    One row for each row of encoded, repeated ones too; an empty table gives no rows. A kept column with the name of a
+    result is called kept_<name>.
+    """
+    results = ["decoded", "n_pieces", "ids_crc32", "decoded_sha256"]
+    names = [*encoded.select(*kept(keep, results)).columns, *results]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_file)
-        for batch in batches:
+        for batch in parts(batches):
             column = batch.column(batch.num_columns - 1)
             rows = [column[i].values for i in range(len(column))]
             arrays = [x.to_numpy() if x is not None else np.empty(0, np.int32) for x in rows]
@@ -206,4 +217,4 @@ def decode_ids(encoded: DataFrame, model_file: str, keep: list[str], ids: str =
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=names)
 
-    return encoded.select(*keep, F.col(ids).alias("read_ids")).mapInArrow(of_batches, f"{kept}, decoded string, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return encoded.select(*keep, F.col(ids).alias("read_ids")).mapInArrow(of_batches, kept_schema(encoded, keep, "decoded string, n_pieces long, ids_crc32 long, decoded_sha256 string"))

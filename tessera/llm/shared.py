@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import settled as written
 
-__all__ = ["bounded_sample", "byte_texts", "is_held_out", "parts", "rows_where", "total_bytes", "written"]
+__all__ = ["bounded_sample", "byte_texts", "is_held_out", "kept", "kept_schema", "parts", "rows_where", "total_bytes", "written"]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -18,6 +18,18 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def kept(keep: list[str], results: list[str]) -> list[Column]:
+    """The kept columns; one with the name of a result (in any case) is called kept_<name>."""
+    taken = {r.lower() for r in results}
+    return [F.col(c).alias(f"kept_{c}" if c.lower() in taken else c) for c in keep]
+
+
+def kept_schema(df: DataFrame, keep: list[str], results: str) -> str:
+    """The DDL of the kept columns of df and the results."""
+    names = [x.split()[0] for x in results.split(", ")]
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept(keep, names)).schema], results])
+
+
 def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 

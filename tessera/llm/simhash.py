@@ -409,12 +409,25 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(near_copies(docs, doc_id, text, **search), "near-copies")
     own = F.struct("doc_id", "text_key")
     best = rows.groupBy("root").agg(F.min(own).alias("best"))
-    goes = rows.join(best, "root").where(own != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone = unclaimed(docs, "gone_id", "gone_key")
+    goes = rows.join(best, "root").where(own != F.col("best")).select(*[F.col(c).alias(g) for c, g in zip(("doc_id", "text_key"), gone, strict=True)]).distinct()
     goes = written(goes, "gone")
     if goes.count() <= BROADCAST_IDS:  # few megabytes; beyond that the texts are shuffled
         goes = F.broadcast(goes)
-    kept = docs.join(goes, (F.col(doc_id).cast("long") == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_key")), "left_anti")
+    kept = docs.join(goes, (F.col(doc_id).cast("long") == F.col(gone[0])) & (F.xxhash64(text) == F.col(gone[1])), "left_anti")
     if not rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         order = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(text)
-        kept = kept.withColumn("row_of_id", F.row_number().over(order)).where(F.col(doc_id).isNull() | (F.col("row_of_id") == 1)).drop("row_of_id")
+        (place,) = unclaimed(docs, "place")
+        kept = kept.withColumn(place, F.when(F.col(doc_id).isNull(), 1).otherwise(F.row_number().over(order))).where(F.col(place) == 1).drop(place)
     return kept
+
+
+def unclaimed(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column of df needs."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

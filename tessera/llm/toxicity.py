@@ -1,7 +1,7 @@
 """Toxicity (operator 10): a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 Training reads a bounded sample of labelled rows (`max_rows`, by a hash of the id): document counts of each hashed
-n-gram for both labels are summed on Spark, the `n_features` that lean most to toxic by chi-square stay, each is scaled
+n-gram for both labels are summed on Spark, the `n_features` with the highest chi-square stay, each is scaled
 by its log-count ratio, and logistic regression weighs them. Scoring reads every whole text.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import bounded_sample, parts, rows_where
+from tessera.llm.shared import bounded_sample, kept, kept_schema, parts, rows_where, written
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -85,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
     chosen = labels.select(F.col("doc_id").alias("labelled_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and labelled_id is not null")
     chosen = bounded_sample(chosen, "labelled_id", max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("label", F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    rows = written(rows, "labelled-texts")  # a bounded sample, read three times below
     counts = rows.select("label", "text").mapInArrow(_document_counts, "bucket int, clean int, toxic int")
     counts = counts.groupBy("bucket").agg(F.sum("clean").cast("double").alias("clean"), F.sum("toxic").cast("double").alias("toxic"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -94,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
     n, both = n0 + n1, F.col("clean") + F.col("toxic")
     gap = F.col("toxic") * n0 - F.col("clean") * n1
     chi2 = n * gap * gap / (n0 * n1 * both * (n - both) + F.lit(1e-9))
-    best = counts.where((both >= 3) & (gap > 0)).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "bucket").limit(n_features).select("bucket", "clean", "toxic").toPandas().sort_values("bucket")
+    best = counts.where(both >= 3).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "bucket").limit(n_features).select("bucket", "clean", "toxic").toPandas().sort_values("bucket")
     bucket = best["bucket"].to_numpy(np.int64)
     p, q = best["toxic"].to_numpy() + 1, best["clean"].to_numpy() + 1
     scale = np.log((p / (n1 + 2)) / (q / (n0 + 2)))
@@ -114,18 +115,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs, score (0 to 1) and predicted (1 if score >= 0.5).
 
-    One row for each row of docs; null and empty texts get the score of the intercept and the n-grams of a blank.
+    One row for each row of docs, repeated ones too; null and empty texts get the score of the intercept and the n-grams
+    of a blank; an empty table gives no rows. A kept column with the name of a result is called kept_<name>.
     """
-    schema = docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    names = [*docs.select(*kept(keep, ["score", "predicted"])).columns, "score", "predicted"]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()
         for batch in parts(batches):
             scores = model.scores(batch.column(batch.num_columns - 1).to_pylist(), dense)
             columns = [*batch.columns[:-1], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col(text).alias("scored_text")).mapInArrow(of_batches, schema)
+    return docs.select(*keep, F.col(text).alias("scored_text")).mapInArrow(of_batches, kept_schema(docs, keep, "score double, predicted int"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, written
+from tessera.llm.shared import bounded_sample, kept, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDERS = (3, 4)
@@ -75,9 +75,11 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows:
     for _ in range(rounds if n else 0):
         error = UrlModel(weights, intercept).score(F.col("found")) - F.col("label")
         share = error / F.sqrt(F.size("found").cast("double"))
-        steps = table.select(error.alias("error"), F.explode("found").alias("bucket"), share.alias("share")).groupBy("bucket").agg(F.sum("share").alias("slope")).collect()
-        slope0 = table.agg(F.avg(error).alias("slope")).first()["slope"]
-        for row in steps:
+        # Every row is in the bucket -1 too, with its whole error: the slope of the intercept.
+        entries = F.concat(F.array(F.struct(F.lit(-1).alias("bucket"), error.alias("share"))), F.transform("found", lambda x: F.struct(x.alias("bucket"), share.alias("share"))))
+        steps = table.select(F.explode(entries).alias("e")).groupBy("e.bucket").agg(F.sum("e.share").alias("slope")).collect()
+        slope0 = next(r["slope"] for r in steps if r["bucket"] < 0) / n
+        for row in (r for r in steps if r["bucket"] >= 0):
             slope = row["slope"] / n + penalty * weights[row["bucket"]]
             seen[row["bucket"]] += slope * slope
             weights[row["bucket"]] -= rate * slope / math.sqrt(seen[row["bucket"]])
@@ -90,14 +92,22 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, keep: li
     """The columns `keep`, host, path, rule, score and verdict (allow or block) for each row of pages.
 
     rules: `host/path` -> allow or block. The longest fitting rule decides, else the model: block from `threshold` on.
-    labelled: url, label (1: block). Null urls have empty host and path and are judged by the model.
+    labelled: url, label (1: block). Null and empty urls have empty host and path and are judged by the model; very long
+    ones are read whole. Repeated rows are judged each; an empty table gives no rows. A kept column with the name of a
+    result is called kept_<name>.
     """
     model = train(labelled, **training)
+    held = [f"held_{i}" for i in range(len(keep))]
+    own = pages.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.col(url).alias("judged_url"))
     host, path = host_and_path(F.col("judged_url"))
-    parts = pages.select(*keep, F.col(url).alias("judged_url")).select(*keep, host.alias("host"), path.alias("path"))
-    ruled = parts.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("score", model.score(features(F.col("host"), F.col("path"), len(model.weights))))
-    by_rule = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules.items()], F.lit(None).cast("string"))
-    return ruled.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("score") >= threshold, "block").otherwise("allow")))
+    parts = own.select(*held, host.alias("own_host"), path.alias("own_path"))
+    host, path = F.col("own_host"), F.col("own_path")
+    ruled = parts.select(*held, host, path, matching_rule(host, path, rules).alias("own_rule"), model.score(features(host, path, len(model.weights))).alias("own_score"))
+    by_rule = F.coalesce(*[F.when(F.col("own_rule") == r, F.lit(v)) for r, v in rules.items()], F.lit(None).cast("string"))
+    verdict = F.coalesce(by_rule, F.when(F.col("own_score") >= threshold, "block").otherwise("allow"))
+    found = {"host": host, "path": path, "rule": F.col("own_rule"), "score": F.col("own_score"), "verdict": verdict}
+    names = pages.select(*kept(keep, list(found))).columns
+    return ruled.select(*[F.col(h).alias(c) for c, h in zip(names, held, strict=True)], *[c.alias(name) for name, c in found.items()])
 
 
 def labelled_by_rules(pages: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:

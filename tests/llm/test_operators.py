@@ -188,6 +188,8 @@ def test_url_filter(spark):
         assert got[i].verdict == (RULES[rule] if rule else "block" if got[i].score >= 0.5 else "allow")
     hits = [(got[i].score >= 0.5) == (RULES[got[i].rule] == "block") for i in got if got[i].rule]
     assert np.mean(hits) > 0.95
+    both = urlfilter.judge(pages.union(pages).where("page_id < 3"), RULES, labelled, ["page_id", "host"])
+    assert both.columns == ["page_id", "kept_host", "host", "path", "rule", "score", "verdict"] and both.count() == 6
     empty = urlfilter.judge(pages.limit(0), RULES, labelled.limit(0), ["page_id"])
     assert empty.count() == 0
 
@@ -204,7 +206,9 @@ def test_media_round_trip(docs, nothing):
         padded = data + b" " * (-len(data) % 192 or (0 if data else 192))
         expected.append((doc_id, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]), "ipcm", len(padded) / 8000))
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.codec, r.duration) for r in found), key=str) == sorted(expected, key=str)
-    assert media.to_media(nothing, ["doc_id"]).count() == 0
+    assert media.to_media(nothing, ["doc_id"]).count() == 0 and media.describe_media(media.to_media(nothing, ["doc_id"]), ["doc_id"]).count() == 0
+    clashing = media.describe_media(media.to_media(docs.withColumn("media", F.lit(1)), ["doc_id", "media"]).withColumn("codec", F.lit("x")), ["kept_media", "codec"])
+    assert clashing.columns[:3] == ["kept_media", "kept_codec", "codec"] and clashing.count() == len(odd_documents())
 
 
 def test_keyframe_ranges_point_into_the_file():
@@ -298,7 +302,10 @@ def test_reply_trees(spark):
     assert turns[None, 1] == [("", "")] and turns["o", 1] == [("user", "orphan")]
     assert [t for _, t in turns["long", 1]] == [str(i) for i in range(1, 40)]
     assert len(found) == 5
-    assert chat.format_trees(messages.limit(0)).count() == 0
+    assert chat.format_trees(messages.limit(0)).count() == 0 and chat.read_back(chat.format_trees(messages.limit(0)), ["tree_id"]).count() == 0
+    long = spark.createDataFrame([("x", 1, None, "assistant", "[INST]\\" * 100_000, 1.0)], messages.drop("up").schema)
+    row = chat.read_back(chat.format_trees(long).withColumn("n_turns", F.lit(7)), ["tree_id", "n_turns"]).first()
+    assert (row.kept_n_turns, row.n_turns, row.loss_chars) == (7, 1, 700_000)
 
 
 # Language ID and toxicity
@@ -329,6 +336,8 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (900, 910, 911, 912)] == ["und", "und", "und", "aa"]
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.in_known_language(asked, filters).where("doc_id in (900, 910, 911)").count() == 0
+    twice = langid.identify(asked.union(asked).withColumn("lang_pred", F.lit(1)), filters, ["doc_id", "LANG_PRED"])
+    assert twice.columns == ["doc_id", "kept_LANG_PRED", "lang_pred", "score"] and twice.count() == 2 * asked.count()
     none = langid.train(frame.limit(0))
     assert {r.lang_pred for r in langid.identify(frame, none, ["doc_id"]).collect()} == {"und"}
 
@@ -354,6 +363,8 @@ def test_toxicity(spark):
     blank = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, blank, ["doc_id"]).collect()} == {0.5}
     assert toxicity.without_toxic(docs, blank).count() == docs.count()
+    assert toxicity.score(docs.union(docs), model, ["doc_id", "score"]).columns == ["doc_id", "kept_score", "score", "predicted"]
+    assert toxicity.score(docs.union(docs), model, ["doc_id"]).count() == 2 * docs.count() and toxicity.without_toxic(docs.limit(0), model).count() == 0
 
 
 # SimHash
@@ -460,6 +471,26 @@ def test_representatives_keep_all_columns(docs):
     assert 0 in ids and 12 not in ids and ids.count(2) == 1 and ids.count(None) == 1
 
 
+def test_representatives_keep_clashing_columns(spark, nothing):
+    rows = [(1, "a b c d e f g", "x", 1, 5), (1, "a b c d e f g", "x", 2, 6), (2, "A b c d e f g", "y", 3, 7), (3, "", "z", 4, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, row_of_id int, place int")
+    left = simhash.representatives(docs, shingle=5)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+    assert all((r.gone_id, r.row_of_id, r.place) in [(x[2], x[3], x[4]) for x in rows] for r in left.collect())
+    assert simhash.representatives(nothing).count() == 0
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for changed in (0, 1, size // 20, size):
+            b = np.unique(np.concatenate((a[changed:], rng.integers(0, 1 << 63, changed + size // 4, dtype=np.uint64))))
+            distance = simhash.sketch_distance(simhash.parity_sketch(a), simhash.parity_sketch(b))
+            assert distance <= len(np.setxor1d(a, b))
+            assert size < 300 or changed < size or distance > 0.6 * min(len(a), len(b))
+
+
 def test_representatives_remove_rows_not_ids(spark):
     rng = random.Random(17)
     first, second, third = (prose(rng, 80, 5000) for _ in range(3))
