@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.predicates import bounded
+from tessera.session import settled
+
 WORD = r"(?U)\w+"
 TERM = r"(?U)\w+(?:[-.]\w+)*"
 CHUNK_CHARS = 1200
@@ -23,9 +30,8 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, start, chunk: windows of `size` code points without overlap; texts without characters have none."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    cut = docs.select(doc_id, text, F.explode(starts).alias("start"))
-    return cut.select(doc_id, "start", F.col(text).substr(F.col("start") + 1, F.lit(size)).alias("chunk"))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one pass over the text
+    return docs.select(doc_id, F.posexplode(pieces).alias("number", "chunk")).select(doc_id, (F.col("number") * size).alias("start"), "chunk")
 
 
 def equal_to(term: str) -> Callable[[Column], Column]:
@@ -42,11 +48,20 @@ def lexical_score(found: Column, terms: list[str], prefix: str | None = None) ->
     return score + F.when(F.exists(found, lambda t: t.startswith(prefix)), 0.5).otherwise(0.0) if prefix else score
 
 
-def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", only: list[str] | None = None) -> DataFrame:
-    """doc_id, term, tf; `only` keeps the query's terms before anything is shuffled."""
-    words = tokens(F.col(text), TERM)
-    words = F.filter(words, lambda t: t.isin(only)) if only is not None else words
-    return docs.select(doc_id, F.explode(words).alias("term")).groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, term, tf of each row. Terms are counted row by row within Arrow batches, so that nothing is shuffled."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [Counter(words or ()) for words in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(c) for c in found])
+                columns = [part.column(0).take(pa.array(owner)), pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "term", "tf"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, tokens(F.col(text), TERM).alias("words")).mapInArrow(of_batches, f"`{doc_id}` {kind}, term string, tf long")
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -54,37 +69,51 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc_id, score of each document that holds a query term."""
-    words = tokens(F.col(text), TERM)
-    sized = docs.select(doc_id, F.size(words).alias("size"), F.filter(words, lambda t: t.isin(query)).alias("hits"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size")).first()
-    counts = sized.select(doc_id, "size", F.explode("hits").alias("term")).groupBy(doc_id, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    joined = counts.join(F.broadcast(document_frequencies(counts)), "term")  # the query's terms at most
-    idf = F.log(1 + (whole["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (whole["avg_size"] or 1.0)))
-    return joined.groupBy(doc_id).agg(F.sum(part).alias("score"))
+    """doc_id, score of each document that holds a query term. The texts are read once: a settled row of each document
+    holds its size and how often each query term occurs."""
+    terms = list(dict.fromkeys(query))
+    words = docs.select(doc_id, tokens(F.col(text), TERM).alias("words"))
+    own = [F.size(F.filter("words", equals(t))).cast("long").alias(f"tf_{i}") for i, t in enumerate(terms)]
+    sized = settled(words.select(doc_id, F.size("words").alias("size"), *own), "bm25")
+    whole = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size"), *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).alias(f"df_{i}") for i in range(len(terms))]).first()
+    score, some = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf_{i}"), whole[f"df_{i}"]
+        idf = math.log(1 + (whole["n_docs"] - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / (whole["avg_size"] or 1.0)))
+        some = some | (tf > 0)
+    return sized.where(some).select(doc_id, score.alias("score"))
+
+
+def equals(term: str) -> Callable[[Column], Column]:
+    return lambda t: t == F.lit(term)
 
 
 def tfidf_cosine(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score: cosine of the query and each document that shares a term, weights (1 + ln tf) (1 + ln((N + 1) /
-    (df + 1)))."""
-    counts = term_counts(docs, doc_id, text)
-    weighted = counts.join(document_frequencies(counts), "term")
+    (df + 1))). Terms are counted inside each row and settled once; only they are shuffled, for their frequencies."""
+    counts = settled(term_counts(docs, doc_id, text), "term-counts")
     idf = 1 + F.log((F.lit(docs.count()) + 1) / (F.col("df") + 1))
+    rated = document_frequencies(counts).select("term", idf.alias("idf"))
     asked = {t: query.count(t) for t in query}
-    own = F.lit(0.0)
-    for term, tf in asked.items():
-        own = own + F.when(F.col("term") == term, (1 + F.log(F.lit(float(tf)))) * idf).otherwise(0.0)
-    rows = weighted.select(doc_id, "term", ((1 + F.log("tf")) * idf).alias("w"), own.alias("q"))
-    norm = rows.where("q > 0").groupBy("term").agg(F.first("q").alias("q")).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")).first()["qn"]
+    own = {r["term"]: (1 + math.log(asked[r["term"]])) * r["idf"] for r in rated.where(F.col("term").isin(list(asked))).collect()}
+    if not own:
+        return counts.select(doc_id, F.lit(0.0).alias("score")).limit(0)
+    norm = math.sqrt(sum(q * q for q in own.values()))
+    q = F.coalesce(*[F.when(F.col("term") == t, F.lit(w)) for t, w in own.items()], F.lit(0.0))
+    hits = counts.where(F.col("term").isin(list(own))).select(F.col(doc_id).alias("hit_id")).distinct()
+    near = counts.join(hits, F.col(doc_id) == F.col("hit_id"), "left_semi")  # the norms of documents that share a term alone
+    rows = near.join(rated, "term").select(doc_id, ((1 + F.log("tf")) * F.col("idf")).alias("w"), q.alias("q"))
     sums = rows.groupBy(doc_id).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn")).where("dot > 0")
     return sums.select(doc_id, (F.col("dot") / (F.col("dn") * F.lit(norm))).alias("score"))
 
 
-def fuse(channels: list[DataFrame], item: str, score: str = "score", constant: int = 60) -> DataFrame:
-    """item, fused: reciprocal rank fusion; each channel is ranked by score, ties by item."""
+def fuse(channels: list[DataFrame], item: str, score: str = "score", constant: int = 60, most: int = 10_000) -> DataFrame:
+    """item, fused: reciprocal rank fusion; each channel, a result list of at most `most` rows, is ranked by score, ties
+    by item. A longer channel is an error."""
     out = None
     for channel in channels:
+        channel = bounded(channel, most)
         rank = F.row_number().over(Window.orderBy(F.desc(score), F.asc(item)))  # a channel is a bounded result list
         part = channel.select(item, (1 / (constant + rank)).alias("part"))
         out = part if out is None else out.unionByName(part)
