@@ -305,14 +305,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, siz
     """node, shingles: the set of each wanted node (node, doc_id, text_key), once for each row of its text."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            found = [shingle_hashes(x, size).tobytes() for x in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+        for batch in parts(batches, 100):
+            found = [shingle_hashes(x, size) for x in byte_texts(batch.column(1))]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
 
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = keyed(docs, doc_id, text).join(wanted, ["doc_id", "text_key"]).select("node", "text")
-    return rows.mapInArrow(of_batches, "node long, shingles binary")
+    return rows.mapInArrow(of_batches, "node long, shingles array<long>")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -325,15 +327,6 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: s
             apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
             yield batch.filter(pa.array(apart * (100 + percent) <= sizes * (100 - percent))).select(["a", "b"])
 
-    def near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared * (100 + percent) >= (len(x) + len(y)) * percent)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
     left, right = (nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "sketch")]) for x in "ab")
     both = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
     maybe = written(both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near_sketches, "a long, b long"), "maybe")
@@ -341,7 +334,8 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: s
     wanted = written(nodes.join(named, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
     sets = written(shingle_sets(docs, wanted, doc_id, text, shingle), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    return maybe.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(near_sets, "a long, b long")
+    shared = F.size(F.array_intersect("of_a", "of_b"))  # pair by pair inside Spark: no batch of whole sets is held
+    return maybe.join(left, "a").join(right, "b").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
 
 
 def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
