@@ -1,24 +1,28 @@
 """Substring dedup (operator 1): Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
 1. Documents are dealt to blocks by ranges of doc_id, so that block order is document order. The ranges are
-   quantiles of doc_id weighted by text length; a block holds about `block_bytes` of text.
+   quantiles of doc_id weighted by text length; a block holds about `block_bytes` of text. Ids that hold more, as a
+   missing one may, are dealt on by a hash of the text.
 2. Each block hashes all its windows and sends every distinct hash once to the bucket its high bits name, packed:
-   sorted differences, byte planes, compressed. Buckets grow in number with the corpus, not in size, and a window
-   that a third of all documents share reaches its bucket once for each block.
+   sorted differences, byte planes, compressed; as flat rows they would need twice the disk. A bucket holds the windows
+   of about `bucket_bytes` of text, and a window that a third of all documents share reaches its bucket once for each
+   block. There are blocks times buckets packets, so both sizes should grow with a corpus of many terabytes.
 3. A bucket counts each hash over all blocks. It answers every block with a bit mask: this hash also occurs in an
    earlier block.
 4. The block hashes its windows again, adds those that start earlier within the block, merges the windows that
    repeat into maximal intervals, and cuts these out.
 
-Two windows count as equal when a 64-bit Rabin-Karp hash over the words' XXH64 and two more bytes from a second
-such hash agree. Different windows agree with a probability of 2**-80 for each pair.
+Two windows count as equal when a 64-bit Rabin-Karp hash agrees and 32 bits of a second one, over the two independent
+halves of the words' 128-bit XXH3. Different windows agree with a probability of about 2**-96 for each pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,41 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 VOCABULARY = 1 << 18
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
 class WordHashes(dict):
-    """Word -> its XXH64; forgets all when full, so memory stays bounded."""
+    """Word -> its 128-bit XXH3; forgets all when full, so memory stays bounded."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word, 42)
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = value = xxhash.xxh3_128_digest(word, 42)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """Two independent hashes of each word."""
         if len(self) > VOCABULARY:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+
+
+def pieces(text: bytes | None, size: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, some megabytes at a time."""
+    at, text = 0, text or b""
+    while len(text) - at > size and (space := SPACE.search(text, at + size)):
+        yield text[at : space.start()].split()
+        at = space.start()
+    yield text[at:].split()
+
+
+def kept_words(text: bytes | None, keep: np.ndarray | None) -> bytes:
+    """The words that are kept (all, if keep is None), joined by one space."""
+    out, at = [], 0
+    for words in pieces(text):
+        if keep is not None:
+            words, at = list(compress(words, keep[at : at + len(words)].tolist())), at + len(words)
+        if words:
+            out.append(b" ".join(words))
+    return b" ".join(out)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -58,14 +86,14 @@ def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
     """Both Rabin-Karp hashes of all windows of `size` words, by prefix sums modulo 2**64."""
     n = len(words) - size + 1
     out = []
-    for base in BASES:
+    for lane, base in enumerate(BASES):
         inverse = pow(base, -1, 1 << 64)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(inverse, len(words)), dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words[:, lane] * _powers(inverse, len(words)), dtype=np.uint64)))
         key = (sums[size:] - sums[:-size]) * _powers(base, n)
         key ^= key >> np.uint64(32)
         key *= np.uint64(0xD6E8FEB86659FD93)
         out.append(key ^ (key >> np.uint64(32)))
-    return out[0], (out[1] >> np.uint64(48)).astype(np.uint16)
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
 class Block:
@@ -75,14 +103,15 @@ class Block:
         vocabulary = WordHashes()
         keys, checks, self.counts = [], [], []
         for text in texts:
-            words = text.split() if text else []
-            self.counts.append(len(words))
-            if len(words) >= size:
-                key, check = window_hashes(vocabulary.of(words), size)
+            words = [vocabulary.of(part) for part in pieces(text)]
+            n_words = sum(map(len, words))
+            self.counts.append(n_words)
+            if n_words >= size:
+                key, check = window_hashes(np.concatenate(words), size)
                 keys.append(key)
                 checks.append(check)
         key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        check = np.concatenate(checks) if checks else np.empty(0, np.uint16)
+        check = np.concatenate(checks) if checks else np.empty(0, np.uint32)
         order = np.argsort(key)
         key, check = key[order], check[order]
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
@@ -108,14 +137,14 @@ class Block:
 
 def pack(key: np.ndarray, check: np.ndarray) -> bytes:
     steps = np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    planes = np.concatenate((steps, check.view(np.uint8).reshape(-1, 2).T))
+    planes = np.concatenate((steps, check.view(np.uint8).reshape(-1, 4).T))
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(10, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(12, -1)
     key = np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64)
-    return key, np.ascontiguousarray(planes[8:].T).view(np.uint16).ravel()
+    return key, np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel()
 
 
 def keep_mask(repeated: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -127,44 +156,51 @@ def keep_mask(repeated: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
-def with_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """docs (doc_id, text, others) with the number of their block; how many blocks of `block_bytes` the text fills."""
-    total = total_bytes(docs, "text")
-    n = max(1, -(-total // block_bytes))
-    weight = 1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4096).cast("int")
-    weighted = docs.where("doc_id is not null").select(F.explode(F.array_repeat("doc_id", weight)).alias("doc_id"))
+def with_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """docs (doc_id, text, others) with text_hash and the number of their block, in document order: rows without id
+    first, then by doc_id, of one doc_id by text_hash."""
+    n = max(1, -(-total_bytes(docs, "text") // block_bytes))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    # Both go to the driver, as the blocks' limits: at most one id for each block.
+    heavy = {r["doc_id"]: -(-r["b"] // block_bytes) for r in docs.groupBy("doc_id").agg(F.sum(size).alias("b")).where(F.col("b") > 2 * block_bytes).collect()}
+    weighted = docs.where("doc_id is not null").select(F.explode(F.array_repeat("doc_id", 1 + F.floor(size / 4096).cast("int"))).alias("doc_id"))
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else None
     found = weighted.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n)).alias("e")).first()["e"] if n > 1 else []
-    edges = np.array(sorted(set(found or [])), np.int64)
+    alone = [x for h in heavy if h is not None for x in (h, h + 1) if x < 1 << 63]
+    edges = np.array(sorted({*(found or []), *alone}), np.int64)
 
     def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            block = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=[*batch.schema.names, "block"])
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash").to_numpy()
+            known = np.asarray(ids.is_valid())
+            block = np.where(known, 1 + np.searchsorted(edges, ids.fill_null(0).to_numpy(), side="right"), 0) << 20
+            share = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+            parts = np.array([heavy.get(i, 1) for i in ids.to_pylist()] if heavy else np.ones(len(hashes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + np.minimum(share * parts, parts - 1).astype(np.int64))], names=[*batch.schema.names, "block"])
 
-    return docs.mapInArrow(block_of, docs.withColumn("block", F.lit(0)).schema), n
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(block_of, hashed.withColumn("block", F.lit(0).cast("long")).schema)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text_hash", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = 8 << 20, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text), the columns `keep`: each document without the words
     that a repeated window covers. kept_text: the text as it was if nothing is removed, else the kept words joined by
     one space; kept_sha256 always is of the words so joined.
 
     A window is `window` consecutive words; it is repeated if its words also start earlier: in a document with a
-    smaller doc_id, or earlier in the same document. Rows with one doc_id are ordered by text and count as
-    documents one after the other; rows without an id come before all others. Null, empty and blank texts have no
+    smaller doc_id, or earlier in the same document. Rows with one doc_id are ordered by a hash of their
+    text, then by text, and count as documents one after the other; rows without an id come before all others. Null, empty and blank texts have no
     words (kept_text of a null is null); shorter texts have no window and stay whole. One row for each row of docs;
     other columns are not read.
     """
     extra = [f"keep_{i}" for i in range(len(keep))]
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)])
-    blocked, n = with_blocks(plain, block_bytes)
-    buckets = n
+    blocked = with_blocks(plain, block_bytes)
+    buckets = max(1, -(-total_bytes(plain, "text") // bucket_bytes))
 
     def send(table: pa.Table) -> pa.Table:
         table = _ordered(table)
@@ -173,7 +209,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         full = np.flatnonzero(np.diff(cuts))
         packed = [pack(block.key[cuts[b] : cuts[b + 1]], block.check[cuts[b] : cuts[b + 1]]) for b in full]
         number = table["block"][0].as_py()
-        return pa.table({"block": pa.array([number] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "packed": pa.array(packed, pa.binary())})
+        return pa.table({"block": pa.array([number] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_numpy()
@@ -201,23 +237,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         repeated = block.repeated(earlier)
         removed, digests, kept, at = [], [], [], 0
         for text, n_words in zip(texts, block.counts, strict=True):
-            words = text.split() if text else []
+            keep = None
             if n_words >= window:
                 windows = repeated[at : at + n_words - window + 1]
                 at += len(windows)
                 if windows.any():
                     keep = keep_mask(windows, n_words, window)
-                    words = [words[i] for i in np.flatnonzero(keep).tolist()]
-            removed.append(n_words - len(words))
-            joined = b" ".join(words)
+            joined = kept_words(text, keep)
+            removed.append(0 if keep is None else n_words - int(keep.sum()))
             digests.append(hashlib.sha256(joined).hexdigest())
-            kept.append(joined if len(words) < n_words else text)
+            kept.append(text if keep is None else joined)
         columns = {"doc_id": own["doc_id"], "n_words": pa.array(block.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests)}
         columns |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}
         return pa.table(columns | {e: own[e] for e in extra})
 
-    sent = blocked.groupBy("block").applyInArrow(send, "block int, bucket int, packed binary")
-    answers = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, mask binary")
+    sent = blocked.groupBy("block").applyInArrow(send, "block long, bucket int, packed binary")
+    answers = sent.groupBy("bucket").applyInArrow(count, "block long, bucket int, mask binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in plain.schema[2:])
     found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)

@@ -71,6 +71,27 @@ def test_substring_dedup_equals_brute_force(docs, block_bytes):
     assert found.columns[-2:] == ["score", "block"] and {r.block for r in rows} == {2, None}
 
 
+@pytest.mark.parametrize("block_bytes", [700, 1 << 20])
+def test_substring_dedup_of_one_heavy_id(spark, block_bytes):
+    """A missing id and a repeated one hold most rows; of one id the order is that of a hash of the text."""
+    rng = random.Random(9)
+    shared = [prose(rng, 25, 5000) for _ in range(6)]
+    rows = [(rng.choice([None, None, 7, 7, i]), f"{prose(rng, 30, 5000)} {rng.choice(shared)} {prose(rng, rng.randrange(40), 5000)}") for i in range(150)]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=20, block_bytes=block_bytes, bucket_bytes=2000)
+    hashed = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).view(np.int64)))
+    numbered = [(k, text) for k, (_, text) in enumerate(hashed)]
+    expected = sorted((str(hashed[k][0]), n, gone, mark) for k, n, gone, mark in brute_removal(numbered, 20))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == expected
+
+
+def test_long_texts_are_read_in_pieces():
+    text = b" a\tbb  ccc\n" * 50 + b"x" * 300
+    for size in (1, 7, 100, 10_000):
+        assert [w for part in substrings.pieces(text, size) for w in part] == text.split()
+    keep = np.arange(151) % 2 == 0
+    assert substrings.kept_words(text, keep) == b" ".join(text.split()[::2]) and substrings.kept_words(None, None) == b""
+
+
 def test_substring_dedup_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
