@@ -177,11 +177,22 @@ def cell_links(cells: DataFrame, radius: int, chunk: int) -> DataFrame:
     return spread_hot_cells(cells, chunk).repartition("cell").sortWithinPartitions("cell").mapInArrow(of_batches, "a long, b long").distinct()
 
 
-def near_pairs(fps: DataFrame, radius: int = 4, groups: int = 6, chunk: int = 4096) -> DataFrame:
+def enough_groups(rows: int, radius: int) -> int:
+    """The fewest groups by which a cell holds some eight rows by chance. A cell fixes all but `radius` of the groups of
+    32 segments, whose counts 0, 1, 2 are worth one and a half bits each. More groups mean more grids, and no group
+    number loses a pair."""
+    return next((g for g in range(radius + 2, 32) if rows <= 8 * 2 ** (48 * (g - radius) / g)), 32)
+
+
+def near_pairs(fps: DataFrame, radius: int = 4, groups: int | None = None, chunk: int = 4096) -> DataFrame:
     """a, b: links between different fingerprints at most `radius` bits apart, enough of them that linked
     fingerprints are connected exactly as by all such pairs. fps: column fp; repeats count once, null is left out.
+    groups: see enough_groups, which chooses them from the number of fingerprints.
     """
     nodes = fps.where("fp is not null").select("fp").distinct().select(F.col("fp").alias("node"), "fp")
+    if groups is None:
+        nodes = written(nodes, "nodes")
+        groups = enough_groups(nodes.count(), radius)
     return cell_links(grid_cells(nodes, radius, groups), radius, chunk)
 
 
@@ -214,7 +225,7 @@ def connected(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, groups: int = 6, chunk: int = 4096) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, groups: int | None = None, chunk: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of at most
     `radius` differing bits.
 

@@ -412,14 +412,18 @@ def test_simhash_components_equal_brute_force(docs, nothing):
     assert simhash.near_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [5, 10_000])
-def test_near_pairs_lose_no_link(spark, chunk):
+def test_groups_grow_with_the_rows():
+    assert [simhash.enough_groups(n, 4) for n in (0, 250_000, 10_000_000, 10**9)] == [6, 6, 7, 10]
+
+
+@pytest.mark.parametrize(("chunk", "groups"), [(5, None), (10_000, None), (10_000, 8)])
+def test_near_pairs_lose_no_link(spark, chunk, groups):
     rng = random.Random(11)
     centres = [rng.getrandbits(64) for _ in range(12)]
     prints = {c ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(7))}) for c in centres for _ in range(25)} | {0, (1 << 64) - 1, 1}
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     frame = spark.createDataFrame([(x,) for x in signed + signed[:5] + [None]], "fp long")
-    roots = {r.node: r.root for r in simhash.connected(simhash.near_pairs(frame, radius=4, chunk=chunk)).collect()}
+    roots = {r.node: r.root for r in simhash.connected(simhash.near_pairs(frame, radius=4, chunk=chunk, groups=groups)).collect()}
     values, parent = sorted(prints), {}
     for x in values:
         parent[x] = x
