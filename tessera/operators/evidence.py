@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import first_per_key
+
 
 def name_key(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
@@ -39,6 +41,16 @@ def exact_before_substring(entities: DataFrame, name: str, asked: str) -> DataFr
     return hits.join(F.broadcast(best), F.col("match_class") == F.col("best_class")).drop("best_class", "match_class")
 
 
+def united(parts: list[DataFrame], item: str, order: list[Column]) -> DataFrame:
+    """The rows of all parts, of each item the first in order."""
+    return first_per_key(reduce(DataFrame.unionByName, parts), [item], order)
+
+
+def difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Expected rows that are missing from the actual ones, as often as they are."""
+    return expected.exceptAll(actual)
+
+
 def named_ends(edges: DataFrame, a: str, b: str, names: DataFrame, node: str, name: str) -> DataFrame:
     """edges with a_name and b_name, null for ends that nothing names."""
     for end in (a, b):

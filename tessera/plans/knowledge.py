@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import vectors as V
+from tessera.operators import aggregates as A
 from tessera.operators import comms as C
 from tessera.operators import evidence as E
 from tessera.operators import graph as R
@@ -402,7 +401,7 @@ def revision_disagreement(spark, folder):
 
 @query("SELECT p_brand, count(*) AS n, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS kinds FROM part GROUP BY 1")
 def facets(spark, folder):
-    return table(spark, folder, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("p_type")), "|").alias("kinds"))
+    return A.facets(table(spark, folder, "part"), ["p_brand"], ["p_type"]).withColumnRenamed("p_type", "kinds")
 
 
 @query("SELECT p_brand, count(*) AS n FROM (SELECT p_brand, [lower(p_type), CASE WHEN p_size > 20 THEN 'large' ELSE 'small' END] AS c, lower(p_type) AS t FROM part) WHERE c[2] = 'small' GROUP BY 1")
@@ -419,27 +418,25 @@ SELECT source, round(recall, 8) AS recall_at_10, round(rr, 8) AS reciprocal_rank
 def retrieval_metrics(spark, folder):
     rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    hit = F.when((F.col("place") <= 10) & (F.col("quality") == 1), F.col("place"))
-    out = rows.withColumn("place", place).groupBy("source").agg(F.count(hit).alias("hits"), F.sum("quality").alias("good"), F.min(hit).alias("first_hit"))
-    return out.select("source", F.round(F.col("hits") / F.nullif(F.col("good"), F.lit(0)), 8).alias("recall_at_10"), F.round(F.coalesce(1 / F.col("first_hit"), F.lit(0.0)), 8).alias("reciprocal_rank"))
+    out = A.retrieval_metrics(rows.withColumn("place", place), ["source"], "place", F.col("quality") == 1)
+    return out.select("source", F.round("recall", 8).alias("recall_at_10"), F.round("reciprocal_rank", 8).alias("reciprocal_rank"))
 
 
 @query("(SELECT text AS t FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT text FROM documents WHERE doc_id % 3 = 0)")
 def evidence_difference(spark, folder):
     docs = table(spark, folder, "documents")
-    return docs.where("doc_id % 2 = 0").select(F.col("text").alias("t")).exceptAll(docs.where("doc_id % 3 = 0").select("text"))
+    return E.difference(docs.where("doc_id % 2 = 0").select(F.col("text").alias("t")), docs.where("doc_id % 3 = 0").select("text"))
 
 
 @query("SELECT arg_min(doc_id, doc_id) AS doc_id, sha256(text) AS mark FROM documents GROUP BY text")
 def evidence_union(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", X.text_hash(F.col("text")).alias("mark"))
-    return docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1")).groupBy("mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "mark")
+    return E.united([docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")], "mark", [F.asc("doc_id")]).select("doc_id", "mark")
 
 
 @query("SELECT doc_id, len(list_filter([contains(lower(text), 'license'), contains(lower(text), 'work')], lambda x: x)) = 2 AS found FROM documents")
 def evidence_search(spark, folder):
-    tests = [F.contains(F.lower("text"), F.lit(t)) for t in ("license", "work")]
-    return table(spark, folder, "documents").select("doc_id", reduce(lambda a, b: a & b, tests).alias("found"))
+    return table(spark, folder, "documents").select("doc_id", E.all_terms(F.col("text"), ["License", "work"]).alias("found"))
 
 
 # Reviews: events are decisions on users; an event of a given kind undoes the one before it of its user.

@@ -40,6 +40,36 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def plain(name: str) -> list[dict]:
+    return pd.read_parquet(f"{FOLDER}/{name}.parquet").to_dict("records")
+
+
+def test_linked_components_equal_brute_force(spark):
+    cells: dict = {}
+    for o in plain("orders"):
+        cells.setdefault(int(o["o_totalprice"] // 2), []).append(o["o_custkey"])
+    least = {o["o_custkey"]: o["o_custkey"] for o in plain("orders")}
+    for group in cells.values():
+        found = {least[c] for c in group}
+        least = {c: min(found) if v in found else v for c, v in least.items()}
+    got = {r.node: r.component for r in entry.queries()["linked_components"](spark, FOLDER).collect()}
+    assert got == least and 1 < len(set(least.values())) < len(least)
+
+
+def test_strict_local_times_equal_the_zone_table(spark):
+    from datetime import timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    zone, wanted = ZoneInfo("America/New_York"), {}
+    for o in plain("orders"):
+        wall = o["o_orderdate"].to_pydatetime() + timedelta(hours=o["o_orderkey"] % 4, minutes=30)
+        instants = {wall.replace(tzinfo=zone, fold=f).astimezone(timezone.utc) for f in (0, 1)}
+        real = [t for t in instants if t.astimezone(zone).replace(tzinfo=None) == wall]
+        wanted[o["o_orderkey"]] = (real[0].strftime("%Y-%m-%d %H:%M") if len(real) == 1 else None, len(real))
+    got = {r.o_orderkey: (r.utc, r.candidates) for r in entry.queries()["strict_local_times"](spark, FOLDER).collect()}
+    assert got == wanted
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
