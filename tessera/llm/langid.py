@@ -79,9 +79,14 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from given()
 
 
-def train(labelled: DataFrame, rows_per_language: int = 2000, min_share: float = 0.01, min_ratio: float = 0.2, max_grams: int = 200_000, log_positions: int = 20) -> Filters:
+def train(labelled: DataFrame, rows_per_language: int = 2000, min_share: float = 0.01, min_ratio: float = 0.2, log_positions: int = 20) -> Filters:
     """labelled: doc_id, text, lang. Rows without lang or id are left out; repeated rows count again; at most 64
-    languages. An empty table gives filters that know no language."""
+    languages. An empty table gives filters that know no language.
+
+    All n-grams that belong to a language go to the driver: for each language at most the mean number of distinct
+    n-grams of its sampled documents over min_share. The filter has 2**log_positions positions, or as many more as keep
+    it at an eighth.
+    """
     labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
@@ -97,10 +102,10 @@ def train(labelled: DataFrame, rows_per_language: int = 2000, min_share: float =
     shares = counted.groupBy("gram", "lang").agg((F.sum("documents") / F.first(F.element_at(total, F.col("lang")))).alias("share"))
     by_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("found")).where(F.col("top") >= min_share)
     has = F.filter("found", lambda x: (x["share"] >= min_share) & (x["share"] >= min_ratio * F.col("top")))
-    kept = by_gram.orderBy(F.desc("top"), "gram").limit(max_grams).select("gram", F.transform(has, lambda x: x["lang"]).alias("langs")).toPandas()
+    kept = by_gram.select("gram", F.transform(has, lambda x: x["lang"]).alias("langs")).toPandas()
     bit = {lang: i for i, lang in enumerate(languages)}
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = np.zeros(1 << log_positions, kind)
+    masks = np.zeros(1 << max(log_positions, (8 * len(kept)).bit_length()), kind)
     own = np.array([sum(1 << bit[x] for x in langs) for langs in kept["langs"]], np.uint64).astype(kind)
     for at in positions(kept["gram"].to_numpy(np.int32).view(np.uint32), len(masks)):
         np.bitwise_or.at(masks, at, own)

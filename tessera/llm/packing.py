@@ -185,18 +185,22 @@ def first_basis(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple
     return basis, inverse
 
 
-def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 0.002, most_rounds: int = 120, at_once: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and how often each is used, fractions allowed, to use exactly `counts` pieces of `lengths`.
+def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 0.002, most_rounds: int = 120, at_once: int = 24) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows), how often each is used, fractions allowed, to use exactly `counts` pieces of `lengths`, and the
+    gap that is proven.
 
     Revised simplex. It ends when Farley's bound proves the number of sequences to be within `gap` of the optimum, or
-    after `most_rounds` pricings.
+    after `most_rounds` pricings; the gap then says how far off it may be. Either way every piece is packed: what the
+    patterns leave over is laid end to end.
     """
     basis, inverse = first_basis(lengths, counts, capacity)
     used = (inverse * counts).sum(axis=1)
     dual = inverse.sum(axis=0)
+    reached = float("inf")
     for _ in range(most_rounds):
         best, last = best_fills(lengths, dual, capacity)
-        if best[capacity] <= 1 + gap:
+        reached = best[capacity] - 1
+        if reached <= gap:
             break
         gains = dual + best[capacity - lengths]
         entered = 0
@@ -222,29 +226,31 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap:
             entered += 1
         if not entered:
             break
-    return basis.T, np.clip(used, 0, None)
+    return basis.T, np.clip(used, 0, None), float(reached)
 
 
 @dataclass(frozen=True)
 class Plan:
     """places: length, from_rank, to_rank, copies, sequence, offset. stream: length, from_rank, position.
-    The stream of stream_tokens ids starts at sequence stream_sequence."""
+    The stream of stream_tokens ids starts at sequence stream_sequence. gap: see solve_patterns."""
 
     places: list[tuple]
     stream: list[tuple]
     stream_sequence: int
     stream_tokens: int
     stream_pieces: int
+    gap: float
 
 
 def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     sequences = histogram.get(capacity, 0)
     places = [(capacity, 0, sequences, 1, 0, 0)] if sequences else []
     lengths = np.array(sorted(k for k in histogram if k < capacity), np.int64)
-    taken = dict.fromkeys(lengths.tolist(), 0)
+    taken, gap = dict.fromkeys(lengths.tolist(), 0), 0.0
     if len(lengths):
         counts = np.array([histogram[k] for k in lengths.tolist()], float)
-        for pattern, used in zip(*solve_patterns(lengths, counts, capacity), strict=True):
+        patterns, times_used, gap = solve_patterns(lengths, counts, capacity)
+        for pattern, used in zip(patterns, times_used, strict=True):
             copies = pattern.astype(np.int64)
             times = min([int(used + 1e-7), *((histogram[n] - taken[n]) // c for n, c in zip(lengths.tolist(), copies.tolist(), strict=True) if c)])
             if times <= 0 or int(copies @ lengths) != capacity:
@@ -262,7 +268,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             stream.append((length, done, position))
             position += left * length
             pieces += left
-    return Plan(places, stream, sequences, position, pieces)
+    return Plan(places, stream, sequences, position, pieces, gap)
 
 
 def stream_ends(tokens: int, capacity: int) -> list[int]:
