@@ -122,13 +122,29 @@ def _table(data: memoryview, at: int, width: int, kind: str = "I") -> list[tuple
     return list(zip(*[iter(flat)] * width, strict=True))
 
 
+def _compact_sizes(data: memoryview, at: int) -> list[int]:
+    """The sizes of a compact table: fields of 4, 8 or 16 bits."""
+    width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if width == 4:
+        return [data[at + 12 + i // 2] >> (0 if i % 2 else 4) & 15 for i in range(n)]
+    if width not in (8, 16):
+        raise ValueError(f"sample sizes of {width} bits")
+    return list(struct.unpack_from(f">{n}{'B' if width == 8 else 'H'}", data, at + 12))
+
+
 def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> Track:
     at = {k: v[0] for k, v in found.items()}
+    for kinds in ((b"mdhd",), (b"stsd",), (b"stsc",), (b"stsz", b"stz2"), (b"stco", b"co64")):
+        if not any(k in at for k in kinds):
+            raise ValueError(f"a track has no {' or '.join(k.decode() for k in kinds)} box")
     long = data[at[b"mdhd"]] == 1
     timescale, duration = struct.unpack_from(">IQ" if long else ">II", data, at[b"mdhd"] + (20 if long else 12))
     codec = bytes(data[at[b"stsd"] + 12 : at[b"stsd"] + 16]).decode("latin-1")
-    fixed, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
-    sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at[b"stsz"] + 12))
+    if b"stsz" in at:
+        fixed, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
+        sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at[b"stsz"] + 12))
+    else:
+        sizes = _compact_sizes(data, at[b"stz2"])
     chunks = [x for (x,) in (_table(data, at[b"stco"], 1) if b"stco" in at else _table(data, at[b"co64"], 1, "Q"))]
     runs = _table(data, at[b"stsc"], 3)
     offsets: list[int] = []
@@ -141,16 +157,19 @@ def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> Track:
                 place += size
     if len(offsets) != len(sizes):
         raise ValueError("sample tables disagree")
-    keyframes = [x for (x,) in _table(data, at[b"stss"], 1)] if b"stss" in at else list(range(1, n + 1))
+    keyframes = [x for (x,) in _table(data, at[b"stss"], 1)] if b"stss" in at else list(range(1, len(sizes) + 1))
     return Track(codec, timescale, duration, offsets, sizes, keyframes)
 
 
 def read_tracks(media: bytes) -> list[Track]:
-    """All tracks, from the nested boxes alone."""
+    """All tracks, from the nested boxes alone. A fragmented file, a track without a table that it needs, tables that
+    disagree and boxes that exceed their parents are errors (ValueError)."""
     data, tracks = memoryview(media), []
 
     def walk(start: int, end: int, found: dict[bytes, tuple[int, int]]) -> None:
         for kind, body, stop in boxes(data, start, end):
+            if kind == b"moof":
+                raise ValueError("the samples of fragmented files are not in sample tables")
             if kind == b"trak":
                 own: dict[bytes, tuple[int, int]] = {}
                 walk(body, stop, own)

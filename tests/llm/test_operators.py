@@ -240,6 +240,18 @@ def test_keyframe_ranges_point_into_the_file():
     assert [data[a : a + n] for a, n in track.keyframe_ranges()] == [body[k : k + 192] for k in range(0, len(body), 192 * 16)]
     with pytest.raises(ValueError):
         media.read_tracks(data[:-5])
+    with pytest.raises(ValueError, match="fragmented"):
+        media.read_tracks(data + media._box(b"moof", b""))
+    with pytest.raises(ValueError, match="no stsz or stz2"):
+        media.read_tracks(data.replace(b"stsz", b"free"))
+    assert media.read_tracks(media._box(b"free", b"")) == []
+
+
+@pytest.mark.parametrize(("width", "sizes"), [(4, [3, 15, 1]), (8, [200, 7]), (16, [60_000, 1, 2])])
+def test_compact_sizes(width, sizes):
+    packed = bytes([0x3F, 0x10]) if width == 4 else b"".join(n.to_bytes(width // 8, "big") for n in sizes)
+    table = bytes(7) + bytes([width]) + len(sizes).to_bytes(4, "big") + packed
+    assert media._compact_sizes(memoryview(table), 0) == sizes
 
 
 # Packing
