@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.aggregates import first_per_key
+from tessera.operators.graph import reachable
+from tessera.operators.quality import conflicts
 
 
 def name_key(name: Column) -> Column:
@@ -64,6 +66,14 @@ def of_documents(assertions: DataFrame, docs: DataFrame, document: str) -> DataF
     return assertions.join(docs.select(F.col(document).alias("of_document")), F.col(document) == F.col("of_document"), "left_semi")
 
 
+def conflict_packet(edges: DataFrame, target: DataFrame, hops: int, evidence: DataFrame, entity: str, item: str, subject: list[str], value: str) -> DataFrame:
+    """subject, n_values, vals of the conflicting values in the evidence about all entities within `hops` steps of the
+    target (column node); evidence of several entities counts once."""
+    near = reachable(edges, target, hops).select(F.col("node").alias("near_node"))
+    about = evidence.join(near, F.col(entity) == F.col("near_node"), "left_semi").dropDuplicates([item])
+    return conflicts(about, subject, value)
+
+
 def cited_evidence(in_scope: DataFrame, edges: DataFrame, cited: str, evidence: DataFrame, item: str) -> DataFrame:
     """Evidence in scope and evidence that traversed edges cite, each once."""
     proof = edges.select(F.explode(cited).alias("proof_id")).distinct()

@@ -368,6 +368,30 @@ def first_event_versions(spark, folder):
     return S.read_log(spark, f"{place}/log", "user_id long, event_id long").select("user_id", "event_id")
 
 
+@query("""
+WITH e AS (SELECT event_id AS seq, user_id AS doc, CASE WHEN event_id % 17 = 0 THEN 'withdraw' ELSE 'upsert' END AS op, CASE WHEN event_id % 4 = 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS prior FROM events),
+g AS (SELECT doc, max(seq) AS gone FROM e WHERE op = 'withdraw' GROUP BY 1), a AS (SELECT e.* FROM e LEFT JOIN g USING (doc) WHERE op = 'upsert' AND (gone IS NULL OR seq > gone))
+SELECT doc AS user_id, seq AS event_id FROM a WHERE seq NOT IN (SELECT prior FROM a WHERE prior IS NOT NULL)
+""")
+def standing_stream_events(spark, folder):
+    """Events as upserts, corrections of the one before and withdrawals: what stands of the log."""
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    log = table(spark, folder, "events").withColumns({"operation": F.when(F.col("event_id") % 17 == 0, "withdraw").otherwise("upsert"), "supersedes": F.when(F.col("event_id") % 4 == 0, F.lag("event_id").over(own))})
+    return S.standing_events(log, "user_id", "event_id", "operation", "supersedes").select("user_id", "event_id")
+
+
+@query("""
+SELECT c_mktsegment, count(DISTINCT n_name) AS n_values, string_agg(DISTINCT n_name, '|' ORDER BY n_name) AS vals FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 GROUP BY 1 HAVING count(DISTINCT n_name) > 1
+""")
+def conflict_packet(spark, folder):
+    """What the customers of a region's nations say of their segment's nation."""
+    nation = table(spark, folder, "nation")
+    edges = nation.selectExpr("concat('r', n_regionkey) as src", "concat('n', n_nationkey) as dst")
+    target = table(spark, folder, "region").where("r_regionkey = 1").selectExpr("concat('r', r_regionkey) as node")
+    said = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("c_custkey", "concat('n', c_nationkey) as entity", "c_mktsegment", "n_name")
+    return E.conflict_packet(edges, target, 1, said, "entity", "c_custkey", ["c_mktsegment"], "n_name")
+
+
 @query("""
 SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Corrected' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 4 IN (0, 1)
 """)

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.predicates import bounded
+from tessera.operators.predicates import RequestError, bounded
 
 CORRUPT = "_corrupt_record"
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType, max_rows: int | None = None) -> DataFrame:
-    """Rows of a strict schema: a broken line is an error, and so are more than max_rows rows."""
+def json_lines(spark: SparkSession, path: str, schema: T.StructType, max_rows: int | None = None, max_line_bytes: int | None = None) -> DataFrame:
+    """Rows of a strict schema: a broken line is an error, and so are a line of over max_line_bytes and more than
+    max_rows rows."""
+    if max_line_bytes is not None and not spark.read.text(path).where(F.octet_length("value") > max_line_bytes).isEmpty():
+        raise RequestError("budget_exceeded", f"a line of more than {max_line_bytes} bytes")
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return bounded(df, max_rows) if max_rows is not None else df
 
@@ -33,10 +36,10 @@ def header_key(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
 
 
-def csv_table(spark: SparkSession, path: str, headers: Mapping[str, list[str]], required: list[str]) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, headers: Mapping[str, list[str]], required: list[str], multi_line: bool = False) -> DataFrame:
     """Columns of the given names, found by any of their header spellings; all strings. A missing required one is an
-    error, other columns are left out."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    error, other columns are left out. multi_line: values may hold line ends; such files can't be split."""
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     known = {header_key(c): c for c in df.columns}
     found = {name: next((known[k] for k in map(header_key, [name, *spellings]) if k in known), None) for name, spellings in headers.items()}
     if missing := [n for n in required if not found[n]]:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import spreadsheet_safe, text_hash
 from tessera.operators.predicates import RequestError
+from tessera.session import settled
 
 
-def export_csv(df: DataFrame, path: str, max_rows: int, one_file: bool = True) -> int:
+def export_csv(df: DataFrame, path: str, max_rows: int, one_file: bool = False) -> int:
     """Write all rows as CSV with formula-safe text, or fail before writing if there are more than max_rows. Returns
-    the number of rows. The folder appears only when the job has committed."""
+    the number of rows. The rows are computed once and settled; the folder appears only when the job has committed."""
+    df = settled(df, "export")
     n = df.count()
     if n > max_rows:
         raise RequestError("budget_exceeded", f"{n} rows; at most {max_rows} are exported")

@@ -38,6 +38,15 @@ def read_log(spark: SparkSession, target: str, schema: T.StructType | str, befor
     return log if before is None else log.where(F.col("batch") < before)
 
 
+def standing_events(log: DataFrame, document: str, seq: str, operation: str, supersedes: str) -> DataFrame:
+    """The upserts of an append-only event log that stand: no later event of their document withdraws it, and no event
+    that stands names them as superseded. Corrections and withdrawals only append, so each batch recomputes the state."""
+    gone = log.where(F.col(operation) == "withdraw").groupBy(F.col(document).alias("gone_doc")).agg(F.max(seq).alias("gone_seq"))
+    alive = log.where(F.col(operation) == "upsert").join(gone, F.col(document) == F.col("gone_doc"), "left").where(F.col("gone_seq").isNull() | (F.col(seq) > F.col("gone_seq"))).drop("gone_doc", "gone_seq")
+    named = alive.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("named_seq")).distinct()
+    return alive.join(named, F.col(seq) == F.col("named_seq"), "left_anti")
+
+
 def new_place(folder: str) -> str:
     """A new folder in the shared one for a stream's log and checkpoint."""
     return f"{folder.rstrip('/')}/tessera/stream-{uuid.uuid4().hex}"

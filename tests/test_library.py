@@ -241,7 +241,9 @@ def test_sources_and_sinks(spark, tmp_path):
     area = readers.geojson_features(spark, str(tmp_path / "g.json"), ["code"]).first()
     assert (area.code, area.rings[0][1]) == ("q", [1.0, 0.0])
     df = spark.createDataFrame([("=1", 1), ("b", 2)], "t string, n int")
-    assert sinks.export_csv(df, str(tmp_path / "out"), 2) == 2
+    assert sinks.export_csv(df, str(tmp_path / "out"), 2, one_file=True) == 2
+    with pytest.raises(P.RequestError, match="10 bytes"):
+        readers.json_lines(spark, str(tmp_path / "a.jsonl"), schema, max_line_bytes=10)
     assert "'=1,1" in next((tmp_path / "out").glob("part-*")).read_text()
     with pytest.raises(P.RequestError):
         sinks.export_csv(df, str(tmp_path / "out2"), 1)
