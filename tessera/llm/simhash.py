@@ -350,32 +350,39 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: s
 
 
 def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
-    """node, root of all nodes of cells (cell, node, size) that are connected by similar pairs in a cell.
+    """node, root of all nodes of cells (cell, node, size, pos: the cell's place in the node's order) that are connected
+    by similar pairs in a cell.
 
-    Neighbours in a cell, in two orders, come first; so most sets of a large group are connected before all pairs that
-    are in one cell and not yet connected are compared.
+    A pair counts in the cell that is its first shared shingle: what the two sets share lies there and behind, so the
+    shorter of the two rests must be long enough for the similarity. Any similar pair passes in its first cell; pairs
+    that share only what is frequent, and so stands last, pass in none. Neighbours in a cell, in two orders, come first;
+    so most sets of a large group are connected before the pairs that are in one cell and not yet connected are compared.
     """
-    links = roots = None
+    columns = ("node", "size", "pos", "root")
+    roots = None
     for order in ([F.col("size"), F.col("node")], [F.xxhash64("node")], None):
         open_cells = cells.withColumn("root", F.col("node"))
         if roots is not None:
             known = roots.withColumnRenamed("node", "linked")
-            open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
+            open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select("cell", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
             several = open_cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
             open_cells = open_cells.join(several, "cell", "left_semi")
         if order:
             row = Window.partitionBy("cell").orderBy(*order)
-            met = open_cells.select(*[F.col(c).alias(f"{c}_a") for c in ("node", "size", "root")], *[F.lead(c).over(row).alias(f"{c}_b") for c in ("node", "size", "root")])
+            met = open_cells.select(*[F.col(c).alias(f"{c}_a") for c in columns], *[F.lead(c).over(row).alias(f"{c}_b") for c in columns])
         else:
             spread = written(spread_hot_cells(written(open_cells, "open-cells"), chunk), "spread-cells")
-            a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")]) for x in "ab")
+            a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
             met = a.join(b, "cell")
-        alike = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+        rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        alike = rest * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
         met = met.where((F.col("root_a") < F.col("root_b") if not order else F.col("root_a") != F.col("root_b")) & alike)
         pairs = written(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
         found = written(similar(pairs), "links")
-        links = found if links is None else links.union(found)
-        roots = written(connected(links), "roots")
+        if roots is None:
+            roots = written(connected(found), "roots")
+        elif not found.isEmpty():  # what is connected goes in as a star for each root
+            roots = written(connected(found.union(roots.select("node", "root"))), "roots")
     return roots
 
 
@@ -390,10 +397,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
     own = marks.join(rows, ["node", "doc_id", "text_key"], "left_semi")
     nodes = written(own.select("node", "doc_id", "text_key", "size", "sketch").dropDuplicates(["node"]), "nodes")
-    cells = own.select(F.explode("prefix").alias("cell"), "node", "size")
+    cells = own.select(F.posexplode("prefix").alias("pos", "cell"), "node", "size").select("cell", "node", "size", "pos")
     own = Window.partitionBy("cell").orderBy("node")
     neighbours = cells.withColumns({"before": F.lag("node").over(own), "after": F.lead("node").over(own)})
-    cells = written(neighbours.where("before is not null or after is not null").select("cell", "node", "size"), "cells")
+    cells = written(neighbours.where("before is not null or after is not null").select("cell", "node", "size", "pos"), "cells")
     similar = partial(similar_pairs, nodes=nodes, docs=docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
     roots = similar_roots(cells, similar, percent, chunk).withColumnRenamed("node", "linked")
     return marks.join(roots, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))

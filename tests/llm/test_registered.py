@@ -160,6 +160,32 @@ def test_op9_components(spark):
     assert got == {i: (f"{prints[i]:016x}", least[i]) for i in ids}
 
 
+def test_near_copies_of_real_documents_equal_brute_force(spark):
+    """Every pair of documents of similarity 0.8 or more on five-word shingles is found, and no other one."""
+    from tessera.llm import simhash
+
+    sets, holders = {}, defaultdict(list)
+    for d in rows_of("documents", LARGER):
+        sets[d["doc_id"]] = set(simhash.word_shingles((d["text"] or "").encode().lower().split(), 5)) if d["text"] else set()
+        for gram in sets[d["doc_id"]]:
+            holders[gram].append(d["doc_id"])
+    shared: dict = defaultdict(int)
+    for ids in holders.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                shared[a, b] += 1
+    pairs = {(a, b) for (a, b), n in shared.items() if n * 180 >= (len(sets[a]) + len(sets[b])) * 80}
+    empty = sorted(i for i, grams in sets.items() if not grams)
+    least = {i: i for i in sets}
+    for a, b in [*pairs, *zip(empty, empty[1:], strict=False)]:
+        if least[a] != least[b]:
+            low, high = sorted((least[a], least[b]))
+            least = {n: low if m == high else m for n, m in least.items()}
+    got = {r.doc_id: r.component_id for r in simhash.wide_components(spark.read.parquet(f"{LARGER}/documents.parquet")).collect()}
+    near = [(a, b) for a, b in pairs if sets[a] != sets[b]]
+    assert got == least and len(near) > 5
+
+
 def test_op10_held_out_toxicity(spark):
     folder = "/root/testdata/sf0.1"  # the smaller ones hold out few toxic documents
     got = {r.doc_id: r for r in queries.op10_toxicity(spark, folder).collect()}
