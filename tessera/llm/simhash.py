@@ -355,12 +355,13 @@ def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], p
 
     A pair counts in the cell that is its first shared shingle: what the two sets share lies there and behind, so the
     shorter of the two rests must be long enough for the similarity. Any similar pair passes in its first cell; pairs
-    that share only what is frequent, and so stands last, pass in none. Neighbours in a cell, in two orders, come first;
-    so most sets of a large group are connected before the pairs that are in one cell and not yet connected are compared.
+    that share only what is frequent, and so stands last, pass in none. Neighbours in a cell come first, by size and in
+    two orders that differ from cell to cell, so that each set meets others in each of its cells and most sets of a large
+    group are connected before the pairs that are in one cell and not yet connected are compared.
     """
     columns = ("node", "size", "pos", "root")
     roots = None
-    for order in ([F.col("size"), F.col("node")], [F.xxhash64("node")], None):
+    for order in ([F.col("size"), F.col("node")], [F.xxhash64("node", "cell")], [F.xxhash64("cell", "node")], None):
         open_cells = cells.withColumn("root", F.col("node"))
         if roots is not None:
             known = roots.withColumnRenamed("node", "linked")
