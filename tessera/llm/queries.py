@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, langid, media, packing, pieces, search, simhash, substrings, toxicity, urlfilter
+from tessera.llm import chat, langid, media, neighbours, packing, pieces, search, simhash, spelling, substrings, toxicity, urlfilter, whitening
 from tessera.llm.shared import is_held_out
 
 
@@ -80,6 +80,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels), ["doc_id", "held_out"])
 
 
+def op11_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), most=8, scale=1024, offset=100_000)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), shortest=7, least=2, times=10, one_in=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -91,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_neighbours": op11_neighbours,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
