@@ -78,7 +78,7 @@ def letter_groups(words: DataFrame, groups: int) -> dict[str, int]:
     """letter -> group: the most frequent letters alone, all others in turn in the last quarter of the groups."""
     letters = words.select(F.explode(F.split("word", "")).alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
     order = [r["letter"] for r in letters.orderBy(F.desc("n"), "letter").collect() if r["letter"]]  # an alphabet
-    alone = groups - groups // 4
+    alone = groups - max(1, groups // 4)
     return {c: i if i < alone else alone + (i - alone) % (groups - alone) for i, c in enumerate(order)}
 
 

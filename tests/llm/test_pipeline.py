@@ -84,4 +84,4 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_each_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
