@@ -262,24 +262,24 @@ def common_shingles(docs: DataFrame, doc_id: str, text: str, size: int, sample:
     return keys[order], counts[order]
 
 
-def parity_sketch(shingles: np.ndarray) -> bytes:
-    """For each of n to 2n buckets of hashes, a power of two and 512 at least, whether it holds an odd number."""
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of n to 2n buckets of hashes, a power of two and 512 at least, whether it holds an odd number; 64 a word."""
     bits = max(512, 1 << len(shingles).bit_length())
-    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
 
 
-def sketch_distance(a: bytes, b: bytes) -> int:
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     """In how many bits two sketches differ, the longer one folded to the length of the other: never more than their
     sets differ in shingles."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    size = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
     return int(np.bitwise_count(x ^ y).sum())
 
 
 def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set of shingles), size (their number), sketch (see parity_sketch), prefix: the shingles of which two sets
-    share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are left out.
+    """doc_id, text_key, node (a hash of the set of shingles), size (their number), sketch (see parity_sketch), prefix:
+    the shingles of which two sets share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are
+    left out.
 
     Sets of n shingles in one order for all, of which ceil(percent * n / 100) must be shared, share one of the first
     n - ceil(percent * n / 100) + 1. Any order will do; the shingles frequent in a sample come last, so that few
@@ -299,12 +299,16 @@ def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
                 prefixes.append(found[: len(found) + percent * -len(found) // 100 + 1])
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.empty(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *map(long_lists, (sketches, prefixes))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "sketch", "prefix"])
 
-    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, sketch binary, prefix array<long>")
+    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, sketch array<long>, prefix array<long>")
+
+
+def long_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of unsigned numbers as lists of longs."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows or [np.empty(0, np.uint64)]).view(np.int64)))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -318,9 +322,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, siz
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 100):
             found = [shingle_hashes(x, size) for x in byte_texts(batch.column(1))]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), long_lists(found)], names=["node", "shingles"])
 
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -335,7 +337,8 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: s
     def near_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            sketches = [[np.frombuffer(np.array(x, np.int64), np.uint64) for x in batch.column(i).to_pylist()] for i in (4, 5)]
+            apart = np.array([sketch_distance(x, y) for x, y in zip(*sketches, strict=True)], np.int64)
             yield batch.filter(pa.array(apart * (100 + percent) <= sizes * (100 - percent))).select(["a", "b"])
 
     left, right = (nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "sketch")]) for x in "ab")
@@ -349,35 +352,50 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: s
     return maybe.join(left, "a").join(right, "b").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
 
 
+def near_enough(percent: int) -> Column:
+    """Whether the sketches of a pair of rows (size_a, sketch_a, size_b, sketch_b) allow a similarity of `percent` / 100;
+    those of different lengths always do."""
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (F.size("sketch_a") != F.size("sketch_b")) | (apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
+
+
 def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
-    """node, root of all nodes of cells (cell, node, size, pos: the cell's place in the node's order) that are connected
-    by similar pairs in a cell.
+    """node, root of all nodes of cells (cell, node, size, pos: the cell's place in the node's order, sketch, central: how
+    many rows the node's cells have) that are connected by similar pairs in a cell.
 
     A pair counts in the cell that is its first shared shingle: what the two sets share lies there and behind, so the
     shorter of the two rests must be long enough for the similarity. Any similar pair passes in its first cell; pairs
-    that share only what is frequent, and so stands last, pass in none. Neighbours in a cell come first, by size and in
-    two orders that differ from cell to cell, so that each set meets others in each of its cells and most sets of a large
-    group are connected before the pairs that are in one cell and not yet connected are compared.
+    that share only what is frequent, and so stands last, pass in none.
+
+    First the rows of a cell meet its most central one, then the next: the least edited copy of a text is like most of the
+    others, so nearly all of a large group is connected by one or two pairs for each row. Then what is in one cell and not
+    yet connected meets; the sketches, which settle nearly all pairs that are not similar, are part of that join.
     """
-    columns = ("node", "size", "pos", "root")
-    roots = None
-    for order in ([F.col("size"), F.col("node")], [F.xxhash64("node", "cell")], [F.xxhash64("cell", "node")], None):
+    columns = ("node", "size", "pos", "sketch", "root")
+    roots, pivots = None, None
+    for turn in ("first", "second", "all"):
         open_cells = cells.withColumn("root", F.col("node"))
         if roots is not None:
             known = roots.withColumnRenamed("node", "linked")
-            open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select("cell", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+            open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select(*cells.columns, F.coalesce("root", "node").alias("root"))
             several = open_cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-            open_cells = open_cells.join(several, "cell", "left_semi")
-        if order:
-            row = Window.partitionBy("cell").orderBy(*order)
-            met = open_cells.select(*[F.col(c).alias(f"{c}_a") for c in columns], *[F.lead(c).over(row).alias(f"{c}_b") for c in columns])
-        else:
-            spread = written(spread_hot_cells(written(open_cells, "open-cells"), chunk), "spread-cells")
+            open_cells = written(open_cells.join(several, "cell", "left_semi"), "open-cells")
+        a = open_cells.select("cell", "central", *[F.col(c).alias(f"{c}_a") for c in columns])
+        if turn == "all":
+            spread = written(spread_hot_cells(open_cells.drop("central"), chunk), "spread-cells")
             a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
-            met = a.join(b, "cell")
+            met = a.join(b, "cell").where("root_a < root_b")
+        else:
+            others = open_cells
+            if pivots is not None:
+                used = pivots.select(F.col("cell").alias("used_cell"), F.col("pivot.node").alias("used"))
+                others = open_cells.join(used, (F.col("cell") == F.col("used_cell")) & (F.col("node") == F.col("used")), "left_anti")
+            best = F.max_by(F.struct(*columns), F.struct("central", "node")).alias("pivot")
+            pivots = written(others.groupBy("cell").agg(best), "pivots")
+            met = a.join(pivots, "cell").select("*", *[F.col(f"pivot.{c}").alias(f"{c}_b") for c in columns]).where("root_a <> root_b")
         rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
         alike = rest * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
-        met = met.where((F.col("root_a") < F.col("root_b") if not order else F.col("root_a") != F.col("root_b")) & alike)
+        met = met.where(alike & near_enough(percent))
         pairs = written(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
         found = written(similar(pairs), "links")
         if roots is None:
@@ -399,9 +417,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     own = marks.join(rows, ["node", "doc_id", "text_key"], "left_semi")
     nodes = written(own.select("node", "doc_id", "text_key", "size", "sketch").dropDuplicates(["node"]), "nodes")
     cells = own.select(F.posexplode("prefix").alias("pos", "cell"), "node", "size").select("cell", "node", "size", "pos")
-    own = Window.partitionBy("cell").orderBy("node")
-    neighbours = cells.withColumns({"before": F.lag("node").over(own), "after": F.lead("node").over(own)})
-    cells = written(neighbours.where("before is not null or after is not null").select("cell", "node", "size", "pos"), "cells")
+    sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "cell-sizes")
+    shared = written(cells.join(sizes, "cell"), "shared-cells")
+    central = shared.groupBy("node").agg(F.sum("rows").alias("central")).join(nodes.select("node", "sketch"), "node")
+    cells = written(shared.drop("rows").join(central, "node"), "cells")
     similar = partial(similar_pairs, nodes=nodes, docs=docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
     roots = similar_roots(cells, similar, percent, chunk).withColumnRenamed("node", "linked")
     return marks.join(roots, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
