@@ -36,7 +36,7 @@ from tessera.llm.shared import byte_texts, total_bytes
 
 #: Odd multipliers of the two rolling hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 16
 
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -56,8 +56,8 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
-def pieces(text: bytes | None, size: int = 4 << 20) -> Iterator[list[bytes]]:
-    """The words of a text, some megabytes at a time."""
+def pieces(text: bytes | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, a megabyte at a time."""
     at, text = 0, text or b""
     while len(text) - at > size and (space := SPACE.search(text, at + size)):
         yield text[at : space.start()].split()
@@ -186,16 +186,17 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text_hash", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text), the columns `keep`: each document without the words
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text), the columns `keep`, in this order: each document without the words
     that a repeated window covers. kept_text: the text as it was if nothing is removed, else the kept words joined by
     one space; kept_sha256 always is of the words so joined.
 
     A window is `window` consecutive words; it is repeated if its words also start earlier: in a document with a
     smaller doc_id, or earlier in the same document. Rows with one doc_id are ordered by a hash of their
     text, then by text, and count as documents one after the other; rows without an id come before all others. Null, empty and blank texts have no
-    words (kept_text of a null is null); shorter texts have no window and stay whole. One row for each row of docs;
-    other columns are not read.
+    words (kept_text of a null is null); shorter texts have no window and stay whole. One row for each row of docs; an
+    empty table gives none. A kept column with the name of a result is called kept_<name>, with as many underscores before
+    it as that takes; other columns are not read.
     """
     extra = [f"keep_{i}" for i in range(len(keep))]
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(e) for c, e in zip(keep, extra, strict=True)])
@@ -256,4 +257,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in plain.schema[2:])
     found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
-    return found.select(*found.columns[: len(found.columns) - len(keep)], *[F.col(e).alias(c) for c, e in zip(keep, extra, strict=True)])
+    results = found.columns[: len(found.columns) - len(keep)]
+    return found.select(*results, *[F.col(e).alias(name) for e, name in zip(extra, own_names(keep, results), strict=True)])
+
+
+def own_names(keep: tuple[str, ...], results: list[str]) -> list[str]:
+    """Names of kept columns that no result and no other kept column has."""
+    taken, out = {r.lower() for r in results}, []
+    for name in keep:
+        if name.lower() in taken:
+            name = f"kept_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -92,6 +92,16 @@ def test_long_texts_are_read_in_pieces():
     assert substrings.kept_words(text, keep) == b" ".join(text.split()[::2]) and substrings.kept_words(None, None) == b""
 
 
+def test_substring_dedup_keeps_columns_named_like_results(spark, docs):
+    clashing = docs.withColumns({"n_words": F.lit(7), "kept_text": F.lit("k"), "KEPT_SHA256": F.lit("s"), "kept_n_words": F.lit(8), "keep_0": F.lit(9)})
+    names = ("n_words", "kept_text", "KEPT_SHA256", "kept_n_words", "keep_0")
+    got = substrings.remove_repeats(clashing, window=20, keep=names)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "kept_n_words", "kept_kept_text", "kept_KEPT_SHA256", "kept_kept_n_words", "keep_0"]
+    plain = substrings.remove_repeats(docs, window=20).collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got.collect()))) == sorted(map(str, map(tuple, plain)))
+    assert {tuple(r)[5:] for r in got.collect()} == {(7, "k", "s", 8, 9)}
+
+
 def test_substring_dedup_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
