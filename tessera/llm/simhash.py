@@ -352,57 +352,58 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: s
     return maybe.join(left, "a").join(right, "b").where(shared * (100 + percent) >= (F.size("of_a") + F.size("of_b")) * percent).select("a", "b")
 
 
-def near_enough(percent: int) -> Column:
-    """Whether the sketches of a pair of rows (size_a, sketch_a, size_b, sketch_b) allow a similarity of `percent` / 100;
-    those of different lengths always do."""
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return (F.size("sketch_a") != F.size("sketch_b")) | (apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
+#: Words of the short sketches that go with the rows of cells.
+SHORT_WORDS = 4
 
 
-def similar_roots(cells: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
-    """node, root of all nodes of cells (cell, node, size, pos: the cell's place in the node's order, sketch, central: how
-    many rows the node's cells have) that are connected by similar pairs in a cell.
+def short_sketch(sketch: Column) -> list[Column]:
+    """s0, s1, ...: the sketch folded to SHORT_WORDS words, which differ in no more bits than the whole ones."""
+    return [F.aggregate(F.filter(sketch, kept_word(i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias(f"s{i}") for i in range(SHORT_WORDS)]
+
+
+def kept_word(i: int) -> Callable[[Column, Column], Column]:
+    return lambda x, at: F.pmod(at, F.lit(SHORT_WORDS)) == i
+
+
+def similar_roots(cells: DataFrame, nodes: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
+    """node, root of all nodes of cells (cell, node, size, pos: the cell's place in the node's order, rows: the cell's)
+    that are connected by similar pairs in a cell. nodes: node, sketch.
 
     A pair counts in the cell that is its first shared shingle: what the two sets share lies there and behind, so the
     shorter of the two rests must be long enough for the similarity. Any similar pair passes in its first cell; pairs
     that share only what is frequent, and so stands last, pass in none.
 
-    First the rows of a cell meet its most central one, then the next: the least edited copy of a text is like most of the
-    others, so nearly all of a large group is connected by one or two pairs for each row. Then what is in one cell and not
-    yet connected meets; the sketches, which settle nearly all pairs that are not similar, are part of that join.
+    First the rows of a cell meet its most central one, whose own cells have most rows: the least edited copy of a text is
+    like most of the others, so nearly all of a large group is connected by a pair for each row. Then what is in one cell
+    and not yet connected meets; short sketches, which settle nearly all pairs that are not similar, are part of that join.
     """
-    columns = ("node", "size", "pos", "sketch", "root")
-    roots, pivots = None, None
-    for turn in ("first", "second", "all"):
-        open_cells = cells.withColumn("root", F.col("node"))
-        if roots is not None:
-            known = roots.withColumnRenamed("node", "linked")
-            open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select(*cells.columns, F.coalesce("root", "node").alias("root"))
-            several = open_cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-            open_cells = written(open_cells.join(several, "cell", "left_semi"), "open-cells")
-        a = open_cells.select("cell", "central", *[F.col(c).alias(f"{c}_a") for c in columns])
-        if turn == "all":
-            spread = written(spread_hot_cells(open_cells.drop("central"), chunk), "spread-cells")
-            a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
-            met = a.join(b, "cell").where("root_a < root_b")
-        else:
-            others = open_cells
-            if pivots is not None:
-                used = pivots.select(F.col("cell").alias("used_cell"), F.col("pivot.node").alias("used"))
-                others = open_cells.join(used, (F.col("cell") == F.col("used_cell")) & (F.col("node") == F.col("used")), "left_anti")
-            best = F.max_by(F.struct(*columns), F.struct("central", "node")).alias("pivot")
-            pivots = written(others.groupBy("cell").agg(best), "pivots")
-            met = a.join(pivots, "cell").select("*", *[F.col(f"pivot.{c}").alias(f"{c}_b") for c in columns]).where("root_a <> root_b")
+
+    def linked(met: DataFrame) -> DataFrame:
         rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
         alike = rest * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
-        met = met.where(alike & near_enough(percent))
-        pairs = written(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
-        found = written(similar(pairs), "links")
-        if roots is None:
-            roots = written(connected(found), "roots")
-        elif not found.isEmpty():  # what is connected goes in as a star for each root
-            roots = written(connected(found.union(roots.select("node", "root"))), "roots")
-    return roots
+        pairs = met.where(alike).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        return written(similar(written(pairs, "pairs")), "links")
+
+    columns = ("node", "size", "pos")
+    central = cells.groupBy("node").agg(F.sum("rows").alias("central"))
+    best = F.max(F.struct("central", "node", "size", "pos")).alias("best")
+    pivots = written(cells.join(central, "node").groupBy("cell").agg(best).select("cell", *[F.col(f"best.{c}").alias(f"{c}_b") for c in columns]), "pivots")
+    a = cells.select("cell", *[F.col(c).alias(f"{c}_a") for c in columns])
+    roots = written(connected(linked(a.join(pivots, "cell").where("node_a <> node_b"))), "roots")
+
+    known = roots.withColumnRenamed("node", "linked")
+    open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select("cell", *columns, F.coalesce("root", "node").alias("root"))
+    several = open_cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    open_cells = open_cells.join(several, "cell", "left_semi").join(nodes.select("node", *short_sketch(F.col("sketch"))), "node")
+    spread = spread_hot_cells(written(open_cells, "open-cells"), chunk)
+    words = [f"s{i}" for i in range(SHORT_WORDS)]
+    a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in (*columns, "root", *words)]) for x in "ab")
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    found = linked(a.join(b, "cell").where("root_a < root_b").where(near))
+    if found.isEmpty():
+        return roots
+    return written(connected(found.union(roots.select("node", "root"))), "roots")  # what is connected goes in as a star for each root
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 4096) -> DataFrame:
@@ -418,11 +419,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     nodes = written(own.select("node", "doc_id", "text_key", "size", "sketch").dropDuplicates(["node"]), "nodes")
     cells = own.select(F.posexplode("prefix").alias("pos", "cell"), "node", "size").select("cell", "node", "size", "pos")
     sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "cell-sizes")
-    shared = written(cells.join(sizes, "cell"), "shared-cells")
-    central = shared.groupBy("node").agg(F.sum("rows").alias("central")).join(nodes.select("node", "sketch"), "node")
-    cells = written(shared.drop("rows").join(central, "node"), "cells")
+    cells = written(cells.join(sizes, "cell"), "cells")
     similar = partial(similar_pairs, nodes=nodes, docs=docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
-    roots = similar_roots(cells, similar, percent, chunk).withColumnRenamed("node", "linked")
+    roots = similar_roots(cells, nodes, similar, percent, chunk).withColumnRenamed("node", "linked")
     return marks.join(roots, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
