@@ -139,8 +139,8 @@ def span_is(text: Column, start: Column, end: Column, quote: Column) -> Column:
 
 
 def occurrences(text: Column, quote: Column) -> Column:
-    """How often a non-empty quote occurs, without overlap."""
-    return ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).cast("int")
+    """How often a quote occurs, without overlap; null of an empty one."""
+    return ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.nullif(F.length(quote), F.lit(0))).cast("int")
 
 
 def spreadsheet_safe(value: Column) -> Column:

@@ -1,14 +1,19 @@
-"""Checks before data is taken in: recomputed rows, event batches, assertion spans, keys, page chains."""
+"""Checks before data is taken in: recomputed rows, event batches, assertion spans, keys; places, pages and their chain."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fingerprint, occurrences, span_is
+from tessera.operators.predicates import RequestError
 from tessera.operators.quality import duration_hours, flags
+from tessera.session import settled
 
 DURATION_TOLERANCE = 1e-9
 
@@ -48,13 +53,13 @@ def staged_events(events: DataFrame, event: str, document: str, version: str, co
 
 
 def staged_assertions(assertions: DataFrame, sources: DataFrame, item: str, document: str, start: str, end: str, quote: str, subject: str, object_: str, text: str) -> DataFrame:
-    """assertions with outcome: accepted, missing_source, wrong_span (the text from start to end isn't the quote),
+    """assertions with outcome: accepted, missing_source, wrong_span (the text from start to end isn't the quote, or that is empty),
     ambiguous_quote (it occurs more than once), same_endpoints, or assertion_conflict (an id of several rows)."""
     s = sources.select(F.col(document).alias("source_doc"), F.col(text).alias("source_text"))
     rows = assertions.join(s, F.col(document) == F.col("source_doc"), "left").withColumn("of_id", F.count(F.lit(1)).over(Window.partitionBy(item)))
     outcome = (
         F.when(F.col("source_doc").isNull(), "missing_source")
-        .when(~span_is(F.col("source_text"), F.col(start), F.col(end), F.col(quote)), "wrong_span")
+        .when(~span_is(F.col("source_text"), F.col(start), F.col(end), F.col(quote)) | (F.length(quote) == 0), "wrong_span")
         .when(occurrences(F.col("source_text"), F.col(quote)) > 1, "ambiguous_quote")
         .when(F.col(subject).eqNullSafe(F.col(object_)), "same_endpoints")
         .when(F.col("of_id") > 1, "assertion_conflict")
@@ -86,15 +91,99 @@ def counts_by(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def numbered_pages(rows: DataFrame, item: str, order: list[Column], size: int) -> DataFrame:
-    """rows with page and place (both from 0) in a total order of the whole table, by counts of range partitions and no
-    single window: each partition is ranked on its own."""
-    ordered = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    own = ordered.withColumn("own_place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    counts = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skipped"))  # a row for each partition
-    placed = own.join(F.broadcast(before), F.col("part") == F.col("of_part")).withColumn("place", F.col("skipped") + F.col("own_place") - 1)
-    return placed.withColumn("page", F.floor(F.col("place") / size)).drop("part", "own_place", "of_part", "skipped")
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with place, from 0, in a total order of the whole table, without one window over it.
+
+    The rows are written once, in ranges of the order and with the number of their range, as a second evaluation would
+    sample other ranges. Each range is ranked on its own and begins after the rows of those before it.
+    """
+    ordered = settled(rows.repartitionByRange(*order).withColumn("of_range", F.spark_partition_id()), "ranges")
+    counts = ordered.groupBy("of_range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = counts.select(F.col("of_range").alias("own_range"), F.coalesce(F.sum("n").over(Window.orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skipped"))
+    own = F.row_number().over(Window.partitionBy("of_range").orderBy(*order))
+    ranked = ordered.withColumn("own_place", own).join(F.broadcast(before), F.col("of_range") == F.col("own_range"))
+    return ranked.withColumn("place", F.col("skipped") + F.col("own_place") - 1).drop("of_range", "own_range", "own_place", "skipped")
+
+
+def numbered_pages(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """rows with page and place (both from 0): pages of `size` rows in a total order of the whole table (see placed)."""
+    return placed(rows, order).withColumn("page", F.floor(F.col("place") / size))
+
+
+def filled(sizes: np.ndarray, used: int, items: int, max_items: int, max_bytes: int) -> int:
+    """How many of the first sizes still fit on a page that holds `items` items of `used` bytes."""
+    room = np.cumsum(sizes[: max_items - items])
+    return int(np.searchsorted(room, max_bytes - used, side="right"))
+
+
+def page_starts(upto: np.ndarray, first: int, max_items: int, max_bytes: int) -> Iterator[int]:
+    """Where pages begin if one does at `first`: each ends before the first item that it can't hold. upto: bytes before
+    each item, and of all."""
+    while first < len(upto) - 1:
+        yield first
+        first = min(first + max_items, int(np.searchsorted(upto, upto[first] + max_bytes, side="right")) - 1)
+
+
+def byte_pages(rows: DataFrame, order: list[Column], size: Column, max_items: int, max_bytes: int, segment_rows: int = 1 << 17) -> DataFrame:
+    """rows with page and place (from 0): pages in a total order of the whole table, of at most max_items rows and
+    max_bytes of `size` in all; the first row that a page can't hold opens the next. A row larger than a page is an
+    error.
+
+    Where pages begin depends on all rows before. The table is cut into segments of places; a page that a segment has
+    begun reaches at most max_items rows into the next one, so each segment says for each of these beginnings where its
+    last page begins and how many pages there are. The driver links these tables (max_items + 1 entries of a segment),
+    and each segment cuts its pages from the beginning that holds.
+    """
+    plain = settled(placed(rows, order).withColumn("bytes_of", size.cast("long")), "placed")
+    if (largest := plain.agg(F.max("bytes_of").alias("b")).first()["b"]) is not None and largest > max_bytes:
+        raise RequestError("budget_exceeded", f"an item of {largest} bytes fits no page of {max_bytes}")
+    cut = plain.select(F.floor(F.col("place") / segment_rows).alias("segment"), "place", F.coalesce("bytes_of", F.lit(0)).alias("bytes_of"))
+
+    def ways(table: pa.Table) -> pa.Table:
+        sizes = table.sort_by("place")["bytes_of"].to_numpy()
+        upto, n, out = np.concatenate(([0], np.cumsum(sizes))), len(sizes), []
+        known: dict[int, tuple[int, int]] = {}  # of a beginning, its last page and the number of pages
+        for first in range(min(max_items, n) + 1):
+            path, met = [], None
+            for at in page_starts(upto, first, max_items, max_bytes):
+                if at in known:
+                    met = known[at]
+                    break
+                path.append(at)
+            last, pages = met or (path[-1] if path else n, 0)
+            for i, begin in enumerate(reversed(path)):
+                known[begin] = (last, pages + i + 1)
+            last, pages = known.get(first, (n, 0))
+            out.append((first, int(upto[n] - upto[last]), n - last, pages))
+        head = sizes[:max_items].tolist()
+        columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
+        return pa.table({"segment": pa.array([table["segment"][0].as_py()] * len(out), pa.int64()), "n": pa.array([n] * len(out), pa.int64()), "head": pa.array([head if i == 0 else [] for i in range(len(out))], pa.list_(pa.int64())), **dict(zip(("first", "used", "items", "pages"), columns, strict=True))})
+
+    found = cut.groupBy("segment").applyInArrow(ways, "segment long, n long, head array<long>, first long, used long, items long, pages long").orderBy("segment", "first").collect()
+    entries: dict[int, tuple[int, int]] = {}  # of each segment, where its first page begins and that page's number
+    used, items, pages, table, heads, counts = 0, 0, 0, {}, {}, {}
+    for r in found:
+        table[r["segment"], r["first"]] = (r["used"], r["items"], r["pages"])
+        if r["head"] or r["first"] == 0:
+            heads[r["segment"]], counts[r["segment"]] = np.array(r["head"], np.int64), r["n"]
+    for segment, n in counts.items():
+        first = filled(heads[segment], used, items, max_items, max_bytes) if pages else 0
+        entries[segment] = (first, pages)
+        if first >= n:  # all of it belongs to the page before
+            used, items = used + int(heads[segment].sum()), items + n
+        else:
+            used, items, more = table[segment, first]
+            pages += more
+
+    def cut_pages(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        first, before = entries[table["segment"][0].as_py()]
+        starts = page_starts(np.concatenate(([0], np.cumsum(table["bytes_of"].to_numpy()))), first, max_items, max_bytes)
+        page = before - 1 + np.searchsorted(np.fromiter(starts, np.int64), np.arange(table.num_rows), side="right")
+        return pa.table({"paged_place": table["place"], "page": pa.array(page, pa.int64())})
+
+    pages_of = cut.groupBy("segment").applyInArrow(cut_pages, "paged_place long, page long")
+    return plain.drop("bytes_of").join(pages_of, F.col("place") == F.col("paged_place")).drop("paged_place")
 
 
 def page_chain(pages: DataFrame, page: str, place: str, item: str) -> DataFrame:

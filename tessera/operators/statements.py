@@ -15,7 +15,9 @@ OPENING = r"(?:for the record,|for your records,|to clarify,)?"
 REPORT = rf"(?i)^\s*{OPENING}\s*I\s+(do not\s+|don't\s+|no longer\s+)?report\s+(?:directly\s+)?to\s+(.+)$"
 MANAGER = r"(?i)^\s*([^.!?]{1,160}?)\s+is\s+my\s+(?:line\s+|direct\s+)?manager\b"
 APPROVAL = rf"(?i)^\s*{OPENING}\s*(please\s+(?:review\s+and\s+)?approve|(?:I|we)\s+need\s+your\s+approval|could\s+you\s+approve)\b"
-NAME_WORDS = 6
+NAME_CHARS = 160
+NAME_ENDS = r"[ \t.,;:!?\r]"
+AFTER_NAME = r"^\s*(?:[.;!?]|$)"
 
 
 def addresses(text: Column) -> Column:
@@ -42,32 +44,36 @@ def canonical_utc(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def leading_name_keys(text: Column) -> Column:
-    """The keys of the names that may begin a text: its first one to six words, without marks at the end."""
-    words = F.split(F.trim(text), r"\s+")
-    longest = F.least(F.size(words), F.lit(NAME_WORDS))
-    return F.transform(F.sequence(F.lit(1), longest), lambda n: name_key(F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"[.,;:!?)]+$", "")))
+def leading_names(text: Column) -> Column:
+    """What may be a name at the beginning of a text: structs of its key, its length, and whether the text may go on so
+    behind it. A longer name that nobody has must not be cut to a known one, so only the end of a clause may follow."""
+    chars = F.sequence(F.lit(1), F.least(F.length(text), F.lit(NAME_CHARS)))
+    ends = F.filter(chars, lambda i: (i == F.length(text)) | text.substr(i + 1, F.lit(1)).rlike(NAME_ENDS))
+    names = F.transform(ends, lambda i: F.struct(name_key(text.substr(F.lit(1), i)).alias("key"), i.alias("chars"), text.substr(i + 1, F.length(text)).rlike(AFTER_NAME).alias("ends")))
+    return F.when(F.length(text) > 0, names)
 
 
 def statements(messages: DataFrame, message: str, body: str, aliases: DataFrame, name: str, person: str) -> DataFrame:
     """message, line_no, kind (direct_report, negative_report or approval_request), target: what the sender states.
 
     Quoted and forwarded lines are left out, and so are lines with quotation marks and sentences after words of
-    attribution or doubt. A statement begins its sentence. The target is the person whose name is the longest that
-    begins what follows, if exactly one person has it; approval requests have none.
+    attribution or doubt. A statement begins its sentence. The target is the person who alone has the longest known name
+    that begins what follows, if the clause ends with that name; approval requests have none.
     """
     lines = unquoted_lines(messages, message, body).where(~F.col("line").rlike(QUOTATION))
     sentences = F.split("line", r"(?<=[.!?])")
-    placed = F.transform(sentences, lambda s, i: F.struct(s.alias("said"), F.array_join(F.slice(sentences, F.lit(1), i), "").alias("before")))
-    said = lines.select(message, "line_no", F.posexplode(placed).alias("sentence_no", "s")).select(message, "line_no", "sentence_no", "s.*").where(~F.col("before").rlike(ATTRIBUTION))
-    report, manager = F.regexp_extract("said", REPORT, 2), F.regexp_extract("said", MANAGER, 1)
-    kind = F.when((report != "") & (F.regexp_extract("said", REPORT, 1) != ""), "negative_report").when((report != "") | (manager != ""), "direct_report").when(F.col("said").rlike(APPROVAL), "approval_request")
-    named = F.when(report != "", leading_name_keys(report)).when(manager != "", F.array(name_key(manager)))
-    found = said.select(message, "line_no", "sentence_no", kind.alias("kind"), named.alias("keys")).where("kind is not null")
-    known = aliases.groupBy(name_key(F.col(name)).alias("alias_key")).agg(F.min(person).alias("target"), F.countDistinct(person).alias("people"))
-    asked = found.where("keys is not null").select(message, "line_no", "sentence_no", "kind", F.explode("keys").alias("asked_key"))
-    hits = asked.join(known, F.col("asked_key") == F.col("alias_key"))
-    best = hits.groupBy(message, "line_no", "sentence_no", "kind").agg(F.max_by(F.struct("target", "people"), F.length("asked_key")).alias("t")).where("t.people = 1")
+    before = F.transform(sentences, lambda s, i: F.struct(s.alias("said"), F.array_join(F.slice(sentences, F.lit(1), i), "").alias("before")))
+    said = lines.select(message, "line_no", "line", F.posexplode(before).alias("sentence_no", "s")).select(message, "line_no", "line", "sentence_no", "s.*").where(~F.col("before").rlike(ATTRIBUTION))
+    said = said.withColumn("rest", F.col("line").substr(F.length("before") + 1, F.length("line")))  # a name may hold a full stop
+    report, manager = F.regexp_extract("rest", REPORT, 2), F.regexp_extract("said", MANAGER, 1)
+    kind = F.when((report != "") & (F.regexp_extract("rest", REPORT, 1) != ""), "negative_report").when((report != "") | (manager != ""), "direct_report").when(F.col("said").rlike(APPROVAL), "approval_request")
+    whole = F.array(F.struct(name_key(manager).alias("key"), F.length(manager).alias("chars"), F.lit(True).alias("ends")))
+    named = F.when(report != "", leading_names(report)).when(manager != "", whole)
+    found = said.select(message, "line_no", "sentence_no", kind.alias("kind"), named.alias("names")).where("kind is not null")
+    known = aliases.groupBy(name_key(F.col(name)).alias("alias_key")).agg(F.min(person).alias("target"), F.countDistinct(person).alias("people")).where("people = 1")
+    asked = found.where("names is not null").select(message, "line_no", "sentence_no", "kind", F.explode("names").alias("n")).select(message, "line_no", "sentence_no", "kind", "n.*")
+    hits = asked.join(known, F.col("key") == F.col("alias_key"))
+    best = hits.groupBy(message, "line_no", "sentence_no", "kind").agg(F.max_by(F.struct("target", "ends"), "chars").alias("t")).where("t.ends")
     return best.select(message, "line_no", "kind", "t.target").unionByName(found.where("kind = 'approval_request'").select(message, "line_no", "kind", F.lit(None).cast(aliases.schema[person].dataType).alias("target")))
 
 
@@ -122,4 +128,4 @@ def traffic_metrics(messages: DataFrame, message: str, sender: str, recipients:
     )
 
 
-__all__ = ["addresses", "canonical_utc", "directed_pairs", "leading_name_keys", "manager_candidates", "message_time", "selected_managers", "statements", "traffic_metrics"]
+__all__ = ["addresses", "canonical_utc", "directed_pairs", "leading_names", "manager_candidates", "message_time", "selected_managers", "statements", "traffic_metrics"]

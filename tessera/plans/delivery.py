@@ -53,11 +53,12 @@ def event_staging(spark, folder):
 
 
 @query("""
-WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 60), a AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN -1 ELSE doc_id END AS src, CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 1) ELSE substring(text, 11, 40) END AS q, CASE WHEN doc_id % 4 = 0 THEN 9 WHEN doc_id % 5 = 0 THEN 0 ELSE 10 END AS s FROM d)
-SELECT doc_id, CASE WHEN src = -1 THEN 'missing_source' WHEN substring(text, s + 1, length(q)) <> q THEN 'wrong_span' WHEN (length(text) - length(replace(text, q, ''))) // length(q) > 1 THEN 'ambiguous_quote' WHEN doc_id % 7 = 0 THEN 'same_endpoints' ELSE 'accepted' END AS outcome FROM a
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN -1 ELSE doc_id END AS src, CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 1) ELSE substring(text, 11, 40) END AS q, CASE WHEN doc_id % 4 = 0 THEN 9 WHEN doc_id % 5 = 0 THEN 0 ELSE 10 END AS s FROM d)
+SELECT doc_id, CASE WHEN src = -1 THEN 'missing_source' WHEN q = '' OR substring(text, s + 1, length(q)) <> q THEN 'wrong_span' WHEN (length(text) - length(replace(text, q, ''))) // length(q) > 1 THEN 'ambiguous_quote' WHEN doc_id % 7 = 0 THEN 'same_endpoints' ELSE 'accepted' END AS outcome FROM a
 """)
 def assertion_staging(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text").where(F.length("text") >= 60)
+    """Assertions on every document; a short text has an empty quote or none at that place."""
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     i = F.col("doc_id")
     start = F.when(i % 4 == 0, 9).when(i % 5 == 0, 0).otherwise(10)
     quote = F.when(i % 5 == 0, F.substring("text", 1, 1)).otherwise(F.substring("text", 11, 40))
@@ -204,7 +205,7 @@ SELECT page, items, first_item, last_item, 'v1.' || page || '.' || start || '.'
 """)
 def paged_orders(spark, folder):
     """All orders by price in pages of a hundred; each page's cursor depends on the page before."""
-    pages = G.numbered_pages(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 100)
+    pages = G.numbered_pages(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 100)
     return G.page_chain(pages, "page", "place", "o_orderkey").select("page", "items", "first_item", "last_item", "cursor")
 
 
@@ -215,13 +216,28 @@ SELECT page, 'differs' AS fault FROM p WHERE page IN (1, 2) AND page < (SELECT m
 def chain_faults(spark, folder):
     """A replay of the customers' pages without the last one, in which a row of page 1 has changed; so page 2 names
     another page before it."""
-    pages = G.numbered_pages(table(spark, folder, "customer").select("c_custkey"), "c_custkey", [F.asc("c_custkey")], 50)
+    pages = G.numbered_pages(table(spark, folder, "customer").select("c_custkey"), [F.asc("c_custkey")], 50)
     whole = G.page_chain(pages, "page", "place", "c_custkey")
     changed = pages.withColumn("c_custkey", F.when(F.col("place") == 60, -1).otherwise(F.col("c_custkey")))
     last = pages.agg(F.max("page").alias("last")).first()["last"]
     return G.chain_faults(whole, G.page_chain(changed, "page", "place", "c_custkey").where(F.col("page") < last), "page")
 
 
+@query("""
+WITH RECURSIVE b AS MATERIALIZED (SELECT o_orderkey, row_number() OVER w - 1 AS i, sum(length(o_orderpriority) + o_orderkey % 97) OVER w AS upto, length(o_orderpriority) + o_orderkey % 97 AS s FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey)),
+x AS MATERIALIZED (SELECT a.i, least(a.i + 40, coalesce(z.i, (SELECT count(*) FROM b))) AS nxt FROM b a ASOF LEFT JOIN b z ON a.upto - a.s + 2000 < z.upto),
+p(page, start) AS (SELECT 0, 0::BIGINT WHERE EXISTS (SELECT 1 FROM b) UNION ALL SELECT page + 1, x.nxt FROM p JOIN x ON x.i = p.start WHERE x.nxt < (SELECT count(*) FROM b)),
+l AS (SELECT page, start, coalesce(lead(start) OVER (ORDER BY page), (SELECT count(*) FROM b)) AS stop FROM p)
+SELECT CAST(page AS BIGINT) AS page, count(*) AS items, CAST(sum(s) AS BIGINT) AS bytes, arg_min(o_orderkey, i) AS first_item, arg_max(o_orderkey, i) AS last_item FROM l JOIN b ON b.i >= l.start AND b.i < l.stop GROUP BY 1
+""")
+def paged_by_bytes(spark, folder):
+    """All orders by price in pages of at most 40 rows and 2,000 bytes."""
+    size = F.length("o_orderpriority") + F.col("o_orderkey") % 97
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", size.cast("long").alias("s"))
+    pages = G.byte_pages(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], F.col("s"), 40, 2000)
+    return pages.groupBy("page").agg(F.count(F.lit(1)).alias("items"), F.sum("s").alias("bytes"), F.min_by("o_orderkey", "place").alias("first_item"), F.max_by("o_orderkey", "place").alias("last_item"))
+
+
 @query("SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_custkey % 13 <> 0) AS located, count(*) FILTER (c_custkey % 13 = 0) AS unlocated FROM customer GROUP BY 1")
 def located_counts(spark, folder):
     rows = places(spark, folder).withColumn("lat", F.when(F.col("c_custkey") % 13 != 0, F.col("lat"))).join(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
@@ -256,17 +272,16 @@ def calibration_scores(spark, folder):
 
 
 @query("""
-SELECT c_custkey, c_custkey % 4 = 1 OR (c_custkey % 4 > 1 AND (c_custkey % 4 = 3 OR DATE '2024-01-01' + CAST(c_custkey % 30 AS INTEGER) <= DATE '2024-01-15') AND DATE '2024-01-15' < DATE '2024-02-01' - CAST(c_custkey % 25 AS INTEGER)) AND c_custkey % 4 <> 0 AS eligible,
- (CASE WHEN c_custkey % 4 IN (0, 1, 3) THEN DATE '0001-01-01' ELSE DATE '2024-01-01' + CAST(c_custkey % 30 AS INTEGER) END) < least(CASE WHEN c_custkey % 4 IN (0, 1) THEN DATE '9999-12-31' ELSE DATE '2024-02-01' - CAST(c_custkey % 25 AS INTEGER) END, DATE '2024-01-10')
-  AND DATE '2024-01-05' < least(CASE WHEN c_custkey % 4 IN (0, 1) THEN DATE '9999-12-31' ELSE DATE '2024-02-01' - CAST(c_custkey % 25 AS INTEGER) END, DATE '2024-01-10') AS overlaps
-FROM customer WHERE c_custkey % 4 <> 1
+WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 4 IN (1, 2) THEN DATE '2024-01-01' + CAST(c_custkey % 30 AS INTEGER) END AS b, CASE WHEN c_custkey % 4 >= 2 THEN DATE '2024-02-01' - CAST(c_custkey % 25 AS INTEGER) END AS e FROM customer)
+SELECT c_custkey, (b IS NOT NULL OR e IS NOT NULL) AND coalesce(b <= DATE '2024-01-15', true) AND coalesce(DATE '2024-01-15' < e, true) AS eligible,
+ greatest(coalesce(b, DATE '0001-01-01'), DATE '2024-01-05') < least(coalesce(e, DATE '9999-12-31'), DATE '2024-01-10') AS overlaps FROM d
 """)
 def day_eligibility(spark, folder):
-    """Validity days by key: none, from a day on, until a day; on a day, and over an interval."""
+    """Validity days by key: none, from a day on, from a day until another, until a day; on a day, and over an interval."""
     i = F.col("c_custkey")
-    start = F.when(i % 4 == 2, F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int")))
+    start = F.when(i % 4 % 3 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int")))
     end = F.when(i % 4 >= 2, F.date_sub(F.lit("2024-02-01").cast("date"), (i % 25).cast("int")))
-    rows = table(spark, folder, "customer").where("c_custkey % 4 <> 1").select("c_custkey", start.alias("b"), end.alias("e"))
+    rows = table(spark, folder, "customer").select("c_custkey", start.alias("b"), end.alias("e"))
     d = [F.lit(x).cast("date") for x in ("2024-01-05", "2024-01-10", "0001-01-01", "9999-12-31", "2024-01-15")]
     return rows.select("c_custkey", T.eligible_on(F.col("b"), F.col("e"), d[4]).alias("eligible"), T.overlap((F.col("b"), F.col("e")), (d[0], d[1]), d[2], d[3]).alias("overlaps"))
 
@@ -313,20 +328,21 @@ def released_records(spark, folder):
     return W.permitted(shown, "c_custkey", records.where("c_custkey % 11 = 0"), "c_custkey")
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AND doc_id % 4 > 0 AS sound, CASE WHEN doc_id % 5 > 0 THEN substring(text, 6, 20) END AS shown FROM documents WHERE length(text) >= 30")
+@query("SELECT doc_id, doc_id % 3 = 0 AND doc_id % 4 > 0 AND text IS NOT NULL AS sound, CASE WHEN doc_id % 5 > 0 THEN substring(text, 6, 20) END AS shown FROM documents")
 def verified_citations(spark, folder):
     """Citations of documents: two thirds have another quote, a quarter another hash; a fifth of the sources is withdrawn."""
-    docs = table(spark, folder, "documents").where(F.length("text") >= 30).select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     cited = docs.select("doc_id", F.lit(5).alias("start"), F.lit(25).alias("end"), F.when(i % 3 == 0, F.substring("text", 6, 20)).otherwise(F.concat(F.substring("text", 6, 19), F.lit("\\u0001"))).alias("quote"), F.when(i % 4 > 0, X.text_hash(F.col("text"))).otherwise("none").alias("sha256"))
     checked = sinks.verified_citations(cited, docs).select("doc_id", "sound")
     return checked.join(docs, "doc_id").select("doc_id", "sound", W.redacted(i % 5 > 0, F.substring("text", 6, 20)).alias("shown"))
 
 
-@query("SELECT doc_id, (length(text) - length(replace(text, substring(text, 1, 6), ''))) // 6 = 1 AS grounded FROM documents WHERE length(text) >= 6")
+@query("SELECT doc_id, coalesce(length(text) > 0 AND (length(text) - length(replace(text, substring(text, 1, 6), ''))) // length(substring(text, 1, 6)) = 1, false) AS grounded FROM documents")
 def grounded_quotes(spark, folder):
-    docs = table(spark, folder, "documents").where(F.length("text") >= 6)
-    return docs.select("doc_id", (X.occurrences(F.col("text"), F.substring("text", 1, 6)) == 1).alias("grounded"))
+    """Whether each document's first six characters, or all it has, stand there once; an empty text grounds nothing."""
+    quote = F.substring("text", 1, 6)
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(X.occurrences(F.col("text"), quote) == 1, F.lit(False)).alias("grounded"))
 
 
 @query("SELECT o_custkey AS low, c_nationkey + 1000000 AS high, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 > 0 GROUP BY ALL")

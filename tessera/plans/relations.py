@@ -18,11 +18,12 @@ from tessera.plans.requests import ORACLES, QUERIES, query, stamp, table
 
 SAYINGS = [
     ("I report to {x}.", "direct_report"), ("Hello. I no longer report to {x}. Bye", "negative_report"), ("> I report to {x}.", None),
-    ("She said I report to {x}.", None), ("{x} is my line manager", "direct_report"), ("For the record, I report directly to {x}, as ever.", "direct_report"),
+    ("She said I report to {x}.", None), ("{x} is my line manager", "direct_report"), ("For the record, I report directly to {x}; as ever.", "direct_report"),
     ('"I report to {x}."', None), ("Could you approve this?", "approval_request"), ("Fine.\n-- Original message\nI report to {x}.", None),
     ("Suppose this. I report to {x}.", None), ("I don't report to {x}", "negative_report"), ("I report to nobody.", None),
+    ("I report to {x} Smith.", None), ("I report to {x}, as ever.", None), ("I report to {x} of the  Old Town Hall Desk, Level No. 2!", "direct_report"), ("Hm. {x} Smith is my manager", None),
 ]
-SAID = "(CASE c_custkey % 12 " + " ".join(f"WHEN {i} THEN {'NULL' if k is None else repr(k)}" for i, (_, k) in enumerate(SAYINGS)) + " END)"
+SAID = "(CASE c_custkey % 16 " + " ".join(f"WHEN {i} THEN {'NULL' if k is None else repr(k)}" for i, (_, k) in enumerate(SAYINGS)) + " END)"
 
 
 def sayings(spark, folder) -> DataFrame:
@@ -32,14 +33,16 @@ def sayings(spark, folder) -> DataFrame:
     boss = customer.select("c_custkey", ((F.col("c_custkey") * 5 + 1) % F.lit(n)).alias("boss"))
     named = boss.join(customer.select(F.col("c_custkey").alias("boss"), F.col("c_name").alias("x")), "boss")
     forms = F.array(*[F.lit(f) for f, _ in SAYINGS])
-    return named.select("c_custkey", "boss", F.replace(F.get(forms, (F.col("c_custkey") % 12).cast("int")), F.lit("{x}"), F.col("x")).alias("body"))
+    return named.select("c_custkey", "boss", F.replace(F.get(forms, (F.col("c_custkey") % len(SAYINGS)).cast("int")), F.lit("{x}"), F.col("x")).alias("body"))
 
 
 @query(f"""
 SELECT c_custkey, kind, CASE WHEN kind <> 'approval_request' THEN (c_custkey * 5 + 1) % n END AS target FROM (SELECT c_custkey, {SAID} AS kind, (SELECT count(*) FROM customer) AS n FROM customer) WHERE kind IS NOT NULL
 """)
 def report_statements(spark, folder):
-    people = table(spark, folder, "customer").select("c_custkey", "c_name").withColumnRenamed("c_custkey", "person")
+    """Everyone has a name and a longer one; a name that goes on otherwise is nobody's."""
+    names = F.explode(F.array(F.col("c_name"), F.concat("c_name", F.lit(" of the Old Town Hall Desk, Level No. 2")))).alias("c_name")
+    people = table(spark, folder, "customer").select(F.col("c_custkey").alias("person"), names)
     return S.statements(sayings(spark, folder), "c_custkey", "body", people, "c_name", "person").select("c_custkey", "kind", F.col("target").cast("long").alias("target"))
 
 
@@ -140,18 +143,29 @@ def unit_attributes(spark, folder):
 
 
 @query("""
-SELECT p_partkey, 'weight' AS attribute, CASE k WHEN 0 THEN p_size * 1.0 WHEN 1 THEN p_size / 1000.0 WHEN 2 THEN p_size * 1.0 ELSE 1000.0 + p_size END AS value, CASE k WHEN 2 THEN p_size + 4.0 END AS value_max,
- CASE k WHEN 1 THEN 0.002 WHEN 3 THEN (1000.0 + p_size) / 20 END AS minus, 'kg' AS unit, CASE k WHEN 0 THEN 'rated' WHEN 1 THEN 'no_load' WHEN 2 THEN 'peak' ELSE 'unspecified' END AS qualifier,
- CASE k WHEN 0 THEN 'net weight|with oil' WHEN 1 THEN '' WHEN 2 THEN 'at 2 bar' ELSE 'Dry weight|approximate value; tolerance unspecified' END AS conditions
-FROM (SELECT *, p_partkey % 6 AS k FROM part) WHERE k < 4
+WITH p AS (SELECT *, p_partkey % 12 AS k, CAST(p_size AS DOUBLE) AS s FROM part),
+v(k, n, attribute, f, g, h, m, unit) AS (VALUES (0, 1, 'weight', 1.0, NULL, NULL, NULL, 'kg'), (1, 1, 'weight', 0.001, NULL, NULL, 0.002, 'kg'), (2, 1, 'weight', 1.0, 4.0, NULL, NULL, 'kg'), (3, 1, 'weight', 1.0, NULL, NULL, 0.05, 'kg'),
+ (6, 1, 'weight', 1.0, NULL, NULL, NULL, 'kg'), (6, 2, 'weight', 0.001, NULL, NULL, NULL, 'kg'), (7, 1, 'weight', 1.0, NULL, NULL, NULL, 'kg'), (7, 2, 'weight', 1.0, NULL, NULL, NULL, 'kg'), (8, 1, 'capacity', 1.0, NULL, 4.0, NULL, 'L'),
+ (9, 1, 'weight', 0.001, NULL, NULL, NULL, 'kg'), (10, 1, 'speed', 1.0, NULL, NULL, NULL, 'rpm'), (10, 2, 'weight', 1.0, NULL, NULL, NULL, 'kg'), (10, 3, 'weight', 1.0, NULL, NULL, NULL, 'kg')),
+x AS (SELECT p_partkey, p.k, n, attribute, unit, (CASE WHEN p.k = 3 THEN 1000.0 + s WHEN n > 1 THEN s + n - 1 ELSE s END) * f AS value, s + g AS value_max, s + h AS also, CASE WHEN p.k = 3 THEN (1000.0 + s) * m ELSE m END AS minus FROM p JOIN v ON v.k = p.k)
+SELECT p_partkey, attribute, CAST(n AS INTEGER) AS number, round(value, 9) AS value, value_max, also, round(minus, 9) AS minus, unit, CASE k WHEN 0 THEN 'rated' WHEN 1 THEN 'no_load' WHEN 2 THEN 'peak' ELSE 'unspecified' END AS qualifier,
+ CASE k WHEN 0 THEN 'net weight|with oil' WHEN 2 THEN 'at 2 bar' WHEN 3 THEN 'Dry weight|approximate value; tolerance unspecified' WHEN 7 THEN 'shipping weight|less oil and water' WHEN 8 THEN 'Fuel capacity|3-phase|80% power factor' WHEN 10 THEN 'when hot|governed speed' ELSE '' END AS conditions FROM x
 """)
 def line_values(spark, folder):
-    """Lines stating a weight: plain, with a tolerance, as a range, in per cent, with an unknown unit, after `at`."""
-    forms = ["Rated net weight: {s} kg with oil.", "Idle weight {s} ± 2 g", "Weight, peak {s} to {t} kg at 2 bar;", "Dry weight approx. 1,{s} +/- 5% kg", "Weight {s} stone", "Weight at {s} kg"]
-    size = F.when(F.col("p_partkey") % 6 == 3, F.lpad(F.col("p_size").cast("string"), 3, "0")).otherwise(F.col("p_size").cast("string"))
-    line = F.replace(F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 6).cast("int")), F.lit("{s}"), size), F.lit("{t}"), (F.col("p_size") + 4).cast("string"))
-    found = L.line_values(table(spark, folder, "part").select("p_partkey", line.alias("line")), "line", {"weight": r"\bweight\b"}, UNITS)
-    return found.select("p_partkey", "attribute", "value", "value_max", "minus", "unit", L.qualifier(F.col("line")).alias("qualifier"), F.array_join(L.conditions(F.col("line"), F.col("line")), "|").alias("conditions"))
+    """Lines stating weights and more: plain, with a tolerance, as a range, in per cent, with an unknown unit, after `at`,
+    several of one label, of several labels, dual ratings, units in brackets, and units of another quantity."""
+    forms = [
+        "Rated net weight: {s} kg with oil.", "Idle weight {s} ± 2 g", "Weight, peak {s} to {t} kg at 2 bar;", "Dry weight approx. 1,{s} +/- 5% kg", "Weight {s} stone", "Weight at {s} kg",
+        "Weight: {s} kg, {u} g", "Weight {s} kg / shipping weight {u} kg less oil and water plus 5 parts", "Fuel capacity {s}/{t} l, 3-phase, 80% power factor", "Weight (g): {s}, {s} mm", "Governed speed {s} rpm; weight {u} kg, {w}kg when hot", "Weight {t} - 0 kg, 5 kg to 6 mm",
+    ]
+    size = F.when(F.col("p_partkey") % 12 == 3, F.lpad(F.col("p_size").cast("string"), 3, "0")).otherwise(F.col("p_size").cast("string"))
+    line = F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 12).cast("int")), F.lit("{s}"), size)
+    for mark, more in (("{t}", 4), ("{u}", 1), ("{w}", 2)):
+        line = F.replace(line, F.lit(mark), (F.col("p_size") + more).cast("string"))
+    labels = {"weight": r"\bweight\b", "capacity": r"\bcapacity\b", "speed": r"\bspeed\b"}
+    found = L.line_values(table(spark, folder, "part").select("p_partkey", line.alias("line")), "line", labels, UNITS, {"weight": "kg", "capacity": "L", "speed": "rpm"})
+    number = F.row_number().over(Window.partitionBy("p_partkey").orderBy("label_no", "value_no"))
+    return found.select("p_partkey", "attribute", number.alias("number"), F.round("value", 9).alias("value"), "value_max", "also", F.round("minus", 9).alias("minus"), "unit", L.qualifier(F.col("line")).alias("qualifier"), F.array_join(L.conditions(F.col("line"), F.col("line")), "|").alias("conditions"))
 
 
 @query("""

@@ -287,3 +287,125 @@ def test_replayed_ingest_changes_nothing(spark, tmp_path):
     (tmp_path / "in/2.json").write_text('{"k": "a", "v": 0}\n{"k": "b", "v": 5}\n')
     assert run("c1") == [("a", 1), ("b", 5)]
     assert run("c2") == [("a", 1), ("b", 5)]  # as if the checkpoint were lost
+
+
+# Places and pages
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_places_of_three_million_rows(spark, adaptive):
+    """Several ranges, ties broken by the key, with adaptive execution on and off."""
+    from tessera.operators import staging
+
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(0, 3_000_000, 1, 8).select("id", F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("x"))
+        found = session.settled(staging.numbered_pages(rows, [F.desc("x"), F.asc("id")], 1000), "places")
+        facts = found.agg(F.count_distinct("place").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.max("page").alias("page")).first()
+        assert tuple(facts) == (3_000_000, 0, 2_999_999, 2999)
+        assert len({f for f in found.select(F.input_file_name()).distinct().collect()}) > 1
+        # neighbours by place are in order
+        a, b = found.select("place", "x", "id"), found.select((F.col("place") - 1).alias("place"), F.col("x").alias("y"), F.col("id").alias("j"))
+        assert a.join(b, "place").where("y > x or (y = x and j < id)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+def plain_pages(sizes, max_items, max_bytes):
+    pages, items, used = [], 0, 0
+    for i, s in enumerate(sizes):
+        if i == 0 or items == max_items or used + s > max_bytes:
+            pages.append(i)
+            items, used = 0, 0
+        items, used = items + 1, used + s
+    return pages
+
+
+@pytest.mark.parametrize(("n", "max_items", "max_bytes", "segment"), [(1_000_000, 100, 4000, 1 << 17), (5_000, 7, 60, 3), (5_000, 40, 10_000, 64), (300, 50, 50, 20), (1, 5, 100, 10), (0, 5, 100, 10)])
+def test_byte_pages_equal_a_plain_loop(spark, n, max_items, max_bytes, segment):
+    from tessera.operators import staging
+
+    rows = spark.range(0, n, 1, 6).select("id", F.pmod(F.xxhash64("id"), F.lit(51)).alias("bytes"), F.lit(1).alias("place_of"))
+    got = staging.byte_pages(rows, [F.desc("id")], F.col("bytes"), max_items, max_bytes, segment)
+    found = got.groupBy("page").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"), F.max("id").alias("first")).orderBy("page").collect()
+    sizes = [r.bytes for r in rows.orderBy(F.desc("id")).collect()]
+    want = plain_pages(sizes, max_items, max_bytes)
+    assert [r.start for r in found] == want and [r.page for r in found] == list(range(len(want))) and sum(r.n for r in found) == n
+    assert [r["first"] for r in found] == [n - 1 - s for s in want]
+
+
+def test_an_item_larger_than_a_page_is_an_error(spark):
+    from tessera.operators import staging
+
+    with pytest.raises(P.RequestError):
+        staging.byte_pages(spark.range(9), [F.asc("id")], F.col("id"), 5, 7)
+
+
+# Statements, values and conditions
+
+
+def test_statements_never_cut_a_name(spark):
+    from tessera.operators import statements
+
+    people = [("Alex", 1), ("Alex of the Seven Seas and All Ports", 2), ("Jo", 3), ("jo", 4), ("Jo Dunn", 5), ("J. Smith", 6), ("Alex", 1)]
+    said = ["I report to Alex Smith.", "I report to Alex.", "I report to  Alex of the seven SEAS and all ports; truly", "I report to Alex of the seven seas.", "I report to Jo.", "I report to Jo Dunn", "I report to J. Smith! Yes.", "J. Smith is my manager", "Jo Dunn is my line manager.", "I report to Alex, mostly", "I report to " + "Alex" * 60, "I report to", "Hello. I no longer report to Alex . Bye"]
+    messages = spark.createDataFrame(list(enumerate(said)), "m int, body string")
+    got = statements.statements(messages, "m", "body", spark.createDataFrame(people, "name string, who int"), "name", "who")
+    assert {r.m: (r.kind, r.target) for r in got.collect()} == {1: ("direct_report", 1), 2: ("direct_report", 2), 5: ("direct_report", 5), 6: ("direct_report", 6), 8: ("direct_report", 5), 12: ("negative_report", 1)}
+
+
+def values_of(spark, *lines):
+    from tessera.operators import extraction
+
+    units = {"kg": ("kg", 1.0), "g": ("kg", 0.001), "lb": ("kg", 0.5), "mm": ("mm", 1.0), "rpm": ("rpm", 1.0)}
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    found = extraction.line_values(df, "line", {"weight": r"\bweight\b", "length": r"\blength\b"}, units, {"weight": "kg"})
+    out: dict = {}
+    for r in sorted(found.collect(), key=lambda r: (r.i, r.label_no, r.value_no)):
+        out.setdefault(r.i, []).append((r.attribute, round(r.value, 6), r.value_max, r.also, r.plus, r.unit, r.raw))
+    return [out.get(i, []) for i in range(len(lines))]
+
+
+def test_every_value_of_a_line(spark):
+    def w(value, raw, value_max=None, also=None, plus=None, attribute="weight", unit="kg"):
+        return (attribute, value, value_max, also, plus, unit, raw)
+
+    got = values_of(
+        spark, "Weight: 5 kg, 6 kg", "Weight 5 kg / shipping weight 7 kg", "Weight 5/6 kg", "Weight 1,200 to 1,300 kg ± 5%", "Weight (kg): 5 or 6 stone", "Weight [g] 500",
+        "Weight at 5 kg, @6 kg, 7 kg", "Length 5 kg, 6mm; weight 3 mm 4 lb", "Weight 5 kg - 400 g", "weight 10 kg +/- 5 %, 3 kg ± 20 g", "no label 5 kg", "Weight", "Weight 1/2/3 kg", "WEIGHT 5KG", None,
+    )
+    assert got[0] == [w(5, "5 kg"), w(6, "6 kg")]
+    assert got[1] == [w(5, "5 kg"), w(7, "7 kg")]
+    assert got[2] == [w(5, "5/6 kg", also=6.0)]
+    assert got[3] == [w(1200, "1,200 to 1,300 kg", value_max=1300.0)]
+    assert got[4] == [w(5, "5")]
+    assert got[5] == [w(0.5, "500")]
+    assert got[6] == [w(7, "7 kg")]
+    assert got[7] == [w(5, "5 kg", attribute="length"), w(6, "6mm", attribute="length", unit="mm"), w(2, "4 lb")]
+    assert got[8] == []  # a range that falls
+    assert got[9] == [w(10, "10 kg +/- 5 %", plus=0.5), w(3, "3 kg ± 20 g", plus=0.02)]
+    assert got[10] == got[11] == got[14] == [] and got[13] == [w(5, "5KG")]
+
+
+def test_conditions_and_qualifiers(spark):
+    from tessera.operators import extraction
+
+    cases = [
+        ("Shipping weight", "40 kg less fuel, oil and water plus crate", "unspecified", ["Shipping weight", "less fuel, oil and water"]), ("Max. speed", "2200 rpm governed", "unspecified", ["Max. speed", "governed speed"]),
+        ("Output", "5 kW at 50 Hz. . . see note, 3-phase, 80% power factor", "unspecified", ["at 50 Hz", "3-phase", "80% power factor"]), ("Air  tank capacity", "about 5 l; continuous", "rated", ["Air  tank capacity", "approximate value; tolerance unspecified"]),
+        ("No load speed", "peak for hoist operation ,", "unspecified", ["for hoist operation"]), ("Weight", "weather 5 kg, whenever", "unspecified", []), ("Weight", "no-load", "no_load", []),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, *_) in enumerate(cases)], "i int, label string, text string")
+    got = {r.i: (r.q, r.c) for r in df.select("i", extraction.qualifier(F.col("text")).alias("q"), extraction.conditions(F.col("label"), F.col("text")).alias("c")).collect()}
+    assert {i: got[i][1] for i in got} == {i: c[3] for i, c in enumerate(cases)}
+    assert got[3][0] == "rated" and got[4][0] == "peak" and got[6][0] == "no_load" and got[5][0] == "unspecified"
+
+
+def test_scope_folds_both_sides(spark):
+    from tessera.operators import extraction
+
+    df = spark.createDataFrame([("STRASSE",), ("Straße",), ("ｓｔｒａｓｓｅ ",), ("street",), (None,)], "x string")
+    assert extraction.in_scope(df, {"x": " straße"}).count() == 3
