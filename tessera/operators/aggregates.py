@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.predicates import bounded, half_open
+from tessera.operators.predicates import RequestError, bounded, half_open
 
 STEPS = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH"}
 
@@ -118,6 +118,59 @@ def running_budget(df: DataFrame, keys: list[str], order: list[Column], size: Co
     return df.withColumn("used", used).where(F.col("used") <= most)
 
 
+def listed(df: DataFrame, keys: list[str], order: list[str], columns: list[str], most: int) -> DataFrame:
+    """keys, items: the rows of each key as an array of structs in order; a key of more than `most` rows is an error, as
+    what follows folds the array in one task."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if counts > most:
+        raise RequestError("budget_exceeded", f"{counts} rows of one key; at most {most} are folded")
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("items"))
+
+
+def greedy_budget(df: DataFrame, keys: list[str], order: list[str], size: str, most: int, columns: list[str], longest: int = 10_000) -> DataFrame:
+    """keys, order, columns, size, used: the rows of each key in order that still fit into what those before have left of
+    `most`. A row that doesn't fit is passed over, and later smaller ones may still fit. order: columns, null ones first;
+    it must be total for a stable result. A null size counts as 0."""
+    rows = listed(df, keys, order, [*columns, size], longest)
+    start = F.struct(F.lit(0).cast("double").alias("used"), F.array().cast("array<double>").alias("after"))
+
+    def step(held: Column, x: Column) -> Column:
+        total = held["used"] + F.coalesce(x[size].cast("double"), F.lit(0.0))
+        fits = total <= most
+        return F.struct(F.when(fits, total).otherwise(held["used"]).alias("used"), F.concat(held["after"], F.array(F.when(fits, total))).alias("after"))
+
+    folded = rows.withColumn("after", F.aggregate("items", start, step)["after"])
+    each = folded.select(*keys, F.explode(F.arrays_zip("items", "after")).alias("x")).where("x.after is not null")
+    return each.select(*keys, "x.items.*", F.col("x.after").alias("used"))
+
+
+def median_of(values: Column) -> Column:
+    """The median of a non-empty array of numbers."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
+def tolerance_groups(df: DataFrame, keys: list[str], position: str, extent: str, tie: str, least: float = 2.0, share: float = 0.4, longest: int = 10_000) -> DataFrame:
+    """keys, position, tie, extent, line (from 1): rows of each key in order of position, in one line as long as they lie
+    near the line so far: at most `share` of the smaller of the row's and the line's median extent, and `least` at least,
+    from the line's median position. The line moves with the rows that it takes. Rows without a position or extent are left
+    out."""
+    rows = listed(df.where(F.col(position).isNotNull() & F.col(extent).isNotNull()), keys, [position, tie], [extent], longest)
+    none = F.array().cast("array<double>")
+    start = F.struct(F.lit(0).alias("line"), none.alias("at"), none.alias("extents"), F.array().cast("array<int>").alias("lines"))
+
+    def step(held: Column, x: Column) -> Column:
+        at, wide = x[position].cast("double"), x[extent].cast("double")
+        near = F.abs(at - median_of(held["at"])) <= F.greatest(F.lit(least), F.least(wide, median_of(held["extents"])) * share)
+        joins = F.coalesce((held["line"] > 0) & near, F.lit(False))
+        line = F.when(joins, held["line"]).otherwise(held["line"] + 1)
+        return F.struct(line.alias("line"), F.when(joins, F.concat(held["at"], F.array(at))).otherwise(F.array(at)).alias("at"), F.when(joins, F.concat(held["extents"], F.array(wide))).otherwise(F.array(wide)).alias("extents"), F.concat(held["lines"], F.array(line)).alias("lines"))
+
+    folded = rows.withColumn("lines", F.aggregate("items", start, step)["lines"])
+    each = folded.select(*keys, F.explode(F.arrays_zip("items", "lines")).alias("x"))
+    return each.select(*keys, "x.items.*", F.col("x.lines").alias("line"))
+
+
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Lower and upper end of the Wilson interval of a share; null of nothing."""
     n = F.nullif(n.cast("double"), F.lit(0.0))

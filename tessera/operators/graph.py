@@ -281,3 +281,45 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         if new.where("component <> was").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def first_sample(edges: DataFrame, a: str, b: str, relation: str, order: str, most_nodes: int = 24, most_edges: int = 40) -> DataFrame:
+    """source, target, relation, place (from 1) of a bounded sample of a graph, first come, first served: of the different
+    edges by their smallest value of the column order, which no two of them may share, each is taken unless its new ends are more than the nodes that are left.
+
+    Each round asks for the next edges that still fit, a few, and takes them one by one; a round without any ends the
+    sample. Loops and edges without an end don't count.
+    """
+    spark = edges.sparkSession
+    rows = edges.where(F.col(a) != F.col(b))
+    firsts = settled(rows.groupBy(F.col(a).alias("source"), F.col(b).alias("target"), F.col(relation).alias("relation")).agg(F.min(order).alias("at")), "firsts")
+    chosen: dict[object, None] = {}
+    taken: list[tuple] = []
+    last = None
+    while len(taken) < most_edges:
+        free = most_nodes - len(chosen)
+        known = list(chosen)
+        new = sum((F.when(F.col(c).isin(known), 0).otherwise(1) for c in ("source", "target")), F.lit(0)) if known else F.lit(2)
+        fit = firsts.where(new <= free)
+        if last is not None:
+            fit = fit.where(F.col("at") > F.lit(last))
+        few = fit.orderBy("at", "source", "target", "relation").limit(most_edges).collect()  # a few rows
+        for r in few:
+            last = r["at"]
+            missing = {r["source"], r["target"]} - chosen.keys()
+            if len(taken) < most_edges and len(chosen) + len(missing) <= most_nodes:
+                chosen |= dict.fromkeys((r["source"], r["target"]))
+                taken.append((r["source"], r["target"], r["relation"], len(taken) + 1))
+        if not few:
+            break
+    kinds = {f.name: f.dataType.simpleString() for f in firsts.schema}
+    return spark.createDataFrame(taken, f"source {kinds['source']}, target {kinds['target']}, relation {kinds['relation']}, place int")
+
+
+def entity_list(tree: DataFrame, child: str, parent: str, status: str, people: DataFrame, person: str, name: str) -> DataFrame:
+    """person, name, manager, manager_name, status of everyone in people whom the tree places; the manager's name is null
+    for those without one, or where nobody has that id."""
+    own = people.select(F.col(person).alias("person"), F.col(name).alias("name"))
+    above = people.select(F.col(person).alias("above_id"), F.col(name).alias("manager_name"))
+    rows = tree.join(own, F.col(child) == F.col("person")).join(above, F.col(parent) == F.col("above_id"), "left")
+    return rows.select("person", "name", F.col(parent).alias("manager"), "manager_name", F.col(status).alias("status"))

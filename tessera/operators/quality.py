@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +86,52 @@ def conflicts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n_values, vals (sorted, joined by |) of the keys with more than one value."""
     found = F.array_sort(F.collect_set(F.col(value).cast("string")))
     return rows.groupBy(*keys).agg(F.size(found).cast("long").alias("n_values"), F.array_join(found, "|").alias("vals")).where("n_values > 1")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What the rows of a table must be: `required` (not null or blank), `number`, `date` (can be read as one), `one_of`
+    (values), `unique` (no other row has the id; the same row again is a duplicate, another one a conflict), or
+    `reference` (to, a table and its column, has the value). A null meets all rules but required ones."""
+
+    table: str
+    kind: str
+    column: str
+    values: tuple[str, ...] = ()
+    to: tuple[str, str] = ("", "")
+
+
+def dataset_faults(tables: Mapping[str, DataFrame], keys: Mapping[str, str], rules: list[Rule]) -> DataFrame:
+    """table, id, field, code of every fault: missing, not_a_number, not_a_date, unknown_value,
+    duplicate_id, conflicting_id, unknown_<table>. keys: the id column of each table.
+
+    The rules on values of a table are one pass; ids and each reference are one shuffle. Ids are shown as text.
+    """
+    parts = []
+    for name, rows in tables.items():
+        own = [r for r in rules if r.table == name]
+        key = F.col(keys[name]).cast("string")
+        codes = []
+        for r in own:
+            value = F.col(r.column)
+            test = {
+                "required": ("missing", value.isNull() | (F.trim(value.cast("string")) == "")),
+                "number": ("not_a_number", value.isNotNull() & value.cast("string").try_cast("double").isNull()),
+                "date": ("not_a_date", value.isNotNull() & value.cast("string").try_cast("date").isNull()),
+                "one_of": ("unknown_value", ~F.coalesce(value.cast("string").isin(*r.values), F.lit(True))),
+            }.get(r.kind)
+            if test:
+                codes.append(F.when(test[1], F.struct(F.lit(r.column).alias("field"), F.lit(test[0]).alias("code"))))
+        if codes:
+            parts.append(rows.select(key.alias("id"), F.explode(F.array_compact(F.array(*codes))).alias("x")).select(F.lit(name).alias("table"), "id", "x.field", "x.code"))
+        for r in own:
+            if r.kind == "unique":
+                alike = rows.where(F.col(r.column).isNotNull()).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows_alike"))
+                ids = alike.groupBy(F.col(r.column).cast("string").alias("id")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("rows_alike").alias("n")).where("n > 1")
+                code = F.when(F.col("kinds") > 1, "conflicting_id").otherwise("duplicate_id")
+                parts.append(ids.select(F.lit(name).alias("table"), "id", F.lit(r.column).alias("field"), code.alias("code")))
+            elif r.kind == "reference":
+                there = tables[r.to[0]].select(F.col(r.to[1]).alias("referred")).distinct()
+                lost = rows.where(F.col(r.column).isNotNull()).join(there, F.col(r.column) == F.col("referred"), "left_anti")
+                parts.append(lost.select(F.lit(name).alias("table"), key.alias("id"), F.lit(r.column).alias("field"), F.lit(f"unknown_{r.to[0]}").alias("code")))
+    return reduce(DataFrame.unionByName, parts)

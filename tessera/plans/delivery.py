@@ -18,7 +18,7 @@ from tessera.operators import reviews as W
 from tessera.operators import staging as G
 from tessera.operators import temporal as T
 from tessera.plans.knowledge import FOREST, forest_cut
-from tessera.plans import relations  # noqa: F401  (its queries come first)
+from tessera.plans import relations, structure  # noqa: F401  (their queries come first)
 from tessera.plans.requests import ORACLES, QUERIES, day, places, query, stamp, table
 from tessera.sources import sinks
 from tessera.streaming import ingest as S

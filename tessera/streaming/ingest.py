@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,50 @@ def first_versions(stream: DataFrame, key: str, time: str, late: str = "2 days")
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def session_counts(stream: DataFrame, time: str, keys: list[str], gap: str, late: str = "2 days") -> DataFrame:
+    """start, end, keys, n of each key's sessions: a session ends when nothing came for `gap`; rows later than `late`
+    behind the newest are dropped by the watermark. An extension: there is no such operator among the batch ones."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return timed.groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
+
+
+def sliding_counts(stream: DataFrame, time: str, keys: list[str], size: str, slide: str, late: str = "2 days") -> DataFrame:
+    """start, keys, n of windows of `size` that begin every `slide`. An extension, as session_counts."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return timed.groupBy(F.window(time, size, slide), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def silences(stream: DataFrame, key: str, time: str, hours: int, late: str = "1 hour") -> DataFrame:
+    """key, last_seen, n: a row each time that a key has been silent for `hours`, with the number of rows before. State
+    of each key: its newest time and a count; an event-time timer ends it. An extension, as session_counts."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = stream.schema[key].dataType.simpleString()
+
+    def watch(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, n = state.get
+            state.remove()
+            yield pd.DataFrame({key: [own[0]], "last_seen": [pd.Timestamp(last, unit="us")], "n": [n]})
+            return
+        last, n = state.get if state.exists else (0, 0)
+        for frame in frames:
+            last, n = max(last, int(frame["micros"].max())), n + len(frame)
+        state.update((last, n))
+        state.setTimeoutTimestamp(max(last // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    timed = stream.select(F.col(key), F.col(time).cast("timestamp").alias(time)).withColumn("micros", F.unix_micros(time)).withWatermark(time, late)
+    return timed.groupBy(key).applyInPandasWithState(watch, f"`{key}` {kind}, last_seen timestamp, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def appended(result: DataFrame, place: str) -> DataFrame:
+    """Run an append-mode stream over all that is there now and give what it has written. A replay from the checkpoint in
+    `place` adds nothing."""
+    run = result.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{place}/out")
+
+
 def final_state(aggregated: DataFrame) -> DataFrame:
     """Run a stream's aggregate over all that is there now and give its last complete state."""
     spark = aggregated.sparkSession
