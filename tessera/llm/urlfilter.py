@@ -31,13 +31,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     """The longest rule that fits (of equal ones the first in alphabetical order), else null. A rule `host/path`
-    fits its host and all subdomains, if the path starts with the rule's."""
-    tests = []
+    fits its host and all subdomains, if the path starts with the rule's. The rules are one array in that order, so host
+    and path, which should be columns, are named but twice."""
+    entries = []
     for rule in sorted(rules, key=lambda r: (-len(r), r)):
         name, _, start = rule.partition("/")
         name = name.translate(str.maketrans(UPPER, LOWER))
-        tests.append(F.when(((host == name) | host.endswith("." + name)) & path.startswith("/" + start), F.lit(rule)))
-    return F.coalesce(*tests, F.lit(None).cast("string"))
+        entries.append(F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("name"), F.lit("/" + start).alias("start")))
+    if not entries:
+        return F.lit(None).cast("string")
+    of_host = F.concat(F.lit("."), host)
+    return F.get(F.filter(F.array(*entries), lambda r: F.endswith(of_host, F.concat(F.lit("."), r["name"])) & F.startswith(path, r["start"])), 0)["rule"]
+
+
+def by_rule(rule: Column, values: dict[str, object]) -> Column:
+    """The value of a rule; null without one."""
+    if not values:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), rule)
 
 
 def features(host: Column, path: Column, buckets: int) -> Column:
@@ -68,16 +79,18 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows:
     chosen by a hash of the url. Without labelled rows every score is one half."""
     rows = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("label")).where("url is not null and label in (0, 1)")
     host, path = host_and_path(F.col("url"))
-    table = written(bounded_sample(rows, "url", max_rows).select("label", features(host, path, buckets).alias("found")), "url-features").coalesce(4)
+    parts = bounded_sample(rows, "url", max_rows).select("label", host.alias("host"), path.alias("path"))
+    table = written(parts.select("label", features(F.col("host"), F.col("path"), buckets).alias("found")), "url-features").coalesce(1 + max_rows // 20_000)  # of few rows one task is the fastest
     n = table.count()
     weights, intercept = [0.0] * buckets, 0.0
     seen, seen_intercept = [1e-8] * buckets, 1e-8
     for _ in range(rounds if n else 0):
         error = UrlModel(weights, intercept).score(F.col("found")) - F.col("label")
-        share = error / F.sqrt(F.size("found").cast("double"))
+        rated = table.select("found", error.alias("error"))  # one score a row, not one for each of its features
         # Every row is in the bucket -1 too, with its whole error: the slope of the intercept.
-        entries = F.concat(F.array(F.struct(F.lit(-1).alias("bucket"), error.alias("share"))), F.transform("found", lambda x: F.struct(x.alias("bucket"), share.alias("share"))))
-        steps = table.select(F.explode(entries).alias("e")).groupBy("e.bucket").agg(F.sum("e.share").alias("slope")).collect()
+        entries = rated.select("error", F.size("found").cast("double").alias("size"), F.explode(F.concat(F.array(F.lit(-1)), "found")).alias("bucket"))
+        share = F.when(F.col("bucket") < 0, F.col("error")).otherwise(F.col("error") / F.sqrt("size"))
+        steps = entries.groupBy("bucket").agg(F.sum(share).alias("slope")).collect()
         slope0 = next(r["slope"] for r in steps if r["bucket"] < 0) / n
         for row in (r for r in steps if r["bucket"] >= 0):
             slope = row["slope"] / n + penalty * weights[row["bucket"]]
@@ -103,8 +116,7 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, keep: li
     parts = own.select(*held, host.alias("own_host"), path.alias("own_path"))
     host, path = F.col("own_host"), F.col("own_path")
     ruled = parts.select(*held, host, path, matching_rule(host, path, rules).alias("own_rule"), model.score(features(host, path, len(model.weights))).alias("own_score"))
-    by_rule = F.coalesce(*[F.when(F.col("own_rule") == r, F.lit(v)) for r, v in rules.items()], F.lit(None).cast("string"))
-    verdict = F.coalesce(by_rule, F.when(F.col("own_score") >= threshold, "block").otherwise("allow"))
+    verdict = F.coalesce(by_rule(F.col("own_rule"), rules), F.when(F.col("own_score") >= threshold, "block").otherwise("allow"))
     found = {"host": host, "path": path, "rule": F.col("own_rule"), "score": F.col("own_score"), "verdict": verdict}
     names = pages.select(*kept(keep, list(found))).columns
     return ruled.select(*[F.col(h).alias(c) for c, h in zip(names, held, strict=True)], *[c.alias(name) for name, c in found.items()])
@@ -113,6 +125,6 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, keep: li
 def labelled_by_rules(pages: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:
     """url, label: the urls that a rule judges, as a labelled table (1: block)."""
     host, path = host_and_path(F.col(url))
-    rule = matching_rule(host, path, rules)
-    blocked = F.coalesce(*[F.when(rule == r, F.lit(int(v == "block"))) for r, v in rules.items()])
-    return pages.select(F.col(url).alias("url"), blocked.alias("label")).where("label is not null")
+    parts = pages.select(F.col(url).alias("url"), host.alias("host"), path.alias("path"))
+    ruled = parts.select("url", matching_rule(F.col("host"), F.col("path"), rules).alias("rule"))
+    return ruled.select("url", by_rule(F.col("rule"), {r: int(v == "block") for r, v in rules.items()}).alias("label")).where("label is not null")

@@ -60,6 +60,43 @@ def test_op4_rules_and_held_out_verdicts(spark):
         assert row.verdict == (rules[rule] if rule else "block" if row.score >= 0.5 else "allow")
 
 
+def test_op4_is_compiled(spark):
+    """No stage of the query falls back to the interpreter because its code is too large."""
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert queries.op4_url_filter(spark, FOLDER).count() == len(rows_of("pages"))
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
+def test_op4_model_equals_a_plain_one(spark):
+    """The model half: the same descent in plain Python, on the same features, gives the same scores."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import urlfilter
+
+    labelled = urlfilter.labelled_by_rules(spark.read.parquet(f"{LARGER}/pages.parquet"), queries.URL_RULES)
+    host, path = urlfilter.host_and_path(F.col("url"))
+    rows = [(r.label, r.found) for r in labelled.select("label", urlfilter.features(host, path, 256).alias("found")).collect()]
+    assert len(rows) > 20 and all(len(set(f)) == len(f) for _, f in rows)
+    model = urlfilter.train(labelled, max_rows=10**6, buckets=256, rounds=6)
+    w, seen, b, seen_b, n = np.zeros(256), np.full(256, 1e-8), 0.0, 1e-8, len(rows)
+    for _ in range(6):
+        slope, slope_b = np.zeros(256), 0.0
+        for y, found in rows:
+            error = 1 / (1 + np.exp(-(w[found].sum() / np.sqrt(len(found)) + b))) - y
+            slope[found] += error / np.sqrt(len(found))
+            slope_b += error
+        on = np.isin(np.arange(256), np.unique(np.concatenate([f for _, f in rows])))
+        slope = np.where(on, slope / n + 1e-4 * w, 0)
+        seen += slope**2
+        w -= slope / np.sqrt(seen)
+        seen_b += (slope_b / n) ** 2
+        b -= 0.5 * slope_b / n / np.sqrt(seen_b)
+    assert np.allclose(model.weights, w, atol=1e-9) and abs(model.intercept - b) < 1e-9
+
+
 def test_op4_model_on_urls_it_has_not_seen(spark):
     from pyspark.sql import functions as F
 
