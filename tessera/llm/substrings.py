@@ -210,6 +210,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         full = np.flatnonzero(np.diff(cuts))
         packed = [pack(block.key[cuts[b] : cuts[b + 1]], block.check[cuts[b] : cuts[b + 1]]) for b in full]
         number = table["block"][0].as_py()
+        del block
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.array([number] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
@@ -224,6 +226,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         later[order] = np.concatenate(([False], (key[1:] == key[:-1]) & (check[1:] == check[:-1])))
         ends = np.cumsum(sizes)
         masks = [zlib.compress(np.packbits(later[e - s : e]).tobytes(), 1) for e, s in zip(ends, sizes, strict=True)]
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
     def cut(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -237,7 +240,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             earlier[a:b] = np.unpackbits(np.frombuffer(zlib.decompress(mask), np.uint8), count=b - a)
         repeated = block.repeated(earlier)
         removed, digests, kept, at = [], [], [], 0
-        for text, n_words in zip(texts, block.counts, strict=True):
+        counts = block.counts
+        for text, n_words in zip(texts, counts, strict=True):
             keep = None
             if n_words >= window:
                 windows = repeated[at : at + n_words - window + 1]
@@ -248,7 +252,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             removed.append(0 if keep is None else n_words - int(keep.sum()))
             digests.append(hashlib.sha256(joined).hexdigest())
             kept.append(text if keep is None else joined)
-        columns = {"doc_id": own["doc_id"], "n_words": pa.array(block.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests)}
+        del block, texts, repeated, earlier
+        pa.default_memory_pool().release_unused()
+        columns = {"doc_id": own["doc_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests)}
         columns |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}
         return pa.table(columns | {e: own[e] for e in extra})
 
