@@ -1,4 +1,4 @@
-"""Sources with explicit schemas: JSON lines, CSV with known headers, mail files, GeoJSON features, generated rows."""
+"""Sources with explicit schemas: JSON lines, CSV with known headers, mail files, generated rows."""
 
 from __future__ import annotations
 
@@ -70,17 +70,36 @@ def mail_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(of_batches, "path string, message_id string, sender string, recipients array<string>, sent string, subject string, body string")
 
 
-def geojson_features(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
-    """The properties, kind and rings (lists of [lon, lat]) of a feature collection; a multi-polygon has a row for each
-    of its polygons."""
-    text = spark.read.text(path, wholetext=True)
-    own = ", ".join(f"{p}: STRING" for p in properties)
-    shape = f"features ARRAY<STRUCT<properties: STRUCT<{own}>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
-    feature = text.select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
-    kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    one, many = F.from_json(coordinates, "ARRAY<ARRAY<ARRAY<DOUBLE>>>"), F.from_json(coordinates, "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")
-    polygons = F.when(kind == "Polygon", F.array(one)).otherwise(many)
-    return feature.select(*[F.col(f"f.properties.{p}").alias(p) for p in properties], kind.alias("kind"), F.explode(polygons).alias("rings"))
+def csv_kind(spark: SparkSession, path: str, kinds: Mapping[str, tuple[Mapping[str, list[str]], list[str]]]) -> str:
+    """Which of the kinds (name -> headers, required; see csv_table) a file is, by its header line alone: the one all of
+    whose required columns are there, of several the one with most known columns. None or two alike are an error."""
+    known = {header_key(c) for c in spark.read.option("header", True).option("escape", '"').csv(path).columns}
+    fits = {}
+    for name, (headers, required) in kinds.items():
+        there = {n for n, spellings in headers.items() if {header_key(x) for x in (n, *spellings)} & known}
+        if set(required) <= there:
+            fits[name] = len(there)
+    best = [n for n, k in fits.items() if k == max(fits.values())]
+    if len(best) != 1:
+        raise ValueError(f"the columns fit {' and '.join(best) or 'no kind'}: {', '.join(sorted(known))}")
+    return best[0]
+
+
+def csv_with_rejects(spark: SparkSession, path: str, headers: Mapping[str, list[str]], required: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sound rows of a CSV file (see csv_table), and the broken ones as line and reason: wrong_width (more or fewer values
+    than the header names) or missing_<column> (a required value is blank). columns: the header line's names, in order."""
+    wide = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField(CORRUPT, T.StringType())])
+    raw = spark.read.schema(wide).option("header", True).option("enforceSchema", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    known = {header_key(c): c for c in columns}
+    found = {name: next((known[k] for k in map(header_key, [name, *spellings]) if k in known), None) for name, spellings in headers.items()}
+    if missing := [n for n in required if not found[n]]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    blank = [F.when(F.col(f"`{found[n]}`").isNull() | (F.trim(f"`{found[n]}`") == ""), F.lit(f"missing_{n}")) for n in required]
+    reason = F.coalesce(F.when(F.col(CORRUPT).isNotNull(), "wrong_width"), *blank, F.lit(None).cast("string"))
+    marked = raw.withColumn("reason", reason)
+    line = F.coalesce(CORRUPT, F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]))
+    sound = marked.where("reason is null").select(*[F.col(f"`{c}`").alias(n) if c else F.lit(None).cast("string").alias(n) for n, c in found.items()])
+    return sound, marked.where("reason is not null").select(line.alias("line"), "reason")
 
 
 def generated_requests(spark: SparkSession, rows: int, seed: int = 7) -> DataFrame:

@@ -20,7 +20,7 @@ from tessera.operators import predicates as P
 from tessera.operators import quality as Q
 from tessera.operators import temporal as TT
 from tessera import session
-from tessera.sources import readers, sinks
+from tessera.sources import geojson, readers, sinks
 from tessera.streaming import ingest
 
 
@@ -238,7 +238,7 @@ def test_sources_and_sinks(spark, tmp_path):
     mail = readers.mail_files(spark, str(tmp_path / "x.eml")).first()
     assert (mail.sender, mail.recipients, mail.body.strip()) == ("a@x.org", ["b@x.org", "c@x.org"], "hello")
     (tmp_path / "g.json").write_text('{"features": [{"properties": {"code": "q"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}}]}')
-    area = readers.geojson_features(spark, str(tmp_path / "g.json"), ["code"]).first()
+    area = geojson.geojson_features(spark, str(tmp_path / "g.json"), ["code"]).first()
     assert (area.code, area.rings[0][1]) == ("q", [1.0, 0.0])
     df = spark.createDataFrame([("=1", 1), ("b", 2)], "t string, n int")
     assert sinks.export_csv(df, str(tmp_path / "out"), 2, one_file=True) == 2
