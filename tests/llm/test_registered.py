@@ -178,6 +178,73 @@ def test_op8_held_out_languages(spark):
     assert len(hits) > 100 and np.mean(hits) > 0.95
 
 
+def test_op8_equals_plain_sets(spark):
+    """The bitmask filters decide as plain sets of each language's n-grams do, and their counts are close to exact."""
+    from tessera.llm import langid
+    from tessera.llm.grams import text_hashes
+
+    docs = rows_of("documents")
+    learned: dict = defaultdict(list)
+    for d in docs:
+        if d["lang"] and not held_out(d["doc_id"]):
+            learned[d["lang"]].append(set(text_hashes(d["text"] or "", langid.ORDERS).tolist()))
+    share: dict = defaultdict(dict)
+    for lang, sets in learned.items():
+        for grams in sets:
+            for g in grams:
+                share[g][lang] = share[g].get(lang, 0) + 1 / len(sets)
+    own: dict = {lang: set() for lang in learned}
+    for g, found in share.items():
+        top = max(found.values())
+        for lang, x in found.items():
+            if top >= 0.01 and x >= 0.01 and x >= 0.2 * top:
+                own[lang].add(g)
+    got = {r.doc_id: r for r in queries.op8_language_id(spark, FOLDER).collect()}
+    sure = 0
+    for d in docs:
+        if any(c.isalpha() for c in d["text"] or ""):
+            grams = text_hashes(d["text"], langid.ORDERS).tolist()
+            exact = {lang: sum(g in s for g in grams) / len(grams) for lang, s in own.items()}
+            first, second = sorted(exact.values())[-1], sorted(exact.values())[-2]
+            assert abs(got[d["doc_id"]].score - first) < 0.05
+            if first - second > 0.05:
+                sure += 1
+                assert got[d["doc_id"]].lang_pred == max(exact, key=exact.get)
+    assert sure > 150
+
+
+def test_op10_equals_a_plain_model(spark):
+    """Chi-square features, log-count ratios and the regression in plain numpy over a dense matrix give the scores."""
+    from tessera.llm import toxicity
+
+    docs = {d["doc_id"]: d["text"] or "" for d in rows_of("documents", LARGER)}
+    labels = [(x["doc_id"], x["toxic"]) for x in rows_of("labels", LARGER) if x["toxic"] in (0, 1) and not held_out(x["doc_id"]) and x["doc_id"] in docs]
+    grams = [set(toxicity.buckets(docs[i]).tolist()) for i, _ in labels]
+    y = np.array([t for _, t in labels], float)
+    counts: dict = defaultdict(lambda: [0, 0])
+    for found, t in zip(grams, y, strict=True):
+        for g in found:
+            counts[g][int(t)] += 1
+    n0, n1, n = (y == 0).sum(), y.sum(), len(y)
+    chi = {g: n * (b * n0 - a * n1) ** 2 / (n0 * n1 * (a + b) * (n - a - b) + 1e-9) for g, (a, b) in counts.items() if a + b >= 3}
+    chosen = sorted(sorted(chi, key=lambda g: (-chi[g], g))[:2048])
+    ratio = np.log((np.array([counts[g][1] for g in chosen]) + 1) / (n1 + 2) / ((np.array([counts[g][0] for g in chosen]) + 1) / (n0 + 2)))
+    x = np.array([[g in found for g in chosen] for found in grams]) * ratio
+    theta, m, v, b, mb, vb = np.zeros(len(chosen)), 0.0, 0.0, np.log((n1 + 1) / (n + 2) / (1 - (n1 + 1) / (n + 2))), 0.0, 0.0
+    for t in range(1, 301):
+        error = 1 / (1 + np.exp(-np.clip(x @ theta + b, -30, 30))) - y
+        slope, slope_b = x.T @ error / n + 1e-3 * theta, error.sum() / n
+        m, v, mb, vb = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2, 0.9 * mb + 0.1 * slope_b, 0.99 * vb + 0.01 * slope_b**2
+        theta = theta - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        b = b - 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    weight = dict(zip(chosen, theta * ratio, strict=True))
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, LARGER).collect()}
+    assert len(labels) > 300
+    for i, text in docs.items():
+        want = 1 / (1 + np.exp(-(b + sum(weight.get(g, 0.0) for g in set(toxicity.buckets(text).tolist())))))
+        assert abs(got[i].score - want) < 1e-3
+
+
 def test_op9_components(spark):
     docs = rows_of("documents")
     prints = {}
