@@ -40,10 +40,10 @@ def equal_to(term: str) -> Callable[[Column], Column]:
 
 def lexical_score(found: Column, terms: list[str], prefix: str | None = None) -> Column:
     """Mean over the query terms of their count in the tokens, 3 at most; an unfinished last word adds one half if a
-    token begins with it."""
+    token begins with it. Null tokens score 0."""
     total = F.lit(0)
     for term in terms:
-        total = total + F.least(F.lit(3), F.size(F.array_compact(F.transform(found, equal_to(term)))))
+        total = total + F.least(F.lit(3), F.coalesce(F.size(F.array_compact(F.transform(found, equal_to(term)))), F.lit(0)))
     score = total.cast("double") / max(len(terms), 1)
     return score + F.when(F.exists(found, lambda t: t.startswith(prefix)), 0.5).otherwise(0.0) if prefix else score
 
@@ -143,6 +143,12 @@ def occurrences(text: Column, quote: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.nullif(F.length(quote), F.lit(0))).cast("int")
 
 
+def labels_grounded(text: Column, quote: Column, labels: Column) -> Column:
+    """Whether the quote occurs exactly once in the text and each label, none of them empty, exactly once in the quote."""
+    once = F.coalesce(occurrences(text, quote) == 1, F.lit(False))
+    return once & F.coalesce(F.forall(labels, lambda x: F.coalesce(occurrences(quote, x) == 1, F.lit(False))), F.lit(False))
+
+
 def spreadsheet_safe(value: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets an apostrophe in front."""
     risky = F.ltrim(value).rlike(r"^[=+@-]") | value.rlike(r"^[\t\r\n]")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fingerprint, lexical_score, tokens
 from tessera.operators.aggregates import first_per_key
 from tessera.operators.graph import reachable
 from tessera.operators.quality import conflicts
@@ -22,6 +24,42 @@ def all_terms(text: Column, terms: list[str]) -> Column:
     return reduce(Column.__and__, [F.coalesce(F.contains(lowered, F.lit(t.lower())), F.lit(False)) for t in terms], F.lit(True))
 
 
+def all_tokens(text: Column, terms: list[str]) -> Column:
+    """Whether every token of the terms is one of the text's tokens, in any case; a part of a longer word is none."""
+    wanted = sorted({t for term in terms for t in re.findall(r"\w+", term.lower())})
+    own = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), own)) == 0
+
+
+def searched(evidence: DataFrame, text: str, terms: list[str], entities: str, scope: list[object]) -> DataFrame:
+    """The evidence that holds every term (see all_terms) and, if the scope isn't empty, is about one of its entities.
+    entities: an array column."""
+    about = F.arrays_overlap(F.col(entities), F.array(*map(F.lit, scope))) if scope else F.lit(True)
+    return evidence.where(all_terms(F.col(text), terms) & F.coalesce(about, F.lit(False)))
+
+
+def save_baseline(items: DataFrame, item: str, path: str, kind: str) -> None:
+    """Write the ids and fingerprints of a finding or a neighbourhood, to be compared later; a used path is an error."""
+    own = items.select(F.col(item).alias("item"), fingerprint(*items.columns).alias("print"), F.lit(kind).alias("kind"))
+    own.write.mode("error").parquet(path)
+
+
+def since_baseline(items: DataFrame, item: str, path: str) -> DataFrame:
+    """item, change (added, removed, changed or unchanged) of items against a saved baseline with the same columns."""
+    before = items.sparkSession.read.parquet(path).select(F.col("item").alias("old_item"), F.col("print").alias("old_print"))
+    now = items.select(F.col(item).alias("new_item"), fingerprint(*items.columns).alias("new_print"))
+    change = F.when(F.col("old_item").isNull(), "added").when(F.col("new_item").isNull(), "removed").when(F.col("old_print") == F.col("new_print"), "unchanged").otherwise("changed")
+    return now.join(before, F.col("new_item") == F.col("old_item"), "full_outer").select(F.coalesce("new_item", "old_item").alias("item"), change.alias("change"))
+
+
+def preview(evidence: DataFrame, item: str, text: str, typed: str, most: int = 12) -> DataFrame:
+    """item, score of at most `most` rows for a query that is being typed: its last word may be unfinished."""
+    words = re.findall(r"\w+", typed.lower())
+    last = words[-1] if words and re.search(r"\w$", typed) else None
+    score = lexical_score(tokens(F.col(text)), words, prefix=last)
+    return evidence.select(item, score.alias("score")).where("score > 0").orderBy(F.desc("score"), item).limit(most)
+
+
 def resolved(queries: DataFrame, asked: str, entities: DataFrame, entity: str, names: str) -> DataFrame:
     """queries with entity_id and outcome: an id comes before a name; matched, ambiguous (several, id null) or
     unknown. names: an array column of names and aliases."""
@@ -126,3 +164,17 @@ def bounded_page(rows: DataFrame, order: list[Column], size: Column, max_items:
     page = rows.orderBy(*order).offset(after).limit(max_items)  # the page is bounded, so one window may hold it
     window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return page.withColumn("page_bytes", F.sum(size).over(window)).where(F.col("page_bytes") <= max_bytes)
+
+
+def roster_links(people: DataFrame, person: str, names: str, unit: str, manager: str) -> tuple[DataFrame, DataFrame]:
+    """people with unit_id (a hash of the folded unit name) and manager_id, manager_outcome: the person whom the stated
+    manager names by id, address or any of names, an array column (matched; unknown, ambiguous or none, the id null); and
+    the units: unit_id, name, people. A person never is its own manager: that is outcome self."""
+    unit_key = F.nullif(name_key(F.col(unit)), F.lit(""))
+    with_unit = people.withColumn("unit_id", F.when(unit_key.isNotNull(), F.concat(F.lit("unit_"), F.substring(F.sha2(unit_key, 256), 1, 20))))
+    units = with_unit.where("unit_id is not null").groupBy("unit_id").agg(F.min(F.trim(unit)).alias("name"), F.count(F.lit(1)).alias("people"))
+    found = resolved(with_unit, manager, people, person, names)
+    own = F.col("entity_id") == F.col(person)
+    outcome = F.when(F.nullif(F.trim(manager), F.lit("")).isNull(), "none").when(own, "self").otherwise(F.col("outcome"))
+    linked = found.withColumn("manager_outcome", outcome).withColumn("manager_id", F.when(F.col("manager_outcome") == "matched", F.col("entity_id")))
+    return linked.drop("outcome", "entity_id"), units

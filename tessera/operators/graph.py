@@ -89,6 +89,52 @@ def forest(candidates: DataFrame, child: str, parent: str, priority: str, score:
     return out.select(child, F.when(~dropped, F.col(parent)).alias(parent), F.when(dropped, "cycle_conflict").otherwise("selected").alias("status"))
 
 
+def projected(people: DataFrame, person: str, candidates: DataFrame, rejected: DataFrame, documented: int = 1, threshold: float = 0.55, margin: float = 0.08) -> DataFrame:
+    """person, parent, status for each row of people: a forest of at most one parent each, or why there is none.
+
+    candidates: child, parent, priority (0: decided, up to `documented`: from sources, beyond: scored), score, barred (why
+    it can't count, or null); rejected: child, those for whom a review refused a parent. Of a person's candidates those of
+    the smallest priority count: decided ones at once (ties: the smaller parent), sources if they name one parent, scores
+    if the best reaches the threshold and leads that of another parent by the margin. Statuses: selected, cycle_conflict
+    (see forest), analyst_rejected, conflicting_sources, weak_evidence, close_alternatives; without a candidate that
+    counts, the last in the alphabet of why they don't, or insufficient_evidence. Candidates of or for unknown people, or
+    of a person as its own parent, don't count.
+    """
+    known = people.select(F.col(person).alias("known_id"))
+    real = candidates.where("child <> parent").join(known, F.col("child") == F.col("known_id"), "left_semi").join(known, F.col("parent") == F.col("known_id"), "left_semi")
+    rated = real.where("barred is null").groupBy("child", "priority", "parent").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+    best = Window.partitionBy("child").orderBy(F.desc("score"), "parent")
+    top = rated.withColumn("first_priority", F.min("priority").over(Window.partitionBy("child"))).where("priority = first_priority")
+    top = top.withColumns({"place": F.row_number().over(best), "next_score": F.lead("score").over(best)}).where("place = 1")
+    several = F.col("next_score").isNotNull()
+    doubt = (
+        F.when((F.col("priority") > 0) & (F.col("priority") <= documented) & several, "conflicting_sources")
+        .when((F.col("priority") > documented) & (F.col("score") < threshold), "weak_evidence")
+        .when((F.col("priority") > documented) & several & (F.col("score") - F.col("next_score") < margin), "close_alternatives")
+    )
+    refused = rejected.select(F.col("child").alias("refused_id")).distinct()
+    judged = settled(top.withColumn("doubt", doubt).join(refused, F.col("child") == F.col("refused_id"), "left_anti"), "judged")
+    placed = forest(judged.where("doubt is null").select("child", "parent", "priority", "score"), "child", "parent", "priority", "score")
+    doubts = judged.where("doubt is not null").select("child", F.lit(None).cast(placed.schema["parent"].dataType).alias("parent"), F.col("doubt").alias("status"))
+    found = placed.union(doubts).withColumnRenamed("child", "of_person")
+    barred = real.where("barred is not null").groupBy(F.col("child").alias("barred_id")).agg(F.max("barred").alias("barred"))
+    out = people.select(F.col(person).alias("person")).join(found, F.col("person") == F.col("of_person"), "left").join(barred, F.col("person") == F.col("barred_id"), "left").join(refused, F.col("person") == F.col("refused_id"), "left")
+    status = F.when(F.col("refused_id").isNotNull(), "analyst_rejected").otherwise(F.coalesce("status", "barred", F.lit("insufficient_evidence")))
+    return out.select("person", "parent", status.alias("status"))
+
+
+def neighbourhood(edges: DataFrame, edge: str, a: str, b: str, node: object, hops: int = 1, per_node: int = 50, most_edges: int = 500) -> tuple[DataFrame, set[str]]:
+    """edge, hop of the edges around one node, at most `hops` steps away, within the bounds of `expanded`; its own edges
+    have hop 0. An unknown node has none."""
+    if hops < 1:
+        raise ValueError("hops must be 1 at least")
+    own = edges.where((F.col(a) == F.lit(node)) | (F.col(b) == F.lit(node))).select(edge, F.lit(0.0).alias("score")).orderBy(edge).limit(per_node + 1)
+    own = settled(own, "own-edges")
+    cut = own.count() > per_node
+    found, reasons = expanded(edges, edge, a, b, own.orderBy(edge).limit(per_node), hops - 1, per_node, most_edges)
+    return found, reasons | ({"per_node_budget"} if cut else set())
+
+
 def ancestors(tree: DataFrame, child: str, parent: str, most: int | None = None) -> DataFrame:
     """node, ancestor, steps for all ancestors, or those at most `most` steps up; pointers double each round, so there
     are as many rounds as the logarithm of the depth. A cycle is an error unless `most` bounds the walk."""
@@ -185,7 +231,7 @@ def branch_chart(tree: DataFrame, child: str, parent: str, name: str, unresolved
     """node, name, kind (branch or person), person_count, unresolved_count, position: the top level of a chart.
 
     A forest of at most `detail` people shows everyone; a larger one shows its roots, those with people below them as
-    collapsed branches. Branches come before people, both by name without case, then by node.
+    collapsed branches. Branches come before people, both by name without case, then by node: position, from 0.
     """
     sizes = subtree_sizes(tree, child, parent, (unresolved,))
     rows = tree.select(F.col(child).alias("of"), F.col(name).alias("name"), F.col(parent).alias("above")).join(sizes, F.col("of") == F.col("node"))
@@ -194,7 +240,8 @@ def branch_chart(tree: DataFrame, child: str, parent: str, name: str, unresolved
     kind = F.lit("person") if whole else F.when(F.col("subtree") > 1, "branch").otherwise("person")
     counted = F.col("kind") == "branch"
     nodes = shown.withColumn("kind", kind).select("node", "name", "kind", F.when(counted, F.col("subtree")).alias("person_count"), F.when(counted, F.col(unresolved)).alias("unresolved_count"))
-    return nodes.orderBy(F.col("kind") == "person", F.lower("name"), "node")
+    place = F.row_number().over(Window.orderBy(F.col("kind") == "person", F.lower("name"), "node")) - 1  # what a chart shows
+    return nodes.withColumn("position", place)
 
 
 def bounded_view(tree: DataFrame, child: str, parent: str, name: str, focus: object, limit: int = 80, most_ancestors: int = 40) -> DataFrame:
@@ -203,12 +250,8 @@ def bounded_view(tree: DataFrame, child: str, parent: str, name: str, focus: obj
     link = tree.select(F.col(child).alias("node"), F.col(parent).alias("above"), F.lower(name).alias("sort_name"))
     spark = tree.sparkSession
     kind = link.schema["node"].dataType.simpleString()
-    chosen, at = [focus], focus
-    while len(chosen) < min(most_ancestors, limit):  # one row each, forty at most
-        row = link.where(F.col("node") == F.lit(at)).select("above").first()
-        if row is None or row["above"] is None or row["above"] in chosen:
-            break
-        chosen.append(at := row["above"])
+    walk = ancestors(tree, child, parent, most_ancestors).where(F.col("node") == F.lit(focus)).orderBy("steps").select("ancestor").collect()
+    chosen = list(dict.fromkeys([focus, *[r["ancestor"] for r in walk]]))[: min(most_ancestors, limit)]
     placed = [(n, i) for i, n in enumerate(chosen)]
     level = list(placed)
     while level and len(placed) < limit:

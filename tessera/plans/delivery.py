@@ -155,7 +155,7 @@ SELECT child AS node, name, CASE WHEN n > 1 THEN 'branch' ELSE 'person' END AS k
 """)
 def branch_chart(spark, folder):
     chart = R.branch_chart(chart_tree(spark, folder), "child", "parent", "name", "unresolved")
-    return chart.withColumn("place", F.row_number().over(Window.orderBy(F.col("kind") == "person", F.lower("name"), "node")).cast("long"))  # the top level alone
+    return chart.select("node", "name", "kind", "person_count", "unresolved_count", (F.col("position") + 1).cast("long").alias("place"))
 
 
 EXPANSION = """WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS e, min('o' || l_orderkey) AS a, min('p' || l_partkey) AS b, max(l_quantity) AS q FROM lineitem GROUP BY 1), ends AS (SELECT DISTINCT e, unnest([a, b]) AS node FROM e),

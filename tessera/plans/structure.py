@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
 from tessera.operators import communities as N
+from tessera.operators import evidence as E
 from tessera.operators import graph as R
 from tessera.operators import nested as J
 from tessera.operators import quality as Q
@@ -32,7 +35,7 @@ def community_stability(spark, folder):
     return N.stable_communities(edges, "hub", "c_custkey", "weight", kept)[1]
 
 
-# Parents over time: three candidates of a customer by arithmetic, each with its days.
+# Parents over time: candidates of a customer by arithmetic, each with its days; some neighbours name each other.
 
 
 def dated_candidates(spark, folder) -> DataFrame:
@@ -49,16 +52,16 @@ def dated_candidates(spark, folder) -> DataFrame:
         part("c_custkey * 11 % n + 1", 2, (c % 7 / 8.0).cast("double"), "c_custkey % 2 = 0", later, none),
         part("cast(floor(c_custkey / 3) as bigint) + 1", 1, F.lit(0.0), "c_custkey % 3 = 0", later, F.date_add(later, 60)),
         part("c_custkey % n + 1", 1, F.lit(0.0), "c_custkey % 6 = 0", F.date_add(first, 30), F.date_add(first, 60)),
+        part("c_custkey + 1", 0, F.lit(0.0), "c_custkey % 20 = 4", F.date_add(first, 14), F.date_add(first, 74)),
+        part("c_custkey - 1", 0, F.lit(0.0), "c_custkey % 20 = 5", F.date_add(first, 30), none),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 DATED = """n AS (SELECT max(c_custkey) AS n FROM customer), c0 AS (SELECT c_custkey AS c, DATE '2024-01-01' + CAST(c_custkey % 4 * 30 AS INTEGER) AS later FROM customer),
 k0(child, parent, priority, score, lo, hi) AS (SELECT c, c * 7 % n + 1, 2, c % 10 / 10.0::DOUBLE, DATE '0001-01-01', DATE '2024-01-01' + CAST(60 + c % 3 * 30 AS INTEGER) FROM c0, n UNION ALL SELECT c, c * 11 % n + 1, 2, c % 7 / 8.0::DOUBLE, later, DATE '9999-12-31' FROM c0, n WHERE c % 2 = 0
- UNION ALL SELECT c, CAST(floor(c / 3) AS BIGINT) + 1, 1, 0.0, later, later + 60 FROM c0 WHERE c % 3 = 0 UNION ALL SELECT c, c % n + 1, 1, 0.0, DATE '2024-01-31', DATE '2024-03-01' FROM c0, n WHERE c % 6 = 0),
+ UNION ALL SELECT c, CAST(floor(c / 3) AS BIGINT) + 1, 1, 0.0, later, later + 60 FROM c0 WHERE c % 3 = 0 UNION ALL SELECT c, c % n + 1, 1, 0.0, DATE '2024-01-31', DATE '2024-03-01' FROM c0, n WHERE c % 6 = 0
+ UNION ALL SELECT c, c + 1, 0, 0.0, DATE '2024-01-15', DATE '2024-03-15' FROM c0 WHERE c % 20 = 4 UNION ALL SELECT c, c - 1, 0, 0.0, DATE '2024-01-31', DATE '9999-12-31' FROM c0 WHERE c % 20 = 5),
 k AS (SELECT * FROM k0 WHERE child <> parent), d AS (SELECT DISTINCT lo AS d FROM k UNION SELECT hi FROM k), g AS (SELECT d AS a, lead(d) OVER (ORDER BY d) AS z FROM d QUALIFY z IS NOT NULL),
 r AS (SELECT a, z, child, parent, priority, max(score) AS score FROM k JOIN g ON lo <= a AND z <= hi GROUP BY ALL), t AS (SELECT *, min(priority) OVER (PARTITION BY a, child) AS fp FROM r),
 u AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM t WHERE priority = fp WINDOW w AS (PARTITION BY a, child ORDER BY score DESC, parent)),
@@ -136,6 +139,69 @@ def entity_list(spark, folder):
     return R.entity_list(forest_cut(spark, folder), "child", "parent", "status", table(spark, folder, "customer"), "c_custkey", "c_name")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT max(c_custkey) AS n FROM customer),
+k(child, parent, priority, score, barred) AS (SELECT c_custkey, c_custkey * 7 % n + 1, 2, c_custkey % 10 / 10.0::DOUBLE, CASE WHEN c_custkey % 13 = 0 THEN 'outside_time_scope' WHEN c_custkey % 23 = 0 THEN 'unknown_dates' END FROM customer, n
+ UNION ALL SELECT c_custkey, c_custkey * 11 % n + 1, 2, c_custkey % 7 / 8.0::DOUBLE, CASE WHEN c_custkey % 26 = 0 THEN 'evidence_unavailable' END FROM customer, n WHERE c_custkey % 2 = 0
+ UNION ALL SELECT c_custkey, CAST(floor(c_custkey / 3) AS BIGINT) + 1, 1, 0.0, NULL FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, c_custkey % n + 1, 1, 0.0, NULL FROM customer, n WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 5, 0, 0.0, NULL FROM customer WHERE c_custkey % 36 = 0),
+r AS (SELECT * FROM k WHERE child <> parent AND parent IN (SELECT c_custkey FROM customer) AND child IN (SELECT c_custkey FROM customer)), g AS (SELECT child, priority, parent, max(score) AS score FROM r WHERE barred IS NULL GROUP BY ALL),
+t AS (SELECT * FROM g QUALIFY priority = min(priority) OVER (PARTITION BY child)), u AS (SELECT *, row_number() OVER x AS place, lead(score) OVER x AS nxt FROM t WINDOW x AS (PARTITION BY child ORDER BY score DESC, parent)),
+j AS MATERIALIZED (SELECT *, CASE WHEN priority = 1 AND nxt IS NOT NULL THEN 'conflicting_sources' WHEN priority > 1 AND score < 0.55 THEN 'weak_evidence' WHEN priority > 1 AND score - nxt < 0.08 THEN 'close_alternatives' END AS doubt FROM u WHERE place = 1 AND child % 17 <> 0),
+c AS MATERIALIZED (SELECT child, parent, priority, score FROM j WHERE doubt IS NULL), """ + "w(start" + FOREST.split("w(start", 1)[1] + """
+SELECT c_custkey AS person, f.parent, CASE WHEN c_custkey % 17 = 0 THEN 'analyst_rejected' ELSE coalesce(f.status, j.doubt, (SELECT max(barred) FROM r WHERE r.child = c_custkey), 'insufficient_evidence') END AS status FROM customer LEFT JOIN f ON f.child = c_custkey LEFT JOIN j ON j.child = c_custkey
+""")
+def projected_forest(spark, folder):
+    """A parent of each customer by decisions, sources and scores, or why it has none."""
+    customer = table(spark, folder, "customer")
+    both = customer.withColumn("n", F.lit(customer.agg(F.max("c_custkey").alias("n")).first()["n"]))
+    parts = [
+        ("c_custkey * 7 % n + 1", 2, "cast(c_custkey % 10 / 10.0 as double)", "case when c_custkey % 13 = 0 then 'outside_time_scope' when c_custkey % 23 = 0 then 'unknown_dates' end", "true"),
+        ("c_custkey * 11 % n + 1", 2, "cast(c_custkey % 7 / 8.0 as double)", "case when c_custkey % 26 = 0 then 'evidence_unavailable' end", "c_custkey % 2 = 0"),
+        ("cast(floor(c_custkey / 3) as bigint) + 1", 1, "0.0d", "cast(null as string)", "c_custkey % 3 = 0"), ("c_custkey % n + 1", 1, "0.0d", "cast(null as string)", "c_custkey % 6 = 0"), ("5L", 0, "0.0d", "cast(null as string)", "c_custkey % 36 = 0"),
+    ]
+    frames = [both.where(of).selectExpr("c_custkey as child", f"{parent} as parent", f"{priority} as priority", f"{score} as score", f"{barred} as barred") for parent, priority, score, barred, of in parts]
+    rejected = customer.where("c_custkey % 17 = 0").selectExpr("c_custkey as child")
+    return R.projected(customer, "c_custkey", reduce(DataFrame.union, frames), rejected)
+
+
+@query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w, lower(text) AS t, doc_id % 5 AS e FROM documents)
+SELECT doc_id, coalesce(list_contains(w, 'license') AND list_contains(w, 'work'), false) AS tokens, coalesce(contains(t, 'lic') AND e IN (1, 3), false) AS scoped FROM w
+""")
+def token_search(spark, folder):
+    """Documents that hold whole words, and documents about some of five entities that hold a part of one."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.array(F.col("doc_id") % 5, F.lit(-1)).alias("about"))
+    scoped = E.searched(docs, "text", ["LIC"], "about", [1, 3]).select(F.col("doc_id").alias("found_id"))
+    rows = docs.join(scoped, F.col("doc_id") == F.col("found_id"), "left")
+    return rows.select("doc_id", E.all_tokens(F.col("text"), ["License work"]).alias("tokens"), F.col("found_id").isNotNull().alias("scoped"))
+
+
+@query("""
+WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS e, min('o' || l_orderkey) AS a, min('p' || l_partkey) AS b FROM lineitem GROUP BY 1), f AS (SELECT 'p' || min(l_partkey) AS f FROM lineitem), s0 AS (SELECT e FROM e, f WHERE b = f ORDER BY e LIMIT 200),
+n1 AS (SELECT DISTINCT a AS n FROM e WHERE e IN (SELECT e FROM s0) UNION SELECT b FROM e WHERE e IN (SELECT e FROM s0)), s1 AS (SELECT e FROM e WHERE (a IN (SELECT n FROM n1) OR b IN (SELECT n FROM n1)) AND e NOT IN (SELECT e FROM s0))
+SELECT e AS edge, 0 AS hop FROM s0 UNION ALL SELECT e, 1 FROM s1
+""")
+def part_neighbourhood(spark, folder):
+    """The line items of the first part, and those of their orders."""
+    items = table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge")).agg(F.min(F.concat(F.lit("o"), "l_orderkey")).alias("a"), F.min(F.concat(F.lit("p"), "l_partkey")).alias("b"))
+    first = table(spark, folder, "lineitem").agg(F.min("l_partkey").alias("p")).first()["p"]
+    return R.neighbourhood(items, "edge", "a", "b", f"p{first}", hops=2, per_node=200, most_edges=5000)[0]
+
+
+@query("""
+WITH p AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN CAST((c_custkey + 1) % n AS VARCHAR) WHEN 1 THEN upper(c_mktsegment) || ' ' || c_custkey // 3 WHEN 2 THEN 'nobody' WHEN 3 THEN ' ' WHEN 4 THEN CAST(c_custkey AS VARCHAR) END AS m, n FROM customer, (SELECT count(*) AS n FROM customer)),
+k AS (SELECT CAST(c_custkey AS VARCHAR) AS k, 0 AS r, c_custkey AS e FROM customer UNION ALL SELECT lower(c_mktsegment) || ' ' || c_custkey // 3, 1, c_custkey FROM customer), g AS (SELECT k, r, min(e) AS e, count(DISTINCT e) AS n FROM k GROUP BY ALL), b AS (SELECT k, arg_min(e, r) AS e, arg_min(n, r) AS n FROM g GROUP BY 1)
+SELECT c_custkey, CASE WHEN coalesce(trim(m), '') = '' THEN 'none' WHEN b.n = 1 AND b.e = c_custkey THEN 'self' WHEN b.k IS NULL THEN 'unknown' WHEN b.n > 1 THEN 'ambiguous' ELSE 'matched' END AS manager_outcome, CASE WHEN coalesce(trim(m), '') <> '' AND b.n = 1 AND b.e <> c_custkey THEN b.e END AS manager_id FROM p LEFT JOIN b ON b.k = lower(trim(m))
+""")
+def roster_managers(spark, folder):
+    """Customers who state a manager by id, by a name that others may share, by nobody's name, not at all, or themselves."""
+    customer = table(spark, folder, "customer")
+    c, n = F.col("c_custkey"), customer.count()
+    stated = F.when(c % 6 == 0, ((c + 1) % n).cast("string")).when(c % 6 == 1, F.concat(F.upper("c_mktsegment"), F.lit("  "), F.expr("c_custkey div 3"))).when(c % 6 == 2, "nobody").when(c % 6 == 3, " ").when(c % 6 == 4, c.cast("string"))
+    people = customer.select("c_custkey", F.array(F.expr("concat(c_mktsegment, ' ', c_custkey div 3)")).alias("names"), F.col("c_mktsegment").alias("unit"), stated.alias("manager"))
+    return E.roster_links(people, "c_custkey", "names", "unit", "manager")[0].select("c_custkey", "manager_outcome", "manager_id")
+
+
 @query("""
 WITH p AS (SELECT CASE WHEN c_custkey % 40 = 3 THEN c_custkey - 1 WHEN c_custkey % 60 = 5 THEN c_custkey - 1 ELSE c_custkey END AS id, CASE WHEN c_custkey % 9 = 0 THEN ' ' WHEN c_custkey % 60 = 4 THEN 'same' WHEN c_custkey % 60 = 5 THEN 'same' ELSE c_name END AS name,
  CASE WHEN c_custkey % 60 IN (4, 5) THEN '1' WHEN c_custkey % 11 = 0 THEN 'x1' ELSE CAST(c_acctbal AS VARCHAR) END AS balance, CASE WHEN c_custkey % 60 IN (4, 5) THEN '2024-01-01' WHEN c_custkey % 13 = 0 THEN '2024-13-01' ELSE '2024-01-01' END AS since,
@@ -211,13 +277,13 @@ def stream_sliding_counts(spark, folder):
 
 
 @query("""
-SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 36 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """)
 def stream_silences(spark, folder):
-    """Users who have been silent for 36 hours when the events end. A user who comes back between two batches is not; all
+    """Users who have been silent for 24 hours when the events end. A user who comes back between two batches is not; all
     events are one batch here."""
     place = S.new_place(shared_folder(spark))
-    found = S.appended(S.silences(event_stream(spark, folder), "user_id", "ts", 36), place)
+    found = S.appended(S.silences(event_stream(spark, folder), "user_id", "ts", 24), place)
     return found.select("user_id", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "n")
 
 

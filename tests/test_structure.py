@@ -381,3 +381,53 @@ def test_sessions_and_timers_replay(spark, tmp_path):
     for _ in range(2):  # the second run has nothing new
         silent = ingest.appended(ingest.silences(stream, "k", "t", 24), str(tmp_path / "silent"))
         assert [(r.k, r.last_seen, r.n) for r in silent.collect()] == [("a", start + timedelta(hours=31), 5)]
+
+
+# Search, baselines and rosters
+
+
+def test_searches_by_token_and_scope(spark):
+    from tessera.operators import evidence as E
+
+    df = spark.createDataFrame([(1, "The License works", [1]), (2, "license work", [2, 3]), (3, None, [1]), (4, "work-license", None)], "i int, t string, about array<int>")
+    assert [r.ok for r in df.orderBy("i").select(E.all_tokens(F.col("t"), ["License", "WORK"]).alias("ok")).collect()] == [False, True, False, True]
+    assert [r.i for r in E.searched(df, "t", ["lic", "work"], "about", [1, 3]).orderBy("i").collect()] == [1, 2]
+    assert E.searched(df, "t", ["lic"], "about", []).count() == 3
+    assert [r.i for r in E.preview(df, "i", "t", "license wor").collect()] == [1, 2, 4] and E.preview(df, "i", "t", "lic ").count() == 0
+
+
+def test_baselines_are_saved_and_compared(spark, tmp_path):
+    from tessera.operators import evidence as E
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i int, x string")
+    E.save_baseline(df, "i", str(tmp_path / "base"), "findings")
+    now = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "i int, x string")
+    assert {r.item: r.change for r in E.since_baseline(now, "i", str(tmp_path / "base")).collect()} == {1: "unchanged", 2: "changed", 3: "removed", 4: "added"}
+
+
+def test_neighbourhoods_are_bounded(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "a", "e"), (5, "x", "y")], "e int, s string, t string")
+    near, reasons = R.neighbourhood(edges, "e", "s", "t", "a", hops=1)
+    assert {r.e for r in near.collect()} == {1, 4} and not reasons
+    near, _ = R.neighbourhood(edges, "e", "s", "t", "a", hops=2)
+    assert {(r.e, r.hop) for r in near.collect()} == {(1, 0), (4, 0), (2, 1)}
+    near, reasons = R.neighbourhood(edges, "e", "s", "t", "a", hops=1, per_node=1)
+    assert {r.e for r in near.collect()} == {1} and reasons == {"per_node_budget"}
+    assert R.neighbourhood(edges, "e", "s", "t", "?")[0].count() == 0
+
+
+def test_labels_stand_once_in_a_quote_that_stands_once(spark):
+    from tessera.functions.text import labels_grounded
+
+    rows = [("ab cd ab", "cd ab", ["cd", "ab"]), ("ab cd ab", "ab", ["ab"]), ("ab cd", "ab cd", ["a", "x"]), ("abab cd", "abab", ["ab"]), ("abc", "abc", []), (None, "a", ["a"]), ("abc", "", []), ("abc", "ab", [""]), ("abc", "ab", None)]
+    df = spark.createDataFrame(rows, "t string, q string, l array<string>")
+    assert [r.ok for r in df.select(labels_grounded(F.col("t"), F.col("q"), F.col("l")).alias("ok")).collect()] == [True, False, False, False, True, False, False, False, False]
+
+
+def test_units_of_a_roster(spark):
+    from tessera.operators import evidence as E
+
+    rows = [("1", ["Ann"], "Sales ", "2"), ("2", ["Bob", "Ann"], "sales", "ann"), ("3", ["Cy"], None, "3"), ("4", ["Dee"], " ", "cy")]
+    people, units = E.roster_links(spark.createDataFrame(rows, "p string, names array<string>, unit string, manager string"), "p", "names", "unit", "manager")
+    assert {r.p: (r.manager_outcome, r.manager_id) for r in people.collect()} == {"1": ("matched", "2"), "2": ("ambiguous", None), "3": ("self", None), "4": ("matched", "3")}
+    assert [(r.name, r.people) for r in units.collect()] == [("Sales", 2)] and people.where("unit_id is null").count() == 2
