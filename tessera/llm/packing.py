@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import parts, written
+from tessera.llm.shared import CLEARED, parts, written
 
 #: Before a single space between two visible characters the tokenizer always starts a new word.
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
@@ -120,6 +120,9 @@ def word_ids(path: str, pattern: str) -> WordIds:
     return WordIds(path, pattern)
 
 
+CLEARED.append(word_ids.cache_clear)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, closing_id: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, doc_tokens, crcs (of each piece), tail (the ids of a last piece that is shorter, two bytes each where they fit)."""
 

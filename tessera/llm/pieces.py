@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import kept, kept_schema, parts
+from tessera.llm.shared import CLEARED, kept, kept_schema, parts
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -171,6 +171,9 @@ def encoder(model_file: str) -> Encoder:
     return Encoder(model_file)
 
 
+CLEARED.append(encoder.cache_clear)
+
+
 def encode_texts(docs: DataFrame, model_file: str, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, ids (array of int), score, n_unspelled: each whole text as pieces (null and empty: none).
 

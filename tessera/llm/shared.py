@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from tessera.session import settled as written
 
-__all__ = ["bounded_sample", "byte_texts", "is_held_out", "kept", "kept_schema", "parts", "rows_where", "total_bytes", "written"]
+__all__ = ["bounded_sample", "byte_texts", "forget", "is_held_out", "kept", "kept_schema", "parts", "rows_where", "total_bytes", "written"]
+
+
+#: Clears what operators remember from task to task.
+CLEARED: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Give up what other operators remember in this Python worker, which outlives its stage; for tasks that need memory."""
+    for clear in CLEARED:
+        clear()
 
 
 def is_held_out(doc_id: Column) -> Column:

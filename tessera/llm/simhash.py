@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_sample, byte_texts, parts, written
+from tessera.llm.shared import bounded_sample, byte_texts, forget, parts, written
 
 ODD = 0x5555555555555555
 BROADCAST_IDS = 1_000_000
@@ -251,6 +251,7 @@ def common_shingles(docs: DataFrame, doc_id: str, text: str, size: int, sample:
     """Ascending hashes of the most frequent shingles of about `sample` rows, and their counts."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts(batches):
             found = [shingle_hashes(x, size) for x in byte_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], names=["shingle"])
@@ -288,6 +289,7 @@ def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
     common, counts = common_shingles(docs, doc_id, text, shingle)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts(batches):
             nodes, sizes, sketches, prefixes = [], [], [], []
             for x in byte_texts(batch.column(2)):
@@ -320,6 +322,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, siz
     """node, shingles: the set of each wanted node (node, doc_id, text_key), once for each row of its text."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts(batches, 100):
             found = [shingle_hashes(x, size) for x in byte_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), long_lists(found)], names=["node", "shingles"])

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_texts, total_bytes
+from tessera.llm.shared import byte_texts, forget, total_bytes
 
 #: Odd multipliers of the two rolling hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -204,6 +204,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = max(1, -(-total_bytes(plain, "text") // bucket_bytes))
 
     def send(table: pa.Table) -> pa.Table:
+        forget()
         table = _ordered(table)
         block = Block(byte_texts(table["text"]), window)
         cuts = block.cuts(buckets)
@@ -215,6 +216,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"block": pa.array([number] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
+        forget()
         blocks = table["block"].to_numpy()
         parts = [unpack(x) for x in table["packed"].to_pylist()]
         sizes = [len(k) for k, _ in parts]
@@ -230,6 +232,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"block": table["block"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
     def cut(own: pa.Table, answers: pa.Table) -> pa.Table:
+        forget()
         own = _ordered(own)
         texts = byte_texts(own["text"])
         block = Block(texts, window)
