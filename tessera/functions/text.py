@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +46,11 @@ def lexical_score(found: Column, terms: list[str], prefix: str | None = None) ->
 
 
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf of each row. Terms are counted row by row within Arrow batches, so that nothing is shuffled."""
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = [Counter(words or ()) for words in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(c) for c in found])
-                columns = [part.column(0).take(pa.array(owner)), pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "term", "tf"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, tokens(F.col(text), TERM).alias("words")).mapInArrow(of_batches, f"`{doc_id}` {kind}, term string, tf long")
+    """doc_id, term, tf of each row. A row's terms are counted before anything is shuffled, as all of them are in one
+    task; repeated rows are counted each for itself."""
+    rows = docs.select(doc_id, tokens(F.col(text), TERM).alias("words"), F.monotonically_increasing_id().alias("of_row"))  # before terms are rows
+    words = rows.select("of_row", doc_id, F.explode("words").alias("term"))
+    return words.groupBy("of_row", doc_id, "term").agg(F.count(F.lit(1)).alias("tf")).select(doc_id, "term", "tf")
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
