@@ -4,6 +4,7 @@ round trips or held-out accuracy."""
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections import defaultdict
 
@@ -119,6 +120,39 @@ def test_op5_round_trip(spark):
         assert row.media_bytes > row.payload_bytes and "keyframe" in row.feature
 
 
+def plain_feature(data: bytes) -> str:
+    """The feature of a stored file, by the places of its tables' names."""
+    moov = data.rindex(b"moov") if data.index(b"mdat") < data.rindex(b"moov") else data.index(b"moov")
+
+    def numbers(kind: bytes, skip: int, width: int = 1) -> list:
+        at = data.index(kind, moov) + 8 + skip
+        (n,) = struct.unpack_from(">I", data, at)
+        flat = struct.unpack_from(f">{n * width}I", data, at + 4)
+        return [flat[i : i + width] for i in range(0, len(flat), width)] if width > 1 else list(flat)
+
+    at = data.index(b"stsz", moov) + 8
+    size, count = struct.unpack_from(">2I", data, at)
+    assert size == 192
+    chunks, runs, keys = numbers(b"stco", 0), numbers(b"stsc", 0, 3), numbers(b"stss", 0)
+    offsets = []
+    for i, chunk in enumerate(chunks):
+        per = next(n for first, n, _ in reversed(runs) if i + 1 >= first)
+        offsets += [chunk + size * k for k in range(per)]
+    assert len(offsets) == count and keys == list(range(1, count + 1, 16))
+    ranges = [f"{offsets[k - 1]}+{size}" for k in keys]
+    digest = hashlib.md5(",".join(ranges).encode()).hexdigest()
+    codec = data[data.index(b"stsd", moov) + 16 :][:4].decode()
+    return f"codec={codec};duration={count * 192 / 8000:.3f};keyframes={len(keys)};keyframe_bytes={size * len(keys)};first={ranges[0]};last={ranges[-1]};ranges_md5={digest}"
+
+
+def test_op5_feature_equals_a_plain_reading(spark):
+    from tessera.llm import media
+
+    got = {r.doc_id: r.feature for r in queries.op5_media(spark, FOLDER).collect()}
+    stored = media.to_media(spark.read.parquet(f"{FOLDER}/documents.parquet"), ["doc_id"]).collect()
+    assert len(got) == len({r.doc_id for r in stored}) and all(got[r.doc_id] == plain_feature(bytes(r.media)) for r in stored)
+
+
 def test_op6_ids_and_sequences(spark):
     from tokenizers import Tokenizer
 
