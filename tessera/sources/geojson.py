@@ -134,10 +134,11 @@ def feature_texts(spark: SparkSession, path: str, block_bytes: int = 32 << 20, m
 
 def geojson_features(spark: SparkSession, path: str, properties: list[str], block_bytes: int = 32 << 20) -> DataFrame:
     """The properties, kind and rings (lists of [lon, lat]) of the polygons of feature collections; a multi-polygon has a
-    row for each of its polygons. Files of several blocks are read by several tasks."""
+    row for each of its polygons. Objects without a geometry, or of another type, are none. Files of several blocks are read
+    by several tasks."""
     own = ", ".join(f"`{p}`: STRING" for p in properties)
     shape = f"type STRING, properties STRUCT<{own}>, geometry STRUCT<type: STRING, coordinates: STRING>" if properties else "type STRING, geometry STRUCT<type: STRING, coordinates: STRING>"
-    feature = feature_texts(spark, path, block_bytes).select(F.from_json("feature", shape).alias("f")).where("f.type = 'Feature'")
+    feature = feature_texts(spark, path, block_bytes).select(F.from_json("feature", shape).alias("f")).where("coalesce(f.type, 'Feature') = 'Feature' and f.geometry is not null")
     kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     one, many = F.from_json(coordinates, "ARRAY<ARRAY<ARRAY<DOUBLE>>>"), F.from_json(coordinates, "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")
     polygons = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
