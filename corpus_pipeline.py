@@ -38,6 +38,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
+    SimHash fingerprints that operator 9 finds near are compared first, by their sets of five-word shingles; near copies whose
+    fingerprints lie further apart are found by the shingles they share.
+
     Texts without words, null ones among them, are copies of each other. Of repeated rows one stays; rows without an id
     all stay; an empty table stays empty; all columns stay, whatever their names.
     """

@@ -9,8 +9,8 @@ Rows that share a cell are compared: first by the Manhattan bound, then by the e
 A cell gives its spanning links, not all its pairs. Cells of more than `chunk` rows are cut into pairs of
 chunks, so no task ever holds a whole hot cell.
 
-Near copies of a stated Jaccard similarity are too far apart for this: near_copies finds them by shared shingles and
-compares whole sets of shingles.
+Near copies of a stated Jaccard similarity are partly further apart than that: near_copies takes the pairs of this search
+over fingerprints of short shingles first, and has an exact way for the rest; whole sets of shingles are compared either way.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from tessera.llm.shared import bounded_sample, byte_texts, forget, parts, writte
 
 ODD = 0x5555555555555555
 BROADCAST_IDS = 1_000_000
+#: Words of a shingle of the fingerprints by which near_copies searches: an edited word changes few of them.
+FINGERPRINT_WORDS = 2
 
 
 def word_shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -278,8 +280,8 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set of shingles), size (their number), sketch (see parity_sketch), prefix:
-    the shingles of which two sets share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are
+    """doc_id, text_key, node (a hash of the set of shingles), fp (the fingerprint of the text's FINGERPRINT_WORDS-word
+    shingles), size (the number of shingles), sketch (see parity_sketch), prefix: the shingles of which two sets share one if their Jaccard similarity is `percent` / 100 or more. Rows without an id are
     left out.
 
     Sets of n shingles in one order for all, of which ceil(percent * n / 100) must be shared, share one of the first
@@ -291,8 +293,9 @@ def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in parts(batches):
-            nodes, sizes, sketches, prefixes = [], [], [], []
+            nodes, prints, sizes, sketches, prefixes = [], [], [], [], []
             for x in byte_texts(batch.column(2)):
+                prints += fingerprint(word_shingles(x.lower().split(), FINGERPRINT_WORDS) if x else [])
                 found = shingle_hashes(x, shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
                 sizes.append(len(found))
@@ -301,10 +304,11 @@ def shingle_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
                 prefixes.append(found[: len(found) + percent * -len(found) // 100 + 1])
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *map(long_lists, (sketches, prefixes))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "sketch", "prefix"])
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
+            columns = [batch.column(0), batch.column(1), *hashes, pa.array(sizes, pa.int64()), *map(long_lists, (sketches, prefixes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "fp", "size", "sketch", "prefix"])
 
-    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, size long, sketch array<long>, prefix array<long>")
+    return keyed(docs, doc_id, text).mapInArrow(of_batches, "doc_id long, text_key long, node long, fp long, size long, sketch array<long>, prefix array<long>")
 
 
 def long_lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -368,15 +372,32 @@ def kept_word(i: int) -> Callable[[Column, Column], Column]:
     return lambda x, at: F.pmod(at, F.lit(SHORT_WORDS)) == i
 
 
-def similar_roots(cells: DataFrame, nodes: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
-    """node, root of all nodes of cells (cell, node, size, pos: the cell's place in the node's order, rows: the cell's)
-    that are connected by similar pairs in a cell. nodes: node, sketch.
+def fingerprint_pairs(nodes: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """a, b: pairs of nodes (node, fp) by which those are connected whose fingerprints are at most `radius` bits apart,
+    as near_pairs finds them by segment popcounts; equal fingerprints are connected through their smallest node."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    left, right = (least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(f"least_{x}")) for x in "ab")
+    near = near_pairs(least, radius, chunk=chunk).join(left, F.col("a") == F.col("fp_a")).join(right, F.col("b") == F.col("fp_b")).select("least_a", "least_b")
+    equal = nodes.select("node", "fp").join(least, "fp").where("node <> least").select("node", "least")
+    pairs = near.union(equal).toDF("x", "y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def with_roots(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """cells with the root of each node: itself, if it is not among roots (node, root)."""
+    known = roots.withColumnRenamed("node", "linked")
+    return cells.join(known, F.col("node") == F.col("linked"), "left").select(*cells.columns, F.coalesce("root", "node").alias("root"))
+
+
+def similar_roots(cells: DataFrame, nodes: DataFrame, links: DataFrame, similar: Callable[[DataFrame], DataFrame], percent: int, chunk: int) -> DataFrame:
+    """node, root of all nodes that are connected by links (a, b) or by similar pairs in a cell. cells: cell, node, size, pos
+    (the cell's place in the node's order), rows (the cell's). nodes: node, sketch. What links connect does not meet again.
 
     A pair counts in the cell that is its first shared shingle: what the two sets share lies there and behind, so the
     shorter of the two rests must be long enough for the similarity. Any similar pair passes in its first cell; pairs
     that share only what is frequent, and so stands last, pass in none.
 
-    First the rows of a cell meet its most central one, whose own cells have most rows: the least edited copy of a text is
+    The rows of a cell first meet its most central one, whose own cells have most rows: the least edited copy of a text is
     like most of the others, so nearly all of a large group is connected by a pair for each row. Then what is in one cell
     and not yet connected meets; short sketches, which settle nearly all pairs that are not similar, are part of that join.
     """
@@ -387,44 +408,52 @@ def similar_roots(cells: DataFrame, nodes: DataFrame, similar: Callable[[DataFra
         pairs = met.where(alike).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         return written(similar(written(pairs, "pairs")), "links")
 
-    columns = ("node", "size", "pos")
+    columns = ("node", "size", "pos", "root")
+    roots = written(connected(links), "roots")
     central = cells.groupBy("node").agg(F.sum("rows").alias("central"))
-    best = F.max(F.struct("central", "node", "size", "pos")).alias("best")
-    pivots = written(cells.join(central, "node").groupBy("cell").agg(best).select("cell", *[F.col(f"best.{c}").alias(f"{c}_b") for c in columns]), "pivots")
-    a = cells.select("cell", *[F.col(c).alias(f"{c}_a") for c in columns])
-    roots = written(connected(linked(a.join(pivots, "cell").where("node_a <> node_b"))), "roots")
-
-    known = roots.withColumnRenamed("node", "linked")
-    open_cells = cells.join(known, F.col("node") == F.col("linked"), "left").select("cell", *columns, F.coalesce("root", "node").alias("root"))
+    best = F.max(F.struct("central", *columns)).alias("best")
+    rooted = with_roots(cells, roots)
+    pivots = written(rooted.join(central, "node").groupBy("cell").agg(best).select("cell", *[F.col(f"best.{c}").alias(f"{c}_b") for c in columns]), "pivots")
+    a = rooted.select("cell", *[F.col(c).alias(f"{c}_a") for c in columns])
+    found = linked(a.join(pivots, "cell").where("root_a <> root_b"))
+    if not found.isEmpty():
+        roots = written(connected(found.union(roots)), "roots")  # what is connected goes in as a star for each root
+
+    open_cells = with_roots(cells, roots).select("cell", *columns)
     several = open_cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     open_cells = open_cells.join(several, "cell", "left_semi").join(nodes.select("node", *short_sketch(F.col("sketch"))), "node")
     spread = spread_hot_cells(written(open_cells, "open-cells"), chunk)
     words = [f"s{i}" for i in range(SHORT_WORDS)]
-    a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in (*columns, "root", *words)]) for x in "ab")
+    a, b = (spread.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in (*columns, *words)]) for x in "ab")
     apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
     near = apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
     found = linked(a.join(b, "cell").where("root_a < root_b").where(near))
     if found.isEmpty():
         return roots
-    return written(connected(found.union(roots.select("node", "root"))), "roots")  # what is connected goes in as a star for each root
+    return written(connected(found.union(roots)), "roots")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 4096) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, radius: int = 4, chunk: int = 4096) -> DataFrame:
     """doc_id, text_key, root: one row for each row of docs with an id. Rows have the same root if they are connected
     by pairs of texts whose sets of shingles (runs of `shingle` words, compared by XXH64) have a Jaccard similarity of
     `percent` / 100 or more, and only then. Texts without words are alike.
+
+    The first pairs are those of operator 9: SimHash fingerprints, segment popcounts on grids, the Manhattan bound, at most
+    `radius` bits of Hamming distance. Similar sets may be further apart than any radius, so what is not yet connected then
+    meets where it shares a shingle of its prefix, which loses no pair. Every pair is checked by its whole sets.
     """
     marks = written(shingle_prefixes(docs, doc_id, text, shingle, percent), "prefixes")
     least = F.min(F.struct("doc_id", "text_key")).alias("row")
     rows = written(marks.groupBy("node").agg(least).select("node", "row.*"), "rows")
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
     own = marks.join(rows, ["node", "doc_id", "text_key"], "left_semi")
-    nodes = written(own.select("node", "doc_id", "text_key", "size", "sketch").dropDuplicates(["node"]), "nodes")
+    nodes = written(own.select("node", "doc_id", "text_key", "fp", "size", "sketch").dropDuplicates(["node"]), "nodes")
     cells = own.select(F.posexplode("prefix").alias("pos", "cell"), "node", "size").select("cell", "node", "size", "pos")
     sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "cell-sizes")
     cells = written(cells.join(sizes, "cell"), "cells")
     similar = partial(similar_pairs, nodes=nodes, docs=docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent)
-    roots = similar_roots(cells, nodes, similar, percent, chunk).withColumnRenamed("node", "linked")
+    links = written(similar(written(fingerprint_pairs(nodes, radius, chunk), "near-fingerprints")), "near-links")
+    roots = similar_roots(cells, nodes, links, similar, percent, chunk).withColumnRenamed("node", "linked")
     return marks.join(roots, F.col("node") == F.col("linked"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

@@ -511,6 +511,40 @@ def test_near_copies_are_exactly_those_of_similarity_point_eight(spark, chunk):
     assert {r.doc_id: r.component_id for r in got} == least
 
 
+def test_near_copies_search_by_fingerprints_first(spark, monkeypatch):
+    """The first links of near copies are the pairs of operator 9's search whose sets are similar; the rest is found as well."""
+    rng = random.Random(18)
+    rows = []
+    for i in range(0, 200, 2):
+        words = [f"v{rng.randrange(20000)}" for _ in range(rng.randrange(60, 300))]
+        changed = list(words)
+        for k in rng.sample(range(len(words)), max(1, len(words) // rng.choice([20, 60, 200]))):
+            changed[k] = f"z{rng.randrange(20000)}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+    seen = {}
+    search, roots = simhash.near_pairs, simhash.similar_roots
+
+    def watched_search(fps, radius, **more):
+        seen["fps"] = {r.fp for r in fps.select("fp").collect()}
+        return search(fps, radius, **more)
+
+    def watched_roots(cells, nodes, links, *more):
+        ids = {r.node: r.doc_id for r in nodes.collect()}
+        seen["links"] = {tuple(sorted((ids[r.a], ids[r.b]))) for r in links.collect()}
+        return roots(cells, nodes, links, *more)
+
+    monkeypatch.setattr(simhash, "near_pairs", watched_search)
+    monkeypatch.setattr(simhash, "similar_roots", watched_roots)
+    got = {r.doc_id: r.component_id for r in simhash.wide_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = [brute_fingerprint(t, 2) for _, t in rows]
+    near = {i for i in range(0, 200, 2) if bin(prints[i] ^ prints[i + 1]).count("1") <= 4}
+    similar = {i for i in range(0, 200, 2) if jaccard(rows[i][1], rows[i + 1][1]) >= 0.8}
+    assert seen["fps"] == {p - (1 << 64) if p >> 63 else p for p in prints}
+    assert seen["links"] == {(i, i + 1) for i in near & similar}
+    assert len(near & similar) > 20 and similar - near and near - similar
+    assert got == {i: i - i % 2 if i - i % 2 in similar else i for i in range(200)}
+
+
 def test_representatives_keep_all_columns(docs):
     left = simhash.representatives(docs, shingle=5)
     assert left.columns == docs.columns
