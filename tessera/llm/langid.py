@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import kept, kept_schema, parts, rows_where
+from tessera.llm.shared import forget, kept, kept_schema, parts, rows_where
 
 ORDERS = (2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
@@ -60,6 +60,7 @@ def positions(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, gram, documents: partial counts, given out whenever a few million n-grams have gathered."""
+    forget()
     held: dict[str, list[np.ndarray]] = {}
     size = 0
 

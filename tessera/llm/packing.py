@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import CLEARED, parts, written
+from tessera.llm.shared import CLEARED, give_back, parts, written
 
 #: Before a single space between two visible characters the tokenizer always starts a new word.
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
@@ -127,6 +127,7 @@ def tokenized(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, clos
     """doc_id, doc_tokens, crcs (of each piece), tail (the ids of a last piece that is shorter, two bytes each where they fit)."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = word_ids(tokenizer, pattern)
         kind = np.uint16 if max(words.n_ids, closing_id + 1) <= 1 << 16 else np.uint32
         closing = np.array([closing_id], "<u4").tobytes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,17 +11,27 @@ from pyspark.sql import functions as F
 
 from tessera.session import settled as written
 
-__all__ = ["bounded_sample", "byte_texts", "forget", "is_held_out", "kept", "kept_schema", "parts", "rows_where", "total_bytes", "written"]
+__all__ = ["bounded_sample", "byte_texts", "forget", "give_back", "is_held_out", "kept", "kept_schema", "parts", "rows_where", "total_bytes", "written"]
 
 
 #: Clears what operators remember from task to task.
 CLEARED: list[Callable[[], None]] = []
 
 
+def give_back() -> None:
+    """Return freed memory to the machine. A Python worker outlives its stage, and Arrow and the C library keep for it what
+    earlier tasks have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
-    """Give up what other operators remember in this Python worker, which outlives its stage; for tasks that need memory."""
+    """Give up what other operators remember in this Python worker, which outlives its stage, and what tasks have freed."""
     for clear in CLEARED:
         clear()
+    give_back()
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -72,6 +83,7 @@ def rows_where(docs: DataFrame, text: str, keeps: Callable[[list[str | None]], l
     at = docs.columns.index(text)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts(batches):
             yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_texts, forget, total_bytes
+from tessera.llm.shared import byte_texts, forget, give_back, total_bytes
 
 #: Odd multipliers of the two rolling hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -211,8 +211,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         full = np.flatnonzero(np.diff(cuts))
         packed = [pack(block.key[cuts[b] : cuts[b + 1]], block.check[cuts[b] : cuts[b + 1]]) for b in full]
         number = table["block"][0].as_py()
-        del block
-        pa.default_memory_pool().release_unused()
+        del block, table
+        give_back()
         return pa.table({"block": pa.array([number] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         later[order] = np.concatenate(([False], (key[1:] == key[:-1]) & (check[1:] == check[:-1])))
         ends = np.cumsum(sizes)
         masks = [zlib.compress(np.packbits(later[e - s : e]).tobytes(), 1) for e, s in zip(ends, sizes, strict=True)]
-        pa.default_memory_pool().release_unused()
+        del parts, owner, key, check, order, later
+        give_back()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "mask": pa.array(masks, pa.binary())})
 
     def cut(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -256,7 +257,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             digests.append(hashlib.sha256(joined).hexdigest())
             kept.append(text if keep is None else joined)
         del block, texts, repeated, earlier
-        pa.default_memory_pool().release_unused()
+        give_back()
         columns = {"doc_id": own["doc_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests)}
         columns |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}
         return pa.table(columns | {e: own[e] for e in extra})

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import text_hashes
-from tessera.llm.shared import bounded_sample, kept, kept_schema, parts, rows_where, written
+from tessera.llm.shared import bounded_sample, forget, kept, kept_schema, parts, rows_where, written
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -49,6 +49,7 @@ class Model:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in parts(batches):
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -4,6 +4,7 @@ empty, blank and very long texts, ties, repeated rows, empty tables, extra colum
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, langid, media, packing, pieces, search, simhash, substrings, toxicity, urlfilter
+from tessera.llm import chat, langid, media, packing, pieces, search, shared, simhash, substrings, toxicity, urlfilter
 
 TEXTS = "doc_id long, text string, lang string, fp long, block int, score double"
 
@@ -410,6 +411,22 @@ def test_toxicity(spark):
     assert toxicity.score(docs.union(docs), model, ["doc_id"]).count() == 2 * docs.count() and toxicity.without_toxic(docs.limit(0), model).count() == 0
 
 
+def test_tasks_give_back_what_earlier_ones_have_freed(monkeypatch):
+    """What other operators have freed doesn't stay with the worker: a small block behind it holds no memory."""
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE")
+    blocks = [bytes(2000) for _ in range(100_000)]
+    last = bytes(2000)
+    blocks.clear()
+    before = rss()
+    shared.forget()
+    assert before - rss() > 100_000_000 and len(last) == 2000
+    forgot = []
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "forget", lambda: forgot.append(1))
+        assert list(module._document_counts(iter([])))[1:] == []
+    assert len(forgot) == 2
+
+
 # SimHash
 
 
