@@ -33,10 +33,12 @@ WORD_START = re.compile(r"(?<=\S)(?= \S)")
 NO_START = re.compile(r"\s (?!\S)")
 #: Words on whose parts the pattern's and the tokenizer's own Unicode tables can't differ.
 PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]{1,64}")
-#: A word of letters and one of these has two parts.
-MARKS = ".,;:!?"
-#: Words kept in each of two generations.
-CACHED_WORDS = 250_000
+#: A word of letters and a run of these has two parts.
+MARKS = ".,;:!?|%*&$#"
+#: Words kept in each of two generations, of some 200 bytes each.
+CACHED_WORDS = 150_000
+#: Slots, by a hash, that tell which words have come before.
+CAME_SLOTS = 1 << 20
 BROADCAST_ROWS = 50_000
 
 
@@ -47,88 +49,114 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
 
 
-class WordIds:
+class WordIds(dict[str, bytes]):
     """Texts -> the ids of the tokenizer file's plain encoding, as little-endian 32-bit numbers.
 
-    Texts are cut into words, words into the pattern's parts, and the tokenizer's model gives the ids of a part; words
-    are remembered. Long words and those with characters beyond the Latin ones are left to the whole
-    tokenizer, and so are texts that hold one of its added tokens.
+    Texts are cut into words, words into the pattern's parts, and the tokenizer's model gives the ids of a part. The
+    words in use are this dictionary and an older one that goes when the newer is full; a word that isn't letters alone
+    is remembered when it comes again, as most never do. Long words and those with characters beyond the Latin ones are
+    left to the whole tokenizer, and so are texts that hold one of its added tokens.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, cached_words: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.n_ids = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts_of, self.characters = regex.compile(pattern).findall, byte_characters()
+        self.plain_runs = self.parts_of(f" a{MARKS}\nb{MARKS}\nc") == [" a", MARKS, "\n", "b", MARKS, "\n", "c"]
+        self.cached_words = cached_words
         self.marks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.came = bytearray(CAME_SLOTS)
+        self.blank = False
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def part(self, part: str) -> bytes:
         spelled = part.encode().decode("latin-1").translate(self.characters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def solve(self, word: str) -> bytes:
-        """The ids of a word and the space before it."""
-        if not (word.isascii() and len(word) <= 64) and not PLAIN.fullmatch(word):
-            return self.whole(" " + word)
-        if word.isalpha():
+    def letters(self, word: str) -> bytes:
+        """The ids of a word of letters alone and the space before it."""
+        if not word.isascii():
             return self.part(" " + word)
-        if word[:-1].isalpha() and word[-1] in MARKS:
-            return self.remembered(word[:-1]) + self.remembered_mark(word[-1])
+        return array("I", [t.id for t in self.model.tokenize(self.characters[32] + word)]).tobytes()
+
+    def cut(self, word: str) -> list[str]:
+        """The parts of a word, the first without the space before it."""
+        line, end, rest = word.partition("\n")
+        first, second = line.rstrip(MARKS), rest.rstrip(MARKS)
+        if self.plain_runs and first.isalpha() and (second.isalpha() or not end):
+            return [p for p in (first, line[len(first) :], end, second, rest[len(second) :]) if p]
         first, *others = self.parts_of(" " + word)
-        start = self.remembered(first[1:]) if first[1:].isalpha() else self.part(first)
-        return start + b"".join(map(self.remembered_mark, others))
+        return [first[1:], *others]
+
+    def solve(self, word: str) -> tuple[bytes, bool]:
+        """The ids of a word and the space before it; whether to remember it."""
+        if not (word.isascii() and len(word) <= 64) and not PLAIN.fullmatch(word):
+            return self.whole(" " + word), len(word) <= 64
+        if word.isalpha():
+            return self.letters(word), True
+        first, *others = self.cut(word)
+        start = self[first] if first.isalpha() else self.part(" " + first)
+        slot = hash(word) % CAME_SLOTS
+        again, self.came[slot] = self.came[slot], 1
+        return start + b"".join(map(self.remembered_mark, others)), again > 0
 
     def remembered_mark(self, part: str) -> bytes:
         """The ids of a part without a space before it."""
         if part not in self.marks:
-            if len(self.marks) >= CACHED_WORDS:
+            if len(self.marks) >= self.cached_words:
                 self.marks.clear()
             self.marks[part] = self.part(part)
         return self.marks[part]
 
-    def remembered(self, word: str) -> bytes:
-        """The same, kept while the word is in use: the older of two generations goes when the newer is full."""
-        ids = self.known.get(word) or self.known_before.get(word) or self.solve(word)
-        if len(word) <= 64:
-            if len(self.known) >= CACHED_WORDS:
-                self.known_before, self.known = self.known, {}
-            self.known[word] = ids
+    def __missing__(self, word: str) -> bytes:
+        ids, keep = self.before.get(word), True
+        if not ids:
+            ids, keep = self.solve(word)
+        if not word[:1].strip():  # never remembered, so that every text with such a word comes here
+            self.blank, keep = True, False
+        if keep:
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
+        if len(self) >= self.cached_words:
+            self.before = dict(self)
+            self.clear()
+            self.came = bytearray(CAME_SLOTS)
         if any(token in text for token in self.added):
             return self.whole(text)
-        words = text.split(" ") if not NO_START.search(text) else [w[k > 0 :] for k, w in enumerate(WORD_START.split(text))]
-        first = self.whole(words.pop(0))
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [one or self.remembered(word) for one, word in zip(found, words, strict=True)]
-        return first + b"".join(found)
+        self.blank = False
+        words = text.split(" ")
+        ids = self.whole(words.pop(0)) + b"".join(map(self.__getitem__, words))
+        if self.blank and NO_START.search(text):
+            first, *others = WORD_START.split(text)
+            ids = self.whole(first) + b"".join([self[w[1:]] for w in others])
+        return ids
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, pattern: str) -> WordIds:
+def word_ids(path: str, pattern: str, cached_words: int = CACHED_WORDS) -> WordIds:
     """One for each tokenizer and Python worker, with the words that it has encoded."""
-    return WordIds(path, pattern)
+    return WordIds(path, pattern, cached_words)
 
 
 CLEARED.append(word_ids.cache_clear)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, closing_id: int, doc_id: str, text: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, closing_id: int, doc_id: str, text: str, cached_words: int) -> DataFrame:
     """doc_id, doc_tokens, crcs (of each piece), tail (the ids of a last piece that is shorter, two bytes each where they fit)."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        words = word_ids(tokenizer, pattern)
+        words = word_ids(tokenizer, pattern, cached_words)
         kind = np.uint16 if max(words.n_ids, closing_id + 1) <= 1 << 16 else np.uint32
         closing = np.array([closing_id], "<u4").tobytes()
         for batch in parts(batches):
@@ -285,18 +313,19 @@ def stream_ends(tokens: int, capacity: int) -> list[int]:
     return ends
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 4096, cached_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of each document.
 
     A document's ids are those of its text (null: empty) and closing_id. tokenizer, pattern: a tokenizer
     file and the expression that splits its words, see WordIds. Each id lies in exactly one piece; the
     pieces of a sequence follow each other from offset 0; a sequence is full or a power of two long. Repeated rows
     are documents of their own; a null doc_id stays null. An empty table gives no rows. capacity: a power of two.
+    cached_words: how many words a Python worker remembers, twice; more cost memory and save time, results are the same.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     spark = docs.sparkSession
-    found = tokenized(docs, tokenizer, pattern, capacity, closing_id, doc_id, text)
+    found = tokenized(docs, tokenizer, pattern, capacity, closing_id, doc_id, text, cached_words)
     documents = written(found.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
     length = F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("piece") * capacity)
     pieces = documents.select("row_id", "doc_id", "doc_tokens", F.posexplode("crcs").alias("piece", "ids_crc32")).withColumn("length", length)

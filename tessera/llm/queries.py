@@ -51,7 +51,7 @@ def op5_media(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack(table(spark, folder, "documents"), tokenizer, public_tokenizers.PATTERN, capacity=1024, closing_id=0)
+    return packing.pack(table(spark, folder, "documents"), tokenizer, public_tokenizers.PATTERN, capacity=1024, closing_id=0, cached_words=500_000)
 
 
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -306,6 +307,30 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(words.of(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "é", "Re", *packing.MARKS, "\n", "\n", " ", " ", "'", "1", "\t", "\r"]), max_size=25).map("".join))
+def test_marked_words_give_the_ids_of_the_whole_text(text):
+    words = packing.word_ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert np.frombuffer(words.of(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_in_use_outlast_marked_words_that_come_once():
+    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 100)
+    plain, solved = words.tokenizer, []
+
+    def tokenize(spelled):
+        solved.append(spelled)
+        return plain.model.tokenize(spelled)
+
+    words.model = SimpleNamespace(tokenize=tokenize)
+    words.tokenizer = SimpleNamespace(model=words.model, encode=plain.encode)
+    used = "a " + " ".join(x + y for x in "bcdfg" for y in ("an", "el", "in", "os"))
+    once = [f"a other{k}" for k in range(400)]
+    for text in [used, *once, used]:
+        assert np.frombuffer(words.of(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert solved.count("\u0120ban") == 1
+
+
 def test_knapsack_and_plan():
     lengths, worth = np.array([3, 5, 7]), np.array([0.3, 0.56, 0.7])
     best, _ = packing.best_fills(lengths, worth, 16)
